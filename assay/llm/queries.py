@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from assay.llm import chat, exact_dedup, mixing, simhash
+from assay.llm import chat, exact_dedup, langid, mixing, quality, simhash, toxicity
 
 QUERIES = {
+    "op2_language_id": langid.op2_query,
+    "op3_quality_classifier": quality.op3_query,
+    "op5_toxicity": toxicity.op5_query,
     "op6_exact_dedup": exact_dedup.op6_query,
     "op8_chat_formatting": chat.op8_query,
     "op9_source_mixing": mixing.op9_query,

@@ -90,3 +90,51 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     if labels is None:
         return alone
     return labels.union(alone.join(labels.select("node"), "node", "left_anti"))
+
+
+def pieces(text: str, size: int = 1 << 20):
+    """``text`` in parts of about ``size`` characters, cut before white space, so that no word is cut.
+
+    Memory for one text's words then stays bounded however long it is. A run of ``size`` characters without white
+    space is not cut.
+    """
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:] if at else text
+
+
+def text_batches(batch, rows: int = 256, chars: int = 4 << 20):
+    """Slices of an Arrow batch whose column 1 is text: at most ``rows`` rows and, but for single rows, ``chars`` bytes."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(lengths):
+        if i > start and (total + n > chars or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
+def send(spark: SparkSession, value):
+    """Broadcast a model, with its classes, as bytes: executors need no copy of this package."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    """What ``send`` sent, unpickled once in each Python worker."""
+    import pickle
+
+    if not hasattr(sent, "unpickled"):
+        sent.unpickled = pickle.loads(sent.value)
+    return sent.unpickled
