@@ -29,8 +29,19 @@ from assay.llm.shared import received, send, table, text_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A word with the space mark before it; further spaces and other white space are words of their own.
-_WORDS = re.compile(r" ?[^\s]+|\s")
+#: and so is what follows the first LONGEST characters of a longer word.
+LONGEST = 64
+_WORDS = re.compile(rf" ?\S{{1,{LONGEST}}}|\s")
 CACHE_NODES = 3_000_000
+SLOT_BITS = 18
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+
+
+def _rolled(points: np.ndarray) -> int:
+    h = 0
+    for c in points.tolist():
+        h = (h * int(_BASE) + c + 1) % (1 << 64)
+    return h
 
 
 class Vocabulary:
@@ -62,43 +73,96 @@ class Vocabulary:
             self.weight[p] = -alpha * float(np.log(rank + 2.7))
         self.longest = max(map(len, self.piece_id), default=1)
         self.byte_weight = -alpha * float(np.log(len(ranked) + 2.7))
-
-    def lattice(self, word: str) -> tuple[list[int], list[int], list[float], list[int]]:
-        """The edges of ``word`` grouped by the node they end at.
-
-        Returns, per edge: the node it starts at, its id (or -1 - code point for a character spelled in bytes) and
-        the cumulative probability of the edges of its node up to it; and per node the number of its edges.
+        # Pieces by a hash of their code points, in an open table probed in place.
+        names = list(self.piece_id)
+        points = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in names]
+        self.hashes = np.array([_rolled(p) for p in points] + [0], np.uint64)
+        self.ids_by_slot = np.array([*self.piece_id.values(), -1], np.int64)
+        self.weights_by_slot = np.array([self.weight[p] for p in names] + [0.0])
+        assert len(np.unique(self.hashes[:-1])) == len(names)
+        self.slots, self.probes = np.full(1 << SLOT_BITS, len(names), np.int32), 1
+        for k, h in enumerate((self.hashes[:-1] * _SPREAD >> np.uint64(64 - SLOT_BITS)).tolist()):
+            n = 1
+            while self.slots[h] != len(names):
+                h, n = (h + 1) % (1 << SLOT_BITS), n + 1
+            self.slots[h], self.probes = k, max(self.probes, n)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of the piece of each hash, or the number of pieces where there is none."""
+        none = len(self.hashes) - 1
+        at = (hashes * _SPREAD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        k = self.slots[at].astype(np.int64)
+        wrong = np.flatnonzero((self.hashes[k] != hashes) & (k != none))
+        for step in range(1, self.probes):
+            if not len(wrong):
+                break
+            k[wrong] = self.slots[(at[wrong] + step) % (1 << SLOT_BITS)]
+            wrong = wrong[(self.hashes[k[wrong]] != hashes[wrong]) & (k[wrong] != none)]
+        k[wrong] = none
+        return k
+
+    def lattices(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lattices of ``words``, their nodes (one after each character) and edges in one row.
+
+        Returns the lengths of the words; the number of edges that end at each node; and per edge, grouped by that
+        node: the place in the word it starts at, its id (or -1 - code point for a character spelled in bytes) and
+        the cumulative probability of the node's edges up to it.
         """
-        n, get, weight = len(word), self.piece_id.get, self.weight
-        alpha = [0.0] * (n + 1)
-        starts: list[int] = []
-        ids: list[int] = []
-        cumulative: list[float] = []
-        counts: list[int] = []
-        exp, log = np.exp, np.log
-        for end in range(1, n + 1):
-            got = []
-            for start in range(max(0, end - self.longest), end):
-                p = word[start:end]
-                i = get(p)
-                if i is not None and p != MARK:
-                    got.append((start, i, alpha[start] + weight[p]))
-            c = word[end - 1]
-            if not got or c == MARK or c not in self.piece_id:
-                got.append((end - 1, -1 - ord(c), alpha[end - 1] + len(c.encode()) * self.byte_weight))
-            if len(got) == 1:
-                alpha[end] = got[0][2]
-                cumulative.append(1.0)
-            else:
-                w = np.array([g[2] for g in got])
-                top = w.max()
-                e = exp(w - top).cumsum()
-                alpha[end] = float(top + log(e[-1]))
-                cumulative += (e / e[-1]).tolist()
-            starts += [g[0] for g in got]
-            ids += [g[1] for g in got]
-            counts.append(len(got))
-        return starts, ids, cumulative, counts
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        first = np.repeat(ends - lengths, lengths)  # of each character's word
+        left = np.repeat(ends, lengths) - np.arange(len(points))  # characters from here to the word's end
+        place = np.arange(len(points)) - first
+        starts, nodes, ids, weights = [], [], [], []
+        at, h, none = np.arange(len(points)), np.zeros(len(points), np.uint64), len(self.hashes) - 1
+        for size in range(1, self.longest + 1):
+            if size > 1:
+                alive = left[at] >= size
+                at, h = at[alive], h[alive]
+                if not len(at):
+                    break
+            h = h * _BASE + (points[at + size - 1].astype(np.uint64) + np.uint64(1))
+            k = self.find(h)
+            hit = np.flatnonzero(k != none)
+            k, from_ = k[hit], at[hit]
+            starts.append(from_)
+            nodes.append(from_ + size - 1)
+            ids.append(self.ids_by_slot[k])
+            weights.append(self.weights_by_slot[k])
+            if size == 1:
+                spelled = np.ones(len(points), bool)
+                spelled[from_] = False
+                spelled = np.flatnonzero(spelled)
+                c = points[spelled].astype(np.int64)
+                starts.append(spelled)
+                nodes.append(spelled)
+                ids.append(-1 - c)
+                weights.append((1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)) * self.byte_weight)
+        start, node, ids_, weight = (np.concatenate(x) for x in (starts, nodes, ids, weights))
+        order = np.argsort(node * 32 + (node - start), kind="stable")
+        start, node, ids_, weight = start[order], node[order], ids_[order], weight[order]
+        counts = np.bincount(node, minlength=len(points))
+        before = np.cumsum(counts) - counts
+        alpha, cumulative = np.zeros(len(points) + 1), np.empty(len(node))  # alpha[-1]: before a word's first character
+        by_place = np.argsort(place, kind="stable")
+        limits = np.searchsorted(place[by_place], np.arange(int(lengths.max(initial=0)) + 1))
+        from_node = np.where(start == first[start], -1, start - 1) if len(start) else start
+        for t in range(len(limits) - 1):  # forward filtering: all nodes at place t of their words
+            here = by_place[limits[t] : limits[t + 1]]
+            n = counts[here]
+            head = np.cumsum(n) - n
+            e = np.repeat(before[here] - head, n) + np.arange(n.sum())
+            v = alpha[from_node[e]] + weight[e]
+            top = np.maximum.reduceat(v, head)
+            x = np.exp(v - np.repeat(top, n))
+            total = np.add.reduceat(x, head)
+            run = np.cumsum(x)
+            run = (run - np.repeat(run[head] - x[head], n)) / np.repeat(total, n)
+            run[head + n - 1] = 1.0
+            cumulative[e] = run
+            alpha[here] = top + np.log(total)
+        return lengths, counts, place[start] if len(start) else start, ids_, cumulative
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,6 +173,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, values=()):
+        self.array, self.n = np.zeros(1 << 16, kind), 0
+        self.add(np.array(values, kind))
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.array):
+            grown = np.zeros(max(2 * len(self.array), self.n + len(values)), self.array.dtype)
+            grown[: self.n] = self.array[: self.n]
+            self.array = grown
+        self.array[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def last(self):
+        return self.array[self.n - 1]
+
+
 class Sampler:
     """Keeps the lattices of the words met so far as flat arrays."""
 
@@ -118,38 +201,29 @@ class Sampler:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.first_node: list[int] = [0]
-        self.edge_of_node: list[int] = [0]
-        self.starts: list[int] = []
-        self.ids: list[int] = []
-        self.cumulative: list[float] = []
-        self.arrays: tuple | None = None
+        # Word -> first node, node -> first edge; edge -> place it starts at, id, cumulative probability.
+        self.first, self.edge = _Grown(np.int64, [0]), _Grown(np.int64, [0])
+        self.starts, self.ids, self.cumulative = _Grown(np.int16), _Grown(np.int32), _Grown(np.float64)
 
     def learn(self, words) -> None:
         fresh = sorted({*words}.difference(self.index))
-        if fresh and len(self.edge_of_node) > CACHE_NODES:
+        if fresh and self.edge.n > CACHE_NODES:
             self.clear()
             fresh = sorted({*words})
-        for w in fresh:
-            starts, ids, cumulative, counts = self.vocabulary.lattice(w)
-            self.index[w] = len(self.first_node) - 1
-            self.starts += starts
-            self.ids += ids
-            self.cumulative += cumulative
-            at = self.edge_of_node[-1]
-            for c in counts:
-                at += c
-                self.edge_of_node.append(at)
-            self.first_node.append(len(self.edge_of_node) - 1)
-        if fresh or self.arrays is None:
-            self.arrays = (
-                np.array(self.first_node, np.int64), np.array(self.edge_of_node, np.int64), np.array(self.starts, np.int64), np.array(self.ids, np.int64), np.array(self.cumulative),
-            )
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
+            lengths, counts, starts, ids, cumulative = self.vocabulary.lattices(part)
+            self.first.add(self.first.last() + np.cumsum(lengths))
+            self.edge.add(self.edge.last() + np.cumsum(counts))
+            self.starts.add(starts)
+            self.ids.add(ids)
+            self.cumulative.add(cumulative)
 
     def sample(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled edge ids of all words in order, and their number per word. keys: a random word for each."""
         self.learn(words)
-        first, edge_of, starts, ids, cumulative = self.arrays
+        first, edge_of, starts, ids, cumulative = (x.array for x in (self.first, self.edge, self.starts, self.ids, self.cumulative))
         w = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         base, at = first[w], first[w + 1] - first[w]
         alive = np.flatnonzero(at > 0)
@@ -157,7 +231,7 @@ class Sampler:
         while len(alive):
             node = base[alive] + at[alive] - 1
             low, high = edge_of[node], edge_of[node + 1] - 1
-            u = (_mix(keys[alive] + np.uint64(step) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)) / float(1 << 53)
+            u = (_mix(keys[alive] + np.uint64(step * 0xD1342543DE82EF95 % (1 << 64))) >> np.uint64(11)) / float(1 << 53)
             while True:  # bisection among the node's edges
                 open_ = low < high
                 if not open_.any():
@@ -179,8 +253,7 @@ class Sampler:
     def encode(self, keys: list[int], texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of each text, sampled by its key."""
         words: list[str] = []
-        owner: list[int] = []
-        place: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             n = 0
             for part in parts_of(text or ""):
@@ -188,21 +261,24 @@ class Sampler:
                 if not n and found:  # the space that encoders put before a text; the decoder takes it off again
                     found[:1] = [" " + found[0]] if found[0][0] not in " \t\n\r\x0b\x0c" and not found[0].isspace() else [" ", found[0]]
                 words += found
-                owner += [i] * len(found)
-                place += range(n, n + len(found))
                 n += len(found)
+            counts[i] = n
         if not words:
             return [np.zeros(0, np.int32) for _ in texts]
-        own = np.array(owner)
+        own = np.repeat(np.arange(len(texts)), counts)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         with np.errstate(over="ignore"):
             rows = _mix(np.array(keys, np.int64).astype(np.uint64) ^ _mix(np.array([self.seed])))
-            random = _mix(rows[own] + np.array(place, np.uint64) * np.uint64(0xA0761D6478BD642F))
+            random = _mix(rows[own] + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
             ids, per_word = self.sample(words, random)
         doc = np.repeat(own, per_word)
-        if (ids < 0).any():  # characters spelled in bytes
-            spelled = [[self.vocabulary.byte[b] for b in chr(-1 - i).encode()] if i < 0 else [i] for i in ids.tolist()]
-            doc = np.repeat(doc, [len(s) for s in spelled])
-            ids = np.array([x for s in spelled for x in s], np.int64)
+        spelled = np.flatnonzero(ids < 0)
+        if len(spelled):  # characters spelled in bytes
+            bytes_ = [[self.vocabulary.byte[b] for b in chr(-1 - i).encode()] for i in ids[spelled].tolist()]
+            n = np.ones(len(ids), np.int64)
+            n[spelled] = [len(b) for b in bytes_]
+            ids, doc, is_byte = np.repeat(ids, n), np.repeat(doc, n), np.repeat(ids < 0, n)
+            ids[is_byte] = [x for b in bytes_ for x in b]
         limits = np.searchsorted(doc, np.arange(len(texts) + 1))
         return [ids[a:b].astype(np.int32) for a, b in zip(limits[:-1], limits[1:], strict=True)]
 
