@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from assay.llm import chat, exact_dedup, html, langid, mixing, pieces, quality, simhash, toxicity
+from assay.llm import chat, covertree, exact_dedup, html, langid, mixing, pieces, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_embedding_near_dedup": covertree.op1_query,
     "op2_language_id": langid.op2_query,
     "op3_quality_classifier": quality.op3_query,
     "op4_html_extraction": html.op4_query,
