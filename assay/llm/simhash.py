@@ -115,9 +115,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component only; rows that share that id all stay."""
-    kept = near_groups(docs, id_col, **options).where((F.col("id") == F.col("component")) | F.col("component").isNull()).select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi").select(*docs.columns)
+    """``docs`` with one document of each component: the one with its smallest id; columns unchanged.
+
+    Rows without an id stay; rows that share a component's smallest id all stay.
+    """
+    dropped = near_groups(docs, id_col, **options).where(F.col("id") != F.col("component")).select(F.col("id").alias("__id")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti").select(*docs.columns)
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
