@@ -1 +1 @@
-"""Profiling, readiness, leakage, drift, interactions and transforms."""
+"""Profiling, readiness, leakage, drift, interactions, transforms, training."""
