@@ -114,7 +114,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         texts = rows.join(clash, "digest", "left_semi")
         exact = texts.groupBy("digest", "text").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
         again = texts.join(exact, ["digest", "text"]).select("id", "file", "row", "digest", F.lit(True).alias("same"), "keep", "n")
-        checked = checked.join(clash, "digest", "left_anti").union(again.select(checked.columns))
+        checked = checked.join(clash, "digest", "left_anti").unionByName(again)
     mine = (F.col("keep.file") == F.col("file")) & (F.col("keep.row") == F.col("row"))
     return checked.select("id", "file", "row", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), mine.alias("kept"), "digest")
 

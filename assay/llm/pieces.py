@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.llm.shared import pieces as parts_of
 from assay.llm.shared import received, send, table, text_batches
@@ -296,12 +296,11 @@ def read_model(path: str) -> bytes:
 def encode_pieces(docs: DataFrame, model_path: str = MODEL, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns and ids (array<int>), n_pieces and lossless (whether decoding gives the text again).
 
-    Null and empty texts have no pieces and are lossless if null counts as empty. A null key counts as -1; rows with
-    equal keys and texts are sampled alike. ``model_path`` is read on the driver only.
+    Columns that have these names already are replaced. Null and empty texts have no pieces and are lossless, for null
+    counts as empty. A null key counts as -1; rows with equal keys and texts are sampled alike. ``model_path`` is read
+    on the driver only.
     """
-    clash = {"ids", "n_pieces", "lossless"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = docs.drop("ids", "n_pieces", "lossless")
     vocabulary = send(docs.sparkSession, Vocabulary(read_model(model_path), alpha))
     names = docs.columns
     key_at, text_at = names.index(id_col), names.index(text_col)
@@ -320,8 +319,6 @@ def encode_pieces(docs: DataFrame, model_path: str = MODEL, alpha: float = 1.0,
                 lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(np.diff(limits).astype(np.int32)), pa.array(ok)], [*names, "ids", "n_pieces", "lossless"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
     return docs.mapInArrow(run, schema)
 
@@ -339,8 +336,6 @@ def decode_pieces(docs: DataFrame, model_path: str = MODEL, ids_col: str = "ids"
                 texts = [decode_ids(x or [], raw) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in others], pa.array(texts, pa.string())], [*others, text_col])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in others], T.StructField(text_col, T.StringType())]))
 
 
