@@ -34,25 +34,39 @@ def count_where(condition: Column) -> Column:
     return F.coalesce(F.sum(condition.cast("long")), F.lit(0).cast("long"))
 
 
+def constant(c: Column) -> Column:
+    """Whether all values are equal. Deviations don't tell: merging partial means leaves traces of rounding."""
+    return F.min(c) == F.max(c)
+
+
+def variance(c: Column) -> Column:
+    """Sample variance, exactly 0 for a constant."""
+    return F.when((F.count(c) > 1) & constant(c), 0.0).otherwise(F.var_samp(c))
+
+
+def deviation(c: Column) -> Column:
+    return F.sqrt(variance(c))
+
+
 def skewness(c: Column) -> Column:
     """Bias-adjusted skewness: null below three values, 0 for a constant."""
     n = F.count(c).cast("double")
     adjusted = F.skewness(c) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
-    return F.when(n > 2, F.when(F.stddev_pop(c) == 0, 0.0).otherwise(adjusted))
+    return F.when(n > 2, F.when(constant(c), 0.0).otherwise(adjusted))
 
 
 def kurtosis(c: Column) -> Column:
     """Bias-adjusted excess kurtosis: null below four values, 0 for a constant."""
     n = F.count(c).cast("double")
     adjusted = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6)
-    return F.when(n > 3, F.when(F.stddev_pop(c) == 0, 0.0).otherwise(adjusted))
+    return F.when(n > 3, F.when(constant(c), 0.0).otherwise(adjusted))
 
 
 def pearson(a: Column, b: Column) -> Column:
     """Pairwise-complete correlation; null where either side is constant or fewer than two pairs exist."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     scale = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(F.count(x) > 1, F.covar_pop(x, y) / F.when(scale != 0, scale))
+    return F.when((F.count(x) > 1) & ~constant(x) & ~constant(y), F.covar_pop(x, y) / F.when(scale != 0, scale))
 
 
 def quantiles(c: Column, *at: float, exact: bool = True) -> Column:

@@ -74,10 +74,10 @@ def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def eta_squared(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (category, number, eta2): share of a number's variance between categories; 0 below four rows or if constant."""
     cells = F.array(*[F.struct(F.lit(f"{a}\x00{b}").alias("pair"), ident(a).cast("string").alias("g"), real(b).alias("x")) for a, b in pairs])
-    by = df.select(F.inline(cells)).where("x is not null").groupBy("pair", "g").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count(F.lit(1))).alias("within"))
+    by = df.select(F.inline(cells)).where("x is not null").groupBy("pair", "g").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.when(F.min("x") < F.max("x"), F.var_pop("x") * F.count(F.lit(1))).otherwise(0.0).alias("within"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("pair")) / F.sum("n").over(Window.partitionBy("pair"))
-    got = by.withColumn("between", F.col("n") * (F.col("m") - mean) ** 2).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("between").alias("b"), F.sum("within").alias("w"))
-    value = F.when(F.col("n") < 4, 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), ratio(F.col("b"), F.col("b") + F.col("w"))), F.lit(0.0)))
+    got = by.withColumn("between", F.col("n") * (F.col("m") - mean) ** 2).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("between").alias("b"), F.sum("within").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    value = F.when((F.col("n") < 4) | (F.col("lo") == F.col("hi")), 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), ratio(F.col("b"), F.col("b") + F.col("w"))), F.lit(0.0)))
     p = F.split("pair", "\x00")
     return got.select(p[0].alias("category"), p[1].alias("number"), value.alias("eta2"))
 

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import above, band, count_where, ident, kurtosis, missing, pearson, quantiles, ratio, real, skewness
+from assay.functions.exprs import above, band, constant, count_where, deviation, ident, kurtosis, missing, pearson, quantiles, ratio, real, skewness, variance
 from assay.functions.special import chi2_tail, k2_test, kolmogorov_tail, shapiro_wilk
 from assay.plans.kinds import kinds, of_kind, type_family
 from assay.plans.statplan import cardinalities, frequencies, per_column, unpivot
@@ -75,7 +75,7 @@ def column_meta(df: DataFrame, target: str | None = None, found: dict[str, str]
 
 def fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float, float, float, float]]:
     """Per column with values: q1, q3, lower fence, upper fence, mean, population deviation."""
-    rows = per_column(df, columns, lambda c: {"q": quantiles(real(c), 0.25, 0.75), "m": F.avg(real(c)), "s": F.stddev_pop(real(c))}).collect()
+    rows = per_column(df, columns, lambda c: {"q": quantiles(real(c), 0.25, 0.75), "m": F.avg(real(c)), "s": F.when(~constant(real(c)), F.stddev_pop(real(c)))}).collect()
     out = {}
     for r in rows:
         if r["q"] is not None:
@@ -113,7 +113,7 @@ def univariate_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         x = real(c)
         q = quantiles(x, 0.05, 0.25, 0.5, 0.75, 0.95)
         return {
-            "count": F.count(x), "missing": missing(x), "mean": F.avg(x), "median": q[2], "mode": F.mode(x, True), "std": F.stddev_samp(x), "variance": F.var_samp(x), "min": F.min(x), "max": F.max(x),
+            "count": F.count(x), "missing": missing(x), "mean": F.avg(x), "median": q[2], "mode": F.mode(x, True), "std": deviation(x), "variance": variance(x), "min": F.min(x), "max": F.max(x),
             "q1": q[1], "q3": q[3], "p5": q[0], "p95": q[4], "skewness": skewness(x), "kurtosis": kurtosis(x), "zeros": count_where(x == 0), "negatives": count_where(x < 0),
         }
 
@@ -206,7 +206,7 @@ def skew_kurt(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def variance_rank(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance, deviation and coefficient of variation (of |mean|), lowest variance first; below 0.01 counts as low."""
-    got = per_column(df, columns, lambda c: {"count": F.count(real(c)), "variance": F.var_samp(real(c)), "std": F.stddev_samp(real(c)), "mean": F.avg(real(c))}).where("count >= 2")
+    got = per_column(df, columns, lambda c: {"count": F.count(real(c)), "variance": variance(real(c)), "std": deviation(real(c)), "mean": F.avg(real(c))}).where("count >= 2")
     return got.select("column", "variance", "std", ratio(F.col("std") * 100, F.abs("mean")).alias("cv"), (F.col("variance") < 0.01).alias("low_variance")).orderBy("variance", "column")
 
 
@@ -335,7 +335,7 @@ def normality(df: DataFrame, columns: list[str]) -> DataFrame:
     5,000 values and takes that many by hash. A column counts as normal if both Shapiro and K2 have p above 0.05, a
     p of zero included.
     """
-    g = per_column(df, columns, lambda c: {"n": F.count(real(c)), "g1": F.skewness(real(c)), "g2": F.kurtosis(real(c)), "m": F.avg(real(c)), "s": F.stddev_pop(real(c))}).collect()
+    g = per_column(df, columns, lambda c: {"n": F.count(real(c)), "g1": F.skewness(real(c)), "g2": F.kurtosis(real(c)), "m": F.avg(real(c)), "s": F.when(~constant(real(c)), F.stddev_pop(real(c)))}).collect()
     out = []
     for r in g:
         if r["n"] < 8:
@@ -396,9 +396,9 @@ def pca_ratio(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
     for r in pearson_pairs(full, columns).collect():
         i, j = place[r["a"]], place[r["b"]]
         matrix[i, j] = matrix[j, i] = r["r"] or 0.0
-    deviations = full.agg(*[F.stddev_pop(ident(c)) for c in columns]).first()
-    for i, s in enumerate(deviations):
-        if not s:
+    equal = full.agg(*[constant(ident(c)) for c in columns]).first()
+    for i, same in enumerate(equal):
+        if same:
             matrix[i, i] = 0.0
     values = np.clip(np.sort(np.linalg.eigvalsh(matrix))[::-1], 0, None)
     share = values / values.sum() if values.sum() else values

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions.exprs import ident, quantile, real
+from assay.functions.exprs import constant, ident, quantile, real
 from assay.operators.profile import fences, numeric_columns, sample_rows
 from assay.plans.kinds import type_family
 from assay.plans.statplan import per_column
@@ -182,7 +182,7 @@ def scale_standard(df, columns=None, target=None):
     if not cs:
         return df
     x = {c: F.coalesce(real(c), F.lit(0.0)) for c in cs}
-    got = {r["column"]: r for r in per_column(df, cs, lambda c: {"m": F.avg(x[c]), "s": F.stddev_pop(x[c])}).collect()}
+    got = {r["column"]: r for r in per_column(df, cs, lambda c: {"m": F.when(constant(x[c]), F.min(x[c])).otherwise(F.avg(x[c])), "s": F.when(~constant(x[c]), F.stddev_pop(x[c]))}).collect()}
     return _put(df, {c: (x[c] - F.lit(got[c]["m"])) / (got[c]["s"] or 1.0) for c in cs})
 
 
