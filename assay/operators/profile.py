@@ -136,7 +136,8 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 40) -> DataFrame:
     last = F.when(F.col("a") == F.col("b"), 0).otherwise(bins - 1)
     spine = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), last)))
     cells = unpivot(df, cs, "double").where("value is not null").join(F.broadcast(edges), "column")
-    of = F.coalesce(F.least(F.floor(ratio((F.col("value") - F.col("a")) * bins, F.col("b") - F.col("a"))), F.lit(bins - 1)), F.lit(0)).cast("int")
+    width = F.col("b") - F.col("a")
+    of = F.when(width == 0, 0).otherwise(F.least(F.floor(ratio((F.col("value") - F.col("a")) * bins, width)), F.lit(bins - 1))).cast("int")
     n = cells.groupBy("column", of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     step = (F.col("b") - F.col("a")) / bins
     full = spine.join(n, ["column", "bin"], "left")
