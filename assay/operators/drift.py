@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assay.functions.exprs import above, count_where, ident, ratio
 from assay.functions.special import chi2_tail, kolmogorov_tail
 from assay.plans.kinds import drift_kind, type_family
+from assay.plans.ranks import running
 from assay.plans.statplan import unpivot
 
 #: Limits of the levels, and what an empty bin or category counts.
@@ -64,8 +65,8 @@ def psi_categorical(ref: DataFrame, new: DataFrame, columns: list[str]) -> DataF
 def ks_two_sample(ref: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (column, ks, nr, nn): largest distance of the two empirical distributions, over distinct values."""
     t = _tables(ref, new, columns, "double")
-    w, up = Window.partitionBy("column"), Window.partitionBy("column").orderBy("value")
-    t = t.select("column", F.sum("r").over(up).alias("cr"), F.sum("n").over(up).alias("cn"), F.sum("r").over(w).alias("nr"), F.sum("n").over(w).alias("nn")).where("nr > 0 and nn > 0")
+    sums = t.groupBy("column").agg(F.sum("r").alias("nr"), F.sum("n").alias("nn")).where("nr > 0 and nn > 0")
+    t = running(t, ["value"], {"cr": "r", "cn": "n"}, group=["column"]).join(F.broadcast(sums), "column")
     return t.groupBy("column").agg(F.max(F.abs(F.col("cr") / F.col("nr") - F.col("cn") / F.col("nn"))).alias("ks"), F.max("nr").alias("nr"), F.max("nn").alias("nn"))
 
 

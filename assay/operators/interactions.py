@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.exprs import above, ident, quantile, ratio, real
 from assay.plans.kinds import interaction_kind, type_family
+from assay.plans.ranks import tiles
 from assay.plans.statplan import cardinalities, per_column
 
 MISSING = "__missing__"
@@ -40,12 +41,12 @@ def fill(df: DataFrame, columns: list[str]) -> DataFrame:
 def binned(df: DataFrame, columns: list[str], key: str, bins: int = BINS) -> DataFrame:
     """Numeric columns replaced by bins: by value up to ``bins`` distinct ones, else ``bins`` equally full ones.
 
-    Equal fullness splits ties by the row's ``key``. Ranks come from one sort per column over the exchanged rows.
+    Equal fullness splits ties by the row's ``key``. Ranks come from sorted ranges, not from one task.
     """
     few = {r["column"] for r in cardinalities(df, columns).collect() if r["n_unique"] <= bins}
     out = df
     for c in columns:
-        out = out.withColumn(c, ident(c).cast("string") if c in few else F.ntile(bins).over(Window.orderBy(ident(c), ident(key))).cast("string"))
+        out = out.withColumn(c, ident(c).cast("string")) if c in few else tiles(out, c, key, bins, c)
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assay.functions.exprs import above, band, constant, count_where, deviation, ident, kurtosis, missing, pearson, quantiles, ratio, real, skewness, variance
 from assay.functions.special import chi2_tail, k2_test, kolmogorov_tail, shapiro_wilk
 from assay.plans.kinds import kinds, of_kind, type_family
+from assay.plans.ranks import running
 from assay.plans.statplan import cardinalities, frequencies, per_column, unpivot
 
 
@@ -364,9 +365,9 @@ def normal_cdf(z: Column) -> Column:
 def ks_normal(df: DataFrame, column: str, mean: float, std: float) -> DataFrame:
     """One row: largest distance of the standardised column's empirical distribution from the normal one."""
     v = df.select(real(column).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("v")
-    total = F.sum("n").over(Window.partitionBy())
-    step = v.select("v", (F.sum("n").over(w) / total).alias("hi"), ((F.sum("n").over(w) - F.col("n")) / total).alias("lo"))
+    total = v.agg(F.sum("n").alias("total"))
+    up = running(v, ["v"], {"up": "n"}).crossJoin(F.broadcast(total))  # one row of totals
+    step = up.select("v", (F.col("up") / F.col("total")).alias("hi"), ((F.col("up") - F.col("n")) / F.col("total")).alias("lo"))
     p = normal_cdf((F.col("v") - mean) / std)
     return step.agg(F.max(F.greatest(F.abs(F.col("hi") - p), F.abs(p - F.col("lo")))).alias("d"))
 
