@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = spark.sparkContext._conf.get("assay.local.dir") or f"file://{tempfile.gettempdir()}/assay-{spark.sparkContext.applicationId}"
+        base = f"file://{tempfile.gettempdir()}/assay-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
