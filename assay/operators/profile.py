@@ -322,9 +322,32 @@ def problem_type(df: DataFrame, target: str | None) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement, the same on every run: the smallest hashes of the row."""
-    names = [ident(f.name) for f in df.schema if type_family(f.dataType) != "nested"]
-    return df.withColumn("__h", F.xxhash64(F.lit(seed), *names)).orderBy("__h", *names).limit(n).drop("__h")
+    """Exactly min(n, rows) rows without replacement, the same on every run, every row as likely as any other.
+
+    Equal rows are counted and the counts laid end to end in the order of the rows' hashes; ``n`` places of that line are
+    drawn, so a row with many copies is drawn as often as its share asks for.
+    """
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    total = df.count()
+    if total <= n:
+        return df
+    names = [f"c{i}" for i in range(len(df.columns))]
+    hashed = [ident(f.name) for f in df.schema if type_family(f.dataType) != "nested"]
+    own = [ident(f.name).alias(c) for f, c in zip(df.schema, names, strict=True)]
+    counted = df.select(F.xxhash64(F.lit(seed), *hashed).alias("__h"), *own).groupBy("__h", *names).agg(F.count(F.lit(1)).alias("__n"))
+    places = np.array(sorted(random.Random(seed).sample(range(total), n)))
+
+    def run(batches):
+        for batch in batches:
+            up, n_own = batch.column("__up").to_numpy(), batch.column("__n").to_numpy()
+            times = np.searchsorted(places, up) - np.searchsorted(places, up - n_own)
+            yield batch.select(names).take(pa.array(np.repeat(np.arange(len(up)), times)))
+
+    return running(counted, ["__h"], {"__up": "__n"}).mapInArrow(run, df.toDF(*names).schema).toDF(*df.columns)
 
 
 NORMALITY_SAMPLE, QQ_SAMPLE = 5_000, 1_000
@@ -334,7 +357,7 @@ def normality(df: DataFrame, columns: list[str]) -> DataFrame:
     """Shapiro-Wilk, D'Agostino K2 and Kolmogorov-Smirnov against the normal, per column with at least eight values.
 
     K2 and the KS distance use all rows in one aggregate and one sorted frequency table; Shapiro-Wilk is defined up to
-    5,000 values and takes that many by hash. A column counts as normal if both Shapiro and K2 have p above 0.05, a
+    5,000 values and takes that many at random (fixed seed). A column counts as normal if both Shapiro and K2 have p above 0.05, a
     p of zero included.
     """
     g = per_column(df, columns, lambda c: {"n": F.count(real(c)), "g1": F.skewness(real(c)), "g2": F.kurtosis(real(c)), "m": F.avg(real(c)), "s": F.when(~constant(real(c)), F.stddev_pop(real(c)))}).collect()

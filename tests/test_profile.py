@@ -86,6 +86,16 @@ def test_samples_are_exact_and_repeat(odd):
     assert len(a) == 30 and sorted(map(str, a)) == sorted(map(str, b))
 
 
+def test_samples_of_few_values_keep_their_shares(spark):
+    df = spark.range(20_000).select((F.col("id") % 4).cast("double").alias("v"), F.when(F.col("id") % 10 == 0, F.lit(1)).alias("rare"))
+    got = {r["v"]: r["count"] for r in profile.sample_rows(df.select("v"), 2_000).groupBy("v").count().collect()}
+    assert sum(got.values()) == 2_000 and set(got) == {0.0, 1.0, 2.0, 3.0} and all(400 < n < 600 for n in got.values())
+    r = profile.normality(df, ["v"]).first()
+    assert r["shapiro"] < 0.9 and r["shapiro_p"] < 1e-6
+    assert {x["sample"] for x in profile.qq_points(df, "v").collect()} == {0.0, 1.0, 2.0, 3.0}
+    assert 100 < profile.sample_rows(df.select("rare"), 2_000).where("rare = 1").count() < 300
+
+
 def test_time(odd, spark):
     assert temporal.quartile_shift(spark.createDataFrame([(1, 2.0)] * 5, "i long, v double").withColumn("t", F.lit("2024-01-01").cast("timestamp")), "t", ["v"]).count() == 0
     rows = [(i, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", float(i)) for i in range(300)]
