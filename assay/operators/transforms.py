@@ -8,18 +8,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.exprs import constant, ident, quantile, real
-from assay.operators.profile import fences, numeric_columns, sample_rows
+from assay.llm.shared import cut
+from assay.operators.profile import fences, numeric_columns
 from assay.plans.kinds import type_family
 from assay.plans.statplan import per_column
 
-#: Donor rows that nearest-neighbour imputation may use, chosen by hash; they are broadcast.
-KNN_DONORS, KNN_K = 5_000, 5
+#: Neighbours of nearest-neighbour imputation; distinct donors and distinct incomplete rows in a block of its search.
+KNN_K, KNN_DONORS, KNN_ROWS = 5, 5_000, 500
 #: Levels that one-hot encoding may add as columns.
 MAX_LEVELS = 1_000
 
@@ -80,39 +83,68 @@ def impute_unknown(df, columns=None, target=None):
 def impute_knn(df, columns=None, target=None):
     """The mean of the five nearest donors that have the value, by Euclidean distance over the values both rows have.
 
-    Donors are at most 5,000 rows, chosen by hash; rows without a usable donor get the median.
+    Donors are all rows; where more are equally near than places are left, they share the places, so that no order of
+    rows or values decides. Equal rows are counted and searched once: blocks of distinct incomplete rows meet blocks of
+    distinct donors, and each meeting leaves at most five distances per gap. Rows without a usable donor get the median.
     """
     cs = _pick(df, columns, numeric_columns(df), target)
     if not cs:
         return df
-    med = _fit(df, cs, lambda c: quantile(real(c), 0.5))
-    import numpy as np
+    med, xs = _fit(df, cs, lambda c: quantile(real(c), 0.5)), [f"__x{i}" for i in range(len(cs))]
+    plain = _put(df, {c: real(c) for c in cs})
+    counted = cut(plain.select(*[ident(c).alias(x) for c, x in zip(cs, xs, strict=True)]).groupBy(*xs).agg(F.count(F.lit(1)).alias("__n")).where(F.coalesce(*xs).isNotNull()), "knn-rows")
+    holes = counted.where(F.greatest(*[F.col(x).isNull().cast("int") for x in xs], F.lit(0)) == 1)
+    donors, asked = _blocks(counted, [*xs, "__n"], KNN_DONORS, "d"), _blocks(holes, xs, KNN_ROWS, "a")
+    near = asked.crossJoin(donors).mapInArrow(lambda batches: _nearest(batches, len(cs)), ", ".join([*[f"{x} double" for x in xs], "gap int", "d double", "v double", "n double"]))
+    near = near.groupBy(*xs, "gap", "d").agg((F.sum("v") / F.sum("n")).alias("v"), F.sum("n").alias("n"))
+    left = lambda got, x: F.least(x["n"], KNN_K - got["k"])
+    used = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("d", "v", "n"))),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("k")),
+        lambda got, x: F.struct((got["s"] + x["v"] * left(got, x)).alias("s"), (got["k"] + left(got, x)).alias("k")),
+        lambda got: got["s"] / got["k"],
+    )
+    means = near.groupBy(*xs, "gap").agg(used.alias("m")).groupBy(*xs).agg(*[F.max(F.when(F.col("gap") == i, F.col("m"))).alias(f"__m{i}") for i in range(len(cs))])
+    means = cut(means, "knn-means")
+    same = [ident(c).eqNullSafe(F.col(x)) for c, x in zip(cs, xs, strict=True)]
+    joined = plain.join(means, reduce(and_, same), "left")
+    return joined.select(*[F.coalesce(ident(c), F.col(f"__m{cs.index(c)}"), F.lit(med[c]).cast("double")).alias(c) if c in cs else ident(c) for c in df.columns])
+
 
-    donors = np.array([[np.nan if v is None else v for v in r] for r in sample_rows(df.select(*[real(c).alias(c) for c in cs]).na.drop("all"), KNN_DONORS).collect()], float).reshape(-1, len(cs))
-    sent = df.sparkSession.sparkContext.broadcast((donors, [med[c] for c in cs]))
-    place, names = {c: i for i, c in enumerate(cs)}, df.columns
-    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in place else f for f in df.schema])
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        known, medians = sent.value
-        has = ~np.isnan(known)
-        for batch in batches:
-            x = np.array([batch.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in cs]).T
-            for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                both = has & ~np.isnan(x[i])
+def _blocks(df: DataFrame, columns: list[str], rows: int, name: str) -> DataFrame:
+    """Rows of arrays, one per column, of about ``rows`` rows of ``df`` each."""
+    parts = max(1, -(-df.count() // rows))
+    return df.groupBy(F.pmod(F.xxhash64(*columns), F.lit(parts)).alias("__block")).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).alias(name)).select(name)
+
+
+def _nearest(batches: Iterator, k: int) -> Iterator:
+    """Per pair of blocks and gap of an incomplete row: the least distances of donors that have the value, with these values' sum and number."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(cell, width: int):
+        return cell.values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+    for batch in batches:
+        for asked, given in zip(batch.column("a"), batch.column("d"), strict=True):
+            rows, found = matrix(asked, k), []
+            known, times = np.split(matrix(given, k + 1), [k], axis=1)
+            has, times = ~np.isnan(known), times[:, 0]
+            for x in rows:
+                both = has & ~np.isnan(x)
                 m = both.sum(axis=1)
-                d = np.where(m > 0, np.where(both, known - x[i], 0.0).__pow__(2).sum(axis=1) * len(cs) / np.maximum(m, 1), np.inf)
-                for j in np.flatnonzero(np.isnan(x[i])):
-                    dj = np.where(has[:, j], d, np.inf)
-                    near = np.argsort(dj, kind="stable")[:KNN_K]
-                    near = near[np.isfinite(dj[near])]
-                    x[i, j] = known[near, j].mean() if len(near) else (np.nan if medians[j] is None else medians[j])
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, place[c]], from_pandas=True) if c in place else batch.column(k) for k, c in enumerate(names)], names)
-
-    return _put(df, {c: real(c) for c in cs}).mapInArrow(run, schema)
+                d = np.where(m > 0, np.where(both, known - x, 0.0).__pow__(2).sum(axis=1) * k / np.maximum(m, 1), np.inf)
+                for j in np.flatnonzero(np.isnan(x)):
+                    at = np.flatnonzero(has[:, j] & np.isfinite(d))
+                    if len(at) > KNN_K:
+                        at = at[d[at] <= np.partition(d[at], KNN_K - 1)[KNN_K - 1]]
+                    steps, of = np.unique(d[at], return_inverse=True)
+                    sums, ns = np.bincount(of, known[at, j] * times[at]), np.bincount(of, times[at])
+                    found += [(*x, j, *z) for z in zip(steps, sums, ns, strict=True)]
+            columns = list(zip(*found, strict=True)) or [()] * (k + 4)
+            kinds = [pa.float64()] * k + [pa.int32(), *[pa.float64()] * 3]
+            names = [*[f"__x{i}" for i in range(k)], "gap", "d", "v", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, t.to_pandas_dtype()), t, from_pandas=True) for c, t in zip(columns, kinds, strict=True)], names)
 
 
 def cap_outliers(df, columns=None, target=None):

@@ -1,10 +1,12 @@
 """Every action on nulls, constants, ties and nothing."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from assay.operators import transforms
 from assay.operators.transforms import ACTIONS, apply, yeo_johnson_lambdas
 
 ROWS = [(1, 1.0, 10, "a", 5.0), (2, 2.0, None, "b", 5.0), (3, None, 30, None, 5.0), (4, 4.0, 40, "a", 5.0), (5, 100.0, 50, "c", 5.0), (5, 100.0, 50, "c", 5.0)]
@@ -43,6 +45,35 @@ def test_nearest_neighbours(spark):
     assert values(got, "b")[-1] == pytest.approx(sum(x * 10 for x in (5, 6, 7, 8, 9)) / 5)
 
 
+def test_nearest_neighbours_are_searched_among_all_rows(spark, monkeypatch):
+    rows = [(i, float(i), float(i) * 10) for i in range(12_000)] + [(20_000 + i, i * 97 + 0.2, None) for i in range(1, 120)]
+    got = apply(spark.createDataFrame(rows, "k long, a double, b double"), "impute_knn", ["a", "b"]).where("k > 20000").collect()
+    assert len(got) == 119 and all(r["b"] == pytest.approx((r["k"] - 20_000) * 970) for r in got)
+    monkeypatch.setattr(transforms, "KNN_DONORS", 7)
+    monkeypatch.setattr(transforms, "KNN_ROWS", 3)
+    rng = random.Random(4)
+    some = lambda n: None if rng.random() < 0.25 else float(rng.randrange(n))
+    rows = [(i, some(6), some(5), some(9)) for i in range(150)]
+    got = {r[0]: r[1:] for r in apply(spark.createDataFrame(rows, "k long, a double, b double, `c.d` double"), "impute_knn", ["a", "b", "c.d"]).collect()}
+    for k, *x in rows:
+        for j in range(3):
+            if x[j] is not None:
+                assert got[k][j] == x[j]
+                continue
+            near = []
+            for _, *y in rows:
+                both = [(p - q) ** 2 for p, q in zip(x, y, strict=True) if p is not None and q is not None]
+                if y[j] is not None and both:
+                    near.append((sum(both) * 3 / len(both), y[j]))
+            want, places = 0.0, min(5, len(near))
+            for d in sorted({d for d, _ in near}):
+                tied = [v for e, v in near if e == d]
+                take = min(len(tied), places)
+                want, places = want + sum(tied) / len(tied) * take, places - take
+            if near:
+                assert got[k][j] == pytest.approx(want / min(5, len(near)))
+
+
 def test_outliers(df):
     capped = values(apply(df, "cap_outliers", ["n"]), "n")
     assert capped[1] is None and max(c for c in capped if c is not None) <= 80
