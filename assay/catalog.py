@@ -363,7 +363,7 @@ EVENT_PAIRS = [("value", "user_id"), ("value", "mixed"), ("user_id", "mixed")]
 query("binned_mi_events", f"{EVENT_BINS} {union(f'SELECT * FROM ({mi_sql('b', a, b)})' for a, b in EVENT_PAIRS)}", "mi score")(
     lambda t: interactions.mutual_information(interactions.binned(t.events.select("event_id", "value", "user_id", (F.col("value") * F.col("value") + F.col("event_id") / 100.0).alias("mixed")), ["value", "user_id", "mixed"], "event_id"), EVENT_PAIRS)
 )
-query("pair_scores")(lambda t: interactions.pair_scores(t.priced().withColumn("k", F.xxhash64(*t.lineitem.columns)).drop("l_shipdate"), "k", max_cols=8))
+query("pair_scores")(lambda t: interactions.pair_scores(t.priced().withColumn("k", F.xxhash64(*t.lineitem.columns)).drop("l_shipdate"), "k").where("a <> 'k' AND b <> 'k'"))
 query("target_scores")(lambda t: interactions.target_scores(t.events.select("event_id", "event_type", "value", "user_id"), "value", "event_id"))
 query("interaction_matrix")(lambda t: interactions.matrix(interactions.pair_scores(t.events.select("event_id", "event_type", "value", "user_id"), "event_id")))
 

@@ -32,3 +32,11 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     a, b = rows(got.columns, got.collect()), rows(columns, want.fetchall())
     assert a and a == b
+
+
+def test_pair_scores_cover_every_column(spark):
+    got = {frozenset((r["a"], r["b"])): r for r in catalog.QUERIES["pair_scores"](spark, DIR).collect()}
+    names = set("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax net_price l_returnflag l_linestatus".split())
+    assert set().union(*got) == names and len(got) == 55
+    assert got[frozenset(("l_extendedprice", "net_price"))]["strength"] == "Strong"
+    assert {r["method"] for r in got.values()} == {"mutual_information", "cramers_v", "correlation_ratio"}
