@@ -10,7 +10,8 @@ A text is compared by its length-normalised log-likelihood ratio, as a whole (me
 expressions (largest, mean of the three largest). A logistic curve over these is fitted by cross-fitting: words counted
 in one half of the sample score the other half's texts.
 
-Training takes a bounded sample of labelled rows and a bounded number of word types; only counts reach the driver.
+Training takes a bounded sample of labelled rows. All its word types count; they are turned into counts of character
+sequences on the executors, and only these reach the driver.
 """
 
 from __future__ import annotations
@@ -26,29 +27,46 @@ from pyspark.sql import functions as F
 
 from assay.llm.shared import bounded, cut, fold, pieces, received, send, table, text_batches
 
-#: Bounds of the training sample (labelled rows) and of the model (word types, the most widespread first).
-SAMPLE_ROWS, WORD_TYPES = 20_000, 150_000
+#: Bound of the training sample (labelled rows).
+SAMPLE_ROWS = 20_000
 ORDER, DISCOUNT = 6, 0.75
 START, END = "\x02", "\x03"
 _WORDS = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
+#: Sequences summed at a time on an executor.
+PART = 200_000
+
+
+def _sequences(word: str, start: int = 1, n: int | None = None) -> list[str]:
+    """Each character of a word, its end included, with up to five before it; of ``n`` places from ``start`` on."""
+    w = f"{START}{word}{END}"
+    return [w[max(0, i - ORDER + 1) : i + 1] for i in range(start, len(w) if n is None else min(len(w), start + n))]
 
 
 class KneserNey:
     """log P(word | toxic) - log P(word | ordinary) from document counts per word type."""
 
     def __init__(self, words: list[str], toxic: list[float], ordinary: list[float]):
+        grams = [_sequences(w) for w in words]
+        times = [len(g) for g in grams]
+        self._fit([g for gs in grams for g in gs], [1] * sum(times), np.repeat(toxic, times).tolist(), np.repeat(ordinary, times).tolist())
+
+    @classmethod
+    def of_sequences(cls, grams: list[str], types: list[float], toxic: list[float], ordinary: list[float]) -> KneserNey:
+        """The same from the sequences of a character and up to five before it, with numbers of word types and documents."""
+        out = cls.__new__(cls)
+        out._fit(grams, types, toxic, ordinary)
+        return out
+
+    def _fit(self, grams: list[str], types: list[float], toxic: list[float], ordinary: list[float]) -> None:
         shared: Counter[str] = Counter()
         counts: list[dict[tuple[str, str], float]] = [defaultdict(float), defaultdict(float)]
-        for word, *ns in zip(words, toxic, ordinary, strict=True):
-            w = f"{START}{word}{END}"
-            for i in range(1, len(w)):
-                for k in range(max(0, i - ORDER + 1), i + 1):
-                    shared[w[k : i + 1]] += 1
-                h = w[max(0, i - ORDER + 1) : i]
-                for c, n in zip(counts, ns, strict=True):
-                    if n:
-                        c[h, w[i]] += n
+        for g, t, *ns in zip(grams, types, toxic, ordinary, strict=True):
+            for k in range(len(g)):
+                shared[g[k:]] += t
+            for c, n in zip(counts, ns, strict=True):
+                if n:
+                    c[g[:-1], g[-1]] += n
         totals: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
         follow: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
         for c, total, after in zip(counts, totals, follow, strict=True):
@@ -134,11 +152,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, word_types: int = WORD_TYPES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> Toxicity:
     """Fit to at most ``sample_rows`` rows of ``labels``, chosen by hash of their id; null labels are left out.
 
-    The sample's word types are counted in Spark; words of one document only are left to the shared backoff.
+    All word types of the sample count, those of one document too; they are counted in Spark.
     """
     chosen = bounded(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y")), sample_rows, id_col)
     known = cut(
@@ -147,23 +165,56 @@ def train_toxicity(
     half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int")
     words = known.select("id", "y", half.alias("half"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("w <> ''")
     sums = [F.sum(((F.col("half") == h) & (F.col("y") == y)).cast("int")).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
-    counted = words.groupBy("w").agg(*sums).withColumn("n", F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")).where("n > 1")
-    rows = sorted(counted.orderBy(F.desc("n"), "w").limit(word_types).collect())
-    table_ = [[r[k] for r in rows] for k in ("w", "n00", "n01", "n10", "n11")]
+    got = _sequence_counts(words.groupBy("w").agg(*sums)).toArrow().sort_by("g")
+    grams, ns = got.column("g").to_pylist(), np.array([got.column(c).to_numpy() for c in COUNTS[3:]], dtype=float).reshape(2, 2, -1)
 
-    def model(halves) -> KneserNey:
-        ns = np.array(table_[1:], dtype=float).reshape(2, 2, -1)[halves].sum(axis=0)
-        use = ns.sum(axis=0) > 0
-        return KneserNey([w for w, u in zip(table_[0], use, strict=True) if u], ns[1][use].tolist(), ns[0][use].tolist())
+    def model(types: str, halves: list[int]) -> KneserNey:
+        t, n = got.column(types).to_numpy(), ns[halves].sum(axis=0)
+        use = np.flatnonzero(t)
+        return KneserNey.of_sequences([grams[i] for i in use], t[use].tolist(), n[1][use].tolist(), n[0][use].tolist())
 
-    if not rows:
+    if not grams:
         return Toxicity(KneserNey([], [], []), np.zeros(5))
     fitted = []
     for h in (0, 1):  # each half is scored by the other one's words
-        fitted += _scored(known.where(half == h), model([1 - h]), lambda x: x.tolist(), "x array<double>", "y").collect()
+        fitted += _scored(known.where(half == h), model(f"t{1 - h}", [1 - h]), lambda x: x.tolist(), "x array<double>", "y").collect()
     fitted.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     x, y = np.array([r["x"] for r in fitted]), np.array([r["y"] for r in fitted], dtype=float)
-    return Toxicity(model([0, 1]), _logistic(x, y))
+    return Toxicity(model("t", [0, 1]), _logistic(x, y))
+
+
+#: Word types in half 0, half 1 and both together; documents per half and label.
+COUNTS = ["t0", "t1", "t", "n00", "n01", "n10", "n11"]
+
+
+def _sequence_counts(counted: DataFrame) -> DataFrame:
+    """Rows (g, COUNTS) of the character sequences of word types (w, n00, n01, n10, n11)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed() -> pa.RecordBatch:
+            rows = values[np.array(at, dtype=np.int64)]
+            t = pa.table([pa.array(grams, pa.string()), *[pa.array(c) for c in rows.T]], ["g", *COUNTS])
+            t = t.group_by("g").aggregate([(c, "sum") for c in COUNTS]).combine_chunks()
+            return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ["g", *[f"{c}_sum" for c in COUNTS]]], ["g", *COUNTS])
+
+        for batch in batches:
+            n = np.column_stack([batch.column(c).to_numpy() for c in COUNTS[3:]]).astype(np.int64)
+            halves = np.column_stack([n[:, :2].sum(axis=1) > 0, n[:, 2:].sum(axis=1) > 0]).astype(np.int64)
+            values = np.column_stack([halves, halves.max(axis=1), n])
+            grams, at = [], []
+            for i, word in enumerate(batch.column("w").to_pylist()):
+                for start in range(1, len(word) + 2, PART):
+                    more = _sequences(word, start, PART)
+                    grams += more
+                    at += [i] * len(more)
+                    if len(grams) > PART:
+                        yield summed()
+                        grams, at = [], []
+            if grams:
+                yield summed()
+
+    rows = counted.select("w", *COUNTS[3:]).mapInArrow(run, ", ".join(["g string", *[f"{c} long" for c in COUNTS]]))
+    return rows.groupBy("g").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def _scored(docs: DataFrame, model: KneserNey, finish, field: str, *more: str) -> DataFrame:

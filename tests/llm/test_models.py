@@ -116,6 +116,19 @@ def test_toxicity(spark, corpus):
     assert toxicity.score_toxicity(docs.limit(2), none).count() == 2
 
 
+def test_toxicity_counts_every_word_type(spark, monkeypatch):
+    rows = [(i, f"plain {'grumbo' if i % 2 else 'kalo'}{chr(97 + i // 26)}{chr(97 + i % 26)}", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "PART", 50)
+    got = toxicity.train_toxicity(docs, labels).model
+    words = sorted({w for _, t, _ in rows for w in t.split()})
+    want = toxicity.KneserNey(words, *[[sum(w in t.split() and y == label for _, t, y in rows) for w in words] for label in (1, 0)])
+    assert got.seen.keys() == want.seen.keys() and got.missing.keys() == want.missing.keys()
+    assert all(got.seen[g] == pytest.approx(want.seen[g]) for g in want.seen)
+    assert got.ratio("grumbozz") > 1 > -1 > got.ratio("kalozz")
+
+
 def test_class_models_are_distributions():
     model = toxicity.KneserNey(["bad", "bat", "cat"], [3, 0, 1], [0, 4, 4])
     assert model.ratio("bad") > 0 > model.ratio("cat") and model.ratio("qqq") == pytest.approx(model.ratio("qqz"))
