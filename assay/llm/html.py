@@ -11,6 +11,7 @@ count and are never taken, wherever they stand.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from assay.llm.shared import cut, table, text_batches
 
 #: Up to this many hosts the winners are broadcast (at most some 20 MB of paths); beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
+#: A longer path is replaced by its digest, which its descendants' paths go on from.
 MAX_PATH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,10 +69,10 @@ def _element(tag: str, raw: str) -> tuple[str, bool, bool]:
 
 
 class Container:
-    __slots__ = ("blocks", "good", "letters", "linked", "path")
+    __slots__ = ("blocks", "good", "letters", "linked", "parent", "path")
 
-    def __init__(self, path: str, good: bool):
-        self.path, self.good, self.letters, self.linked, self.blocks = path, good, 0, 0, 0
+    def __init__(self, path: str, good: bool, parent: int = -1):
+        self.path, self.good, self.parent, self.letters, self.linked, self.blocks = path, good, parent, 0, 0, 0
 
 
 def parse(page: str | None) -> tuple[list[Container], list[tuple[int, str]]]:
@@ -181,8 +183,10 @@ def parse(page: str | None) -> tuple[list[Container], list[tuple[int, str]]]:
         if is_bad:
             bad += 1
         elif not bad and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "dt", "dd", "pre", "blockquote", "ul", "ol", "table", "tbody", "dl", "figure"):
-            outer = containers[inside]
-            containers.append(Container(f"{outer.path}/{step}"[-MAX_PATH:], good))
+            path = f"{containers[inside].path}/{step}"
+            if len(path) > MAX_PATH:
+                path = "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            containers.append(Container(path, good, inside))
             inside = len(containers) - 1
     pop(0)
     end_block()
@@ -210,7 +214,10 @@ def extract(page: str | None, winner: str | None) -> str:
         return ""
 
     def take(path: str) -> str:
-        return " ".join(t for i, t in blocks if containers[i].path == path or containers[i].path.startswith(path + "/"))
+        below: list[bool] = []
+        for c in containers:  # parents come first
+            below.append(c.path == path or c.parent >= 0 and below[c.parent])
+        return " ".join(t for i, t in blocks if below[i])
 
     own = best_path(containers)[0]
     found = take(winner) if winner is not None else ""

@@ -165,6 +165,13 @@ def test_text_of_tables_and_lists():
     assert html.extract("<p>x&nbsp;&nbsp; y\n z<i>w</i></p>", None) == " ".join(entities.unescape("x&nbsp;&nbsp; y z").split()) + "w"
 
 
+def test_long_paths_keep_their_descendants():
+    names = " ".join(f"utility-{chr(97 + i)}" for i in range(26))
+    page = f"<body><div class='{names}'><p>{'First words. ' * 9}</p><div class='{names} inner'><p>nested</p><section><p>deeper</p></section></div></div><div class='other'><p>away</p></div></body>"
+    got = html.extract(page, html.best_path(html.parse(page)[0])[0])
+    assert got.endswith("First words. nested deeper") and all(len(c.path) <= 200 for c in html.parse(page)[0])
+
+
 needs_model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the public tokenizer files are not installed")
 TEXTS = ["", None, " a", "  a\t\nb ", "▁x", "日本語😀 ▁▁", "hello   world", " ", "  x", "x" * 5000, "The quick brown fox. " * 50, "<s> </s> <0x41>"]
 
