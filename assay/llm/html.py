@@ -69,10 +69,10 @@ def _element(tag: str, raw: str) -> tuple[str, bool, bool]:
 
 
 class Container:
-    __slots__ = ("blocks", "good", "letters", "linked", "parent", "path")
+    __slots__ = ("blocks", "good", "letters", "linked", "parent", "path", "whole")
 
-    def __init__(self, path: str, good: bool, parent: int = -1):
-        self.path, self.good, self.parent, self.letters, self.linked, self.blocks = path, good, parent, 0, 0, 0
+    def __init__(self, path: str, good: bool, parent: int = -1, whole: bool = False):
+        self.path, self.good, self.parent, self.whole, self.letters, self.linked, self.blocks = path, good, parent, whole, 0, 0, 0
 
 
 def parse(page: str | None) -> tuple[list[Container], list[tuple[int, str]]]:
@@ -186,7 +186,7 @@ def parse(page: str | None) -> tuple[list[Container], list[tuple[int, str]]]:
             path = f"{containers[inside].path}/{step}"
             if len(path) > MAX_PATH:
                 path = "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-            containers.append(Container(path, good, inside))
+            containers.append(Container(path, good, inside, good and tag not in ("html", "body")))
             inside = len(containers) - 1
     pop(0)
     end_block()
@@ -199,12 +199,22 @@ def score(c: Container) -> float:
 
 
 def best_path(containers: list[Container]) -> tuple[str, float]:
-    """The path with most points over the page's containers; ("", 0.0) if no container has text."""
+    """The path with most points over the page's containers, and these; ("", 0.0) if no container has text.
+
+    An article may be spread over several containers: the path is that of the outermost element around the best one
+    that calls itself an article (html and body aside), if there is any.
+    """
     points: dict[str, float] = {}
     for c in containers:
         points[c.path] = points.get(c.path, 0.0) + score(c)
     path = max(points, key=lambda p: (points[p], p))
-    return path, points[path]
+    at = max((i for i, c in enumerate(containers) if c.path == path), key=lambda i: score(containers[i]))
+    best = path
+    while at >= 0:
+        if containers[at].whole:
+            best = containers[at].path
+        at = containers[at].parent
+    return best, points[path]
 
 
 def extract(page: str | None, winner: str | None) -> str:

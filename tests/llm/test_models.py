@@ -172,6 +172,14 @@ def test_long_paths_keep_their_descendants():
     assert got.endswith("First words. nested deeper") and all(len(c.path) <= 200 for c in html.parse(page)[0])
 
 
+def test_articles_of_several_containers_are_whole():
+    nested = "<body><article><h1>Title</h1><div class='lead'>The lead.</div><div class='text'><p>Long words of the text.</p><p>More.</p></div></article><div class='x'>away</div></body>"
+    assert html.extract(nested, None) == "Title The lead. Long words of the text. More."
+    assert html.best_path(html.parse(nested)[0])[0] == "/body/article"
+    siblings = "<body><div class='post'><section class='a'>One part.</section><section class='b'>Another, longer part.</section></div><div class='x'>away</div></body>"
+    assert html.extract(siblings, html.best_path(html.parse(siblings)[0])[0]) == "One part. Another, longer part."
+
+
 needs_model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the public tokenizer files are not installed")
 TEXTS = ["", None, " a", "  a\t\nb ", "▁x", "日本語😀 ▁▁", "hello   world", " ", "  x", "x" * 5000, "The quick brown fox. " * 50, "<s> </s> <0x41>"]
 
