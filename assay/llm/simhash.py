@@ -117,10 +117,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component: the one with its smallest id; columns unchanged.
 
-    Rows without an id stay; rows that share a component's smallest id all stay.
+    Rows without an id stay; rows that share a component's smallest id all stay. Rows that share an id are judged each by
+    its own fingerprint: the frame is written with a row number of its own first.
     """
-    dropped = near_groups(docs, id_col, **options).where(F.col("id") != F.col("component")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti").select(*docs.columns)
+    named = cut(docs.select("*", F.monotonically_increasing_id().alias("__row")), "simhash-rows")
+    text_col, shingle, seed = options.get("text_col", "text"), options.get("shingle", 3), options.get("seed", 42)
+    gone = near_groups(named, id_col, **options).where(F.col("id") != F.col("component")).select("id", "fp").distinct()
+    prints = fingerprint_table(named, "__row", text_col, shingle, seed).select(F.col("id").alias("__row"), "fp")
+    rows = prints.join(named.select("__row", F.col(id_col).cast("long").alias("id")), "__row").join(gone, ["id", "fp"], "left_semi").select("__row")
+    return named.join(rows, "__row", "left_anti").select(*[named[c] for c in docs.columns])
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,13 @@ def test_near_groups(spark):
     assert near_groups(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    copy, other = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, other), (None, copy)], "doc_id long, text string")
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted((str(r[0]), r[1]) for r in kept.collect()) == [("1", copy), ("2", other), ("None", copy)]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     pairs = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)] + [(7, 3), (3, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame([*pairs, (None, 1)], "a long, b long")).collect()}
