@@ -20,6 +20,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Where nine-digit rounding cuts: not at one half, for short decimals often lie there and sums' last bits would decide.
 SHIFT = 0.3819660113
+#: Below this only the rounding of sums that cancel out is left.
+FLOOR = 1e-14
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def stable(df: DataFrame) -> DataFrame:
         k = F.lit(8) - F.floor(F.log10(F.abs(v)))
         up, down = F.pow(F.lit(10.0), k), F.pow(F.lit(10.0), -k)
         rounded = F.when(k >= 0, F.floor(v * up + SHIFT) / up).otherwise(F.floor(v / down + SHIFT) * down)
-        return F.when(F.isnan(v), v).when(F.abs(v) < 1e-9, 0.0).when(v.isNotNull(), rounded)
+        return F.when(F.isnan(v), v).when(F.abs(v) < FLOOR, 0.0).when(v.isNotNull(), rounded)
 
     return df.withColumns({c: nine(F.col(f"`{c}`")) for c, t in df.dtypes if t == "double"})
 
@@ -40,7 +42,7 @@ def stable_sql(sql: str, doubles: str) -> str:
     def nine(c: str) -> str:
         v = f'"{c}"::DOUBLE'
         k = f"(8 - floor(log10(abs({v}))))"
-        return f"""CASE WHEN abs({v}) < 1e-9 THEN 0 WHEN {k} >= 0 THEN floor({v} * pow(10.0::DOUBLE, {k}) + {SHIFT}::DOUBLE) / pow(10.0::DOUBLE, {k}) ELSE floor({v} / pow(10.0::DOUBLE, -{k}) + {SHIFT}::DOUBLE) * pow(10.0::DOUBLE, -{k}) END::DOUBLE AS "{c}\""""
+        return f"""CASE WHEN abs({v}) < {FLOOR} THEN 0 WHEN {k} >= 0 THEN floor({v} * pow(10.0::DOUBLE, {k}) + {SHIFT}::DOUBLE) / pow(10.0::DOUBLE, {k}) ELSE floor({v} / pow(10.0::DOUBLE, -{k}) + {SHIFT}::DOUBLE) * pow(10.0::DOUBLE, -{k}) END::DOUBLE AS "{c}\""""
 
     return f"SELECT * REPLACE ({', '.join(nine(c) for c in doubles.split())}) FROM ({sql}) AS found" if doubles else sql
 
@@ -315,12 +317,16 @@ query("pca_ratio")(lambda t: profile.pca_ratio(t.priced(), ["l_quantity", "l_ext
 
 # ---------------------------------------------------------------- time
 
+def shift_sql(columns: dict[str, str]) -> str:
+    return f"""WITH q AS (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.25) AS a, quantile_cont(epoch_us(ts)::DOUBLE, 0.5) AS b, quantile_cont(epoch_us(ts)::DOUBLE, 0.75) AS c FROM events),
+    e AS (SELECT *, CASE WHEN epoch_us(ts) <= a THEN 1 WHEN epoch_us(ts) <= b THEN 2 WHEN epoch_us(ts) <= c THEN 3 ELSE 4 END AS k FROM events, q),
+    u AS ({union(f"SELECT '{c}' AS column, avg({x}) FILTER (k = 1) AS q1, avg({x}) FILTER (k = 2) AS q2, avg({x}) FILTER (k = 3) AS q3, avg({x}) FILTER (k = 4) AS q4 FROM e" for c, x in columns.items())})
+    SELECT *, abs(q4 - q1) / greatest(abs(q1), 1e-9) * 100 AS drift_pct, abs(q4 - q1) / greatest(abs(q1), 1e-9) * 100 > 20 AS drifted FROM u"""
+
+
 query(
     "temporal_quartile_shift",
-    f"""WITH q AS (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.25) AS a, quantile_cont(epoch_us(ts)::DOUBLE, 0.5) AS b, quantile_cont(epoch_us(ts)::DOUBLE, 0.75) AS c FROM events),
-    e AS (SELECT *, CASE WHEN epoch_us(ts) <= a THEN 1 WHEN epoch_us(ts) <= b THEN 2 WHEN epoch_us(ts) <= c THEN 3 ELSE 4 END AS k FROM events, q),
-    u AS ({union(f"SELECT '{c}' AS column, avg({x}) FILTER (k = 1) AS q1, avg({x}) FILTER (k = 2) AS q2, avg({x}) FILTER (k = 3) AS q3, avg({x}) FILTER (k = 4) AS q4 FROM e" for c, x in (('value', 'value'), ('user_id', 'user_id'), ('grown', 'value * event_id')))})
-    SELECT *, abs(q4 - q1) / greatest(abs(q1), 1e-9) * 100 AS drift_pct, abs(q4 - q1) / greatest(abs(q1), 1e-9) * 100 > 20 AS drifted FROM u""",
+    shift_sql({"value": "value", "user_id": "user_id", "grown": "value * event_id"}),
     "q1 q2 q3 q4 drift_pct",
 )(lambda t: temporal.quartile_shift(t.events.withColumn("grown", F.col("value") * F.col("event_id")), "ts", ["value", "user_id", "grown"]))
 query(
@@ -328,7 +334,7 @@ query(
     "SELECT event_id AS key, ts AS time, value, avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS rolling FROM events",
     "value rolling",
 )(lambda t: temporal.rolling_mean(t.events, "ts", "value", "event_id", 500).withColumn("time", F.col("time").cast("timestamp_ntz")))
-query("temporal_awareness")(lambda t: temporal.temporal_awareness(t.events))
+query("temporal_awareness", f"SELECT *, 'ts' AS time FROM ({shift_sql({c: c for c in ('event_id', 'user_id', 'value')})})", "q1 q2 q3 q4 drift_pct")(lambda t: temporal.temporal_awareness(t.events))
 
 # ---------------------------------------------------------------- interactions
 
@@ -357,15 +363,50 @@ def mi_sql(rows: str, a: str, b: str) -> str:
 
 
 MI_PAIRS = [("l_extendedprice", "net_price"), ("l_quantity", "net_price")]
-query("binned_mi")(lambda t: interactions.mutual_information(interactions.binned(t.priced().withColumn("k", F.xxhash64(*t.lineitem.columns)), ["l_extendedprice", "net_price", "l_quantity"], "k"), MI_PAIRS))
+ROW_KEY = [c for c in LINEITEM if c != "l_shipdate"]  # all columns of a row, so that rows of equal keys are equal
+
+
+def keyed_rows(t: Tables) -> DataFrame:
+    return t.priced().withColumn("k", F.md5(F.concat_ws("|", *[F.col(c).cast("decimal(20,2)").cast("string") if c not in CATEGORIES else F.col(c) for c in ROW_KEY]).cast("binary")))
+
+
+def bins_sql(columns: list[str], few: tuple[str, ...] = ()) -> str:
+    key = "md5(concat_ws('|', " + ", ".join(c if c in CATEGORIES else f"{c}::DECIMAL(20,2)::VARCHAR" for c in ROW_KEY) + "))"
+    return f"p AS (SELECT *, {key} AS k FROM ({PRICED})), b AS (SELECT {', '.join(f'{c}' if c in few else f'ntile(16) OVER (ORDER BY {c}, k) AS {c}' for c in columns)} FROM p)"
+
+
+query("binned_mi", f"WITH {bins_sql(['l_extendedprice', 'net_price', 'l_quantity'])} {union(f'SELECT * FROM ({mi_sql('b', a, b)})' for a, b in MI_PAIRS)}", "mi score")(
+    lambda t: interactions.mutual_information(interactions.binned(keyed_rows(t), ["l_extendedprice", "net_price", "l_quantity"], "k"), MI_PAIRS)
+)
 EVENT_BINS = "WITH b AS (SELECT ntile(16) OVER (ORDER BY value, event_id) AS value, ntile(16) OVER (ORDER BY user_id, event_id) AS user_id, ntile(16) OVER (ORDER BY value * value + event_id / 100.0, event_id) AS mixed FROM events)"
 EVENT_PAIRS = [("value", "user_id"), ("value", "mixed"), ("user_id", "mixed")]
 query("binned_mi_events", f"{EVENT_BINS} {union(f'SELECT * FROM ({mi_sql('b', a, b)})' for a, b in EVENT_PAIRS)}", "mi score")(
     lambda t: interactions.mutual_information(interactions.binned(t.events.select("event_id", "value", "user_id", (F.col("value") * F.col("value") + F.col("event_id") / 100.0).alias("mixed")), ["value", "user_id", "mixed"], "event_id"), EVENT_PAIRS)
 )
-query("pair_scores")(lambda t: interactions.pair_scores(t.priced().withColumn("k", F.xxhash64(*t.lineitem.columns)).drop("l_shipdate"), "k").where("a <> 'k' AND b <> 'k'"))
-query("target_scores")(lambda t: interactions.target_scores(t.events.select("event_id", "event_type", "value", "user_id"), "value", "event_id"))
-query("interaction_matrix")(lambda t: interactions.matrix(interactions.pair_scores(t.events.select("event_id", "event_type", "value", "user_id"), "event_id")))
+STRENGTH = "CASE WHEN score >= 0.7 THEN 'Strong' WHEN score >= 0.4 THEN 'Moderate' WHEN score >= 0.15 THEN 'Weak' ELSE 'Negligible' END AS strength"
+PAIR_NUMBERS = [c for c in LINEITEM if c not in (*CATEGORIES, "l_shipdate")] + ["net_price"]
+query(
+    "pair_scores",
+    f"""WITH {bins_sql(PAIR_NUMBERS, ('l_linenumber', 'l_discount', 'l_tax'))}, t AS (SELECT * FROM p), s AS ({union([
+        *[f"SELECT a, b, 'mutual_information' AS method, score FROM ({mi_sql('b', a, b)})" for a, b in pairs_of(PAIR_NUMBERS)],
+        *[f"SELECT a, b, 'cramers_v' AS method, v AS score FROM ({cramers_sql(a, b)})" for a, b in pairs_of(CATEGORIES)],
+        *[f"SELECT number AS a, category AS b, 'correlation_ratio' AS method, eta2 AS score FROM ({eta_sql(g, x)})" for g in CATEGORIES for x in PAIR_NUMBERS],
+    ])}) SELECT *, {STRENGTH} FROM s""",
+    "score",
+)(lambda t: interactions.pair_scores(keyed_rows(t).drop("l_shipdate"), "k"))
+SOME_EVENTS = f"{EVENT_BINS}, t AS (SELECT event_id, event_type, value, user_id FROM events)"
+query(
+    "target_scores",
+    f"""{SOME_EVENTS}, s AS (SELECT 'user_id' AS column, 'mutual_information' AS method, mi AS score FROM ({mi_sql('b', 'user_id', 'value')}) UNION ALL
+    SELECT 'event_type', 'correlation_ratio', eta2 FROM ({eta_sql('event_type', 'value')})) SELECT *, {STRENGTH} FROM s""",
+    "score",
+)(lambda t: interactions.target_scores(t.events.select("event_id", "event_type", "value", "user_id"), "value", "event_id"))
+query(
+    "interaction_matrix",
+    f"""{SOME_EVENTS}, s AS (SELECT a, b, score FROM ({mi_sql('b', 'user_id', 'value')}) UNION ALL {union(f"SELECT number, category, eta2 FROM ({eta_sql('event_type', x)})" for x in ('value', 'user_id'))})
+    SELECT a, b, score FROM s UNION ALL SELECT b, a, score FROM s UNION ALL {union(f"SELECT '{c}', '{c}', 1.0::DOUBLE" for c in ('value', 'user_id', 'event_type'))}""",
+    "score",
+)(lambda t: interactions.matrix(interactions.pair_scores(t.events.select("event_id", "event_type", "value", "user_id"), "event_id")))
 
 # ---------------------------------------------------------------- drift
 
@@ -423,15 +464,39 @@ query(
     count(*) FILTER (level = 'Minor') AS n_minor, count(*) FILTER (level = 'Negligible') AS n_negligible FROM p) SELECT *, {LEVEL.format('avg_psi')} AS level FROM g""",
     "avg_psi",
 )(lambda t: drift.dataset_drift(*t.halves()).drop("verdict"))
-query("drift_numeric_records")(lambda t: drift.numeric_drift(*t.halves(), ["value", "user_id"]))
-query("drift_categorical_records")(lambda t: drift.categorical_drift(*t.halves(), ["event_type"]))
-query("schema_diff")(lambda t: drift.schema_diff(t.events, t.events.withColumn("value", F.col("value").cast("string")).withColumn("added", F.lit(1)).drop("props")))
+def record_sql(c: str) -> str:
+    """One numeric record: the shifts are absolute."""
+    return f"""WITH r AS (SELECT count({c}) AS n, avg({c}) AS m, stddev_pop({c}) AS s, quantile_cont({c}::DOUBLE, 0.5) AS q FROM {REF}), w AS (SELECT count({c}) AS n, avg({c}) AS m, stddev_pop({c}) AS s, quantile_cont({c}::DOUBLE, 0.5) AS q FROM {NEW}),
+    a AS (SELECT {c} AS v, 0 AS s FROM {REF} UNION ALL SELECT {c}, 1 FROM {NEW}), f AS (SELECT v, count(*) FILTER (s = 0) AS x, count(*) FILTER (s = 1) AS y FROM a WHERE v IS NOT NULL GROUP BY 1),
+    g AS (SELECT sum(x) OVER (ORDER BY v) / sum(x) OVER ()::DOUBLE AS x, sum(y) OVER (ORDER BY v) / sum(y) OVER ()::DOUBLE AS y FROM f), d AS (SELECT max(abs(x - y)) AS ks FROM g),
+    e AS (SELECT ks, sqrt(r.n * w.n / (r.n + w.n)::DOUBLE) AS root FROM d, r, w), p AS (SELECT ks, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * pow((root + 0.12 + 0.11 / root) * ks, 2))) AS tail FROM e, range(1, 101) j(j) GROUP BY ks)
+    SELECT '{c}' AS column, r.n AS ref_n, w.n AS new_n, psi, {LEVEL.format('psi')} AS level, ks, least(1.0, greatest(0.0, tail)) AS ks_p, tail < 0.05 AS ks_significant, r.m AS ref_mean, w.m AS new_mean, abs(w.m - r.m) / greatest(abs(r.m), 1e-9) * 100 AS mean_shift_pct,
+    r.s AS ref_std, w.s AS new_std, abs(w.s - r.s) / greatest(abs(r.s), 1e-9) * 100 AS std_shift_pct, r.q AS ref_median, w.q AS new_median, NULL::VARCHAR AS error FROM r, w, p, ({psi_sql(c)}) z"""
+
+
+RECORD = "psi ks ks_p ref_mean new_mean mean_shift_pct ref_std new_std std_shift_pct ref_median new_median"
+query("drift_numeric_records", union(f"SELECT * FROM ({record_sql(c)})" for c in ("value", "user_id")), RECORD)(lambda t: drift.numeric_drift(*t.halves(), ["value", "user_id"]))
+query(
+    "drift_categorical_records",
+    f"""WITH x AS ({CAT} SELECT count(*) FILTER (r > 0) AS ref_unique, count(*) FILTER (n > 0) AS new_unique, count(*) FILTER (r = 0) AS n_appeared, count(*) FILTER (n = 0) AS n_disappeared,
+    coalesce(string_agg(v, ',' ORDER BY v) FILTER (r = 0), '') AS appeared, coalesce(string_agg(v, ',' ORDER BY v) FILTER (n = 0), '') AS disappeared FROM c)
+    SELECT 'event_type' AS column, psi, {LEVEL.format('psi')} AS level, chi2, dof, x.* FROM x, ({ORACLE_SQL['psi_categorical']}) p, ({ORACLE_SQL['drift_chi2']}) q""",
+    "psi chi2",
+)(lambda t: drift.categorical_drift(*t.halves(), ["event_type"]).drop("chi2_p").withColumns({c: F.array_join(c, ",") for c in ("appeared", "disappeared")}))
+query(
+    "schema_diff",
+    "SELECT * FROM (VALUES ('added', 'appeared', NULL, 'int'), ('props', 'disappeared', 'string', NULL), ('value', 'type changed', 'double', 'string')) AS v(\"column\", change, ref_type, new_type)",
+)(lambda t: drift.schema_diff(t.events, t.events.withColumn("value", F.col("value").cast("string")).withColumn("added", F.lit(1)).drop("props")))
 
 # ---------------------------------------------------------------- readiness and leakage
 
 KINDS = {"l_orderkey": "numeric", "l_quantity": "numeric", "l_extendedprice": "numeric", "l_discount": "numeric", "l_tax": "numeric", "l_returnflag": "categorical", "l_linestatus": "categorical", "l_shipdate": "datetime", "net_price": "numeric"}
 
 
+def label_sql(c: str) -> str:
+    return f"CASE {c} WHEN 'A' THEN 'Production-ready' WHEN 'B' THEN 'Minor prep needed' WHEN 'C' THEN 'Moderate prep needed' WHEN 'D' THEN 'Significant issues' ELSE 'Critical — fix before training' END"
+
+
 def readiness_sql() -> str:
     """Every dimension written out for the table with gaps and target net_price."""
     parts = []
@@ -452,9 +517,9 @@ def readiness_sql() -> str:
     CASE WHEN is_target THEN 100 ELSE 100 - greatest(risk, coalesce(CASE WHEN r > 0.97 THEN 95 WHEN r > 0.9 THEN 78 WHEN r > 0.8 THEN 55 WHEN r > 0.7 THEN 35 END, 0)) END::DOUBLE AS leakage_risk,
     CASE WHEN NOT num THEN 90 WHEN n < 4 OR iqr = 0 THEN 75 WHEN outp = 0 THEN 100 WHEN outp < 0.5 THEN 95 WHEN outp < 1 THEN 88 WHEN outp < 3 THEN 72 WHEN outp < 7 THEN 50 WHEN outp < 15 THEN 28 ELSE 10 END::DOUBLE AS outlier_severity,
     CASE kind WHEN 'numeric' THEN 95 WHEN 'datetime' THEN 68 ELSE 80 END::DOUBLE AS type_fitness, CASE WHEN n = 0 THEN 50 WHEN top / n::DOUBLE > 0.99 THEN 15 WHEN top / n::DOUBLE > 0.95 THEN 40 ELSE 100 END::DOUBLE AS consistency,
-    gone AS missing_pct, u AS n_unique, is_target FROM m),
-    g AS (SELECT *, round((completeness * 2.5 + distribution * 2.0 + cardinality * 1.5 + leakage_risk + outlier_severity + type_fitness * 0.8 + consistency * 0.2) / 9.0, 1) AS total FROM d)
-    SELECT *, CASE WHEN total >= 90 THEN 'A' WHEN total >= 75 THEN 'B' WHEN total >= 60 THEN 'C' WHEN total >= 45 THEN 'D' ELSE 'F' END AS grade FROM g"""
+    gone AS missing_pct, skew, CASE WHEN num AND iqr > 0 THEN outp END AS outlier_pct, u AS n_unique, is_target FROM m),
+    g AS (SELECT *, round((completeness * 2.5 + leakage_risk * 2.0 + outlier_severity * 1.5 + distribution + cardinality + type_fitness * 0.8 + consistency * 0.2) / 9.0, 1) AS total FROM d)
+    SELECT *, {label_sql('grade')} AS label FROM (SELECT *, CASE WHEN total >= 90 THEN 'A' WHEN total >= 75 THEN 'B' WHEN total >= 60 THEN 'C' WHEN total >= 45 THEN 'D' ELSE 'F' END AS grade FROM g)"""
 
 
 def ready(t: Tables) -> DataFrame:
@@ -463,11 +528,11 @@ def ready(t: Tables) -> DataFrame:
 
 
 DIMS = " ".join(readiness.WEIGHTS)
-query("readiness_columns", readiness_sql(), f"{DIMS} total missing_pct")(ready)
+query("readiness_columns", readiness_sql(), f"{DIMS} total missing_pct skew outlier_pct")(ready)
 query(
     "readiness_dataset",
     f"""WITH c AS ({readiness_sql()}), s AS (SELECT round(sum(total * CASE WHEN kind = 'numeric' THEN 1.5 ELSE 1 END) / sum(CASE WHEN kind = 'numeric' THEN 1.5 ELSE 1 END), 1) AS score, {', '.join(f'round(avg({d}), 1) AS {d}' for d in readiness.WEIGHTS)},
-    {', '.join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in 'ABCDF')} FROM c) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END AS grade FROM s""",
+    {', '.join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in 'ABCDF')} FROM c) SELECT *, {label_sql('grade')} AS label FROM (SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END AS grade FROM s)""",
     f"score {DIMS}",
 )(lambda t: readiness.dataset_score(ready(t)))
 query(
@@ -480,8 +545,8 @@ query(
 LEAKY = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CORR = f"""SELECT "column", 'target_correlation' AS detector, CASE WHEN abs(r) >= 0.97 THEN 'critical' ELSE 'high' END AS severity, r AS detail FROM ({union(f"SELECT '{c}' AS column, {corr_sql(c, 'net_price')} AS r FROM t" for c in LEAKY)}) WHERE abs(r) >= 0.85"""
 query("leak_target_corr", f"WITH t AS ({PRICED}) {CORR}", "detail")(lambda t: leakage.target_correlation(t.priced().select(*LEAKY, "net_price"), "net_price"))
-query("leak_name")(lambda t: leakage.name_similarity(t.priced(), "price"))
-query("leak_suffix")(lambda t: leakage.derived_name(t.orders.withColumnRenamed("o_orderstatus", "order_status"), "o_orderstatus order"))
+query("leak_name", "SELECT * FROM (VALUES ('l_extendedprice', 'name_similarity', 'high', NULL::DOUBLE), ('net_price', 'name_similarity', 'high', NULL)) AS v(\"column\", detector, severity, detail)", "detail")(lambda t: leakage.name_similarity(t.priced(), "price"))
+query("leak_suffix", "SELECT * FROM (VALUES ('order_status', 'derived_name', 'high', NULL::DOUBLE)) AS v(\"column\", detector, severity, detail)", "detail")(lambda t: leakage.derived_name(t.orders.withColumnRenamed("o_orderstatus", "order_status"), "o_orderstatus order"))
 
 
 def id_sql(table: str, columns: dict[str, str]) -> str:
@@ -507,7 +572,26 @@ query(
     f"""WITH t AS ({PRICED}), f AS (SELECT "column", detector, severity FROM ({CORR}))
     SELECT "column", detector, severity, 1::BIGINT AS n_findings FROM f""",
 )(lambda t: leakage.consolidated(leakage.findings(t.priced().select(*LEAKY, "net_price"), "net_price")))
-query("recommendations")(lambda t: recommend.recommendations(t.gaps(), "l_quantity"))
+
+
+def recommend_sql(target: str) -> str:
+    """The rules over the table with gaps; its columns' kinds are known."""
+    numbers = [c for c in LINEITEM if c not in (*CATEGORIES, "l_shipdate")]
+    part = lambda i, c: f"""SELECT {i} AS place, '{c}' AS c, {c in numbers} AS num, {c in CATEGORIES} AS cat, {c == target} AS is_target, (count(*) - count({c}))::DOUBLE / count(*) AS gone, count({c}) AS n, count(DISTINCT {c}) AS u,
+      {f"(SELECT quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25) FROM t)" if c in numbers else 'NULL::DOUBLE'} AS iqr,
+      {f"(SELECT count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / count({c})::DOUBLE FROM t, (SELECT quantile_cont({c}::DOUBLE, 0.25) AS a, quantile_cont({c}::DOUBLE, 0.75) AS b FROM t))" if c in numbers else 'NULL::DOUBLE'} AS outliers,
+      {moments(c)['skewness'] if c in numbers else 'NULL::DOUBLE'} AS skew, {f'min({c})::DOUBLE' if c in numbers else 'NULL::DOUBLE'} AS least FROM t"""
+    rules = {
+        "drop_high_miss": "gone > 0.4", "impute_num": "num AND gone > 0.05 AND gone <= 0.4", "impute_cat": "cat AND gone > 0.05 AND gone <= 0.4", "outliers": "num AND NOT is_target AND iqr > 0 AND n >= 4 AND outliers > 0.05",
+        "skew": "num AND NOT is_target AND n > 2 AND abs(skew) > 1.5 AND least > 0", "scale": "num AND NOT is_target", "enc_low": "cat AND NOT is_target AND u <= 15", "enc_high": "cat AND NOT is_target AND u > 15",
+    }
+    offer = lambda k: f"'{recommend.OFFERS[k][0]}' AS category, '{recommend.OFFERS[k][1]}' AS severity"
+    out = [f"SELECT '{k}' AS id, {offer(k)}, string_agg(c, ',' ORDER BY place) AS affected, '{','.join(recommend.OFFERS[k][2])}' AS actions FROM s WHERE {rule} HAVING count(*) > 0" for k, rule in rules.items()]
+    out.append(f"SELECT 'dups', {offer('dups')}, '', '{','.join(recommend.OFFERS['dups'][2])}' WHERE (SELECT count(*) FROM t) > (SELECT count(*) FROM (SELECT DISTINCT * FROM t))")
+    return f"WITH t AS ({GAPS}), s AS ({union(part(i, c) for i, c in enumerate(LINEITEM))}) {union(f'SELECT * FROM ({x})' for x in out)}"
+
+
+query("recommendations", recommend_sql("l_quantity"))(lambda t: recommend.recommendations(t.gaps(), "l_quantity").withColumns({c: F.array_join(c, ",") for c in ("affected", "actions")}))
 
 # ---------------------------------------------------------------- transforms
 
@@ -571,6 +655,11 @@ query(
     SELECT t.* REPLACE (coalesce(code, -1)::INTEGER AS l_returnflag) FROM t LEFT JOIN f ON f.v = t.l_returnflag""",
     NUM,
 )(lambda t: transforms.apply(keyed(t), "encode_label", ["l_returnflag"], order_by="l_orderkey"))
+query(
+    "t_encode_label_first",
+    """WITH f AS (SELECT v, row_number() OVER (ORDER BY first, v) - 1 AS code FROM (SELECT o_orderpriority AS v, min(file_row_number) AS first FROM (SELECT *, row_number() OVER () AS file_row_number FROM orders) GROUP BY 1))
+    SELECT o_orderkey, code::INTEGER AS o_orderpriority FROM orders JOIN f ON f.v = o_orderpriority""",
+)(lambda t: transforms.apply(t.orders.select("o_orderkey", "o_orderpriority"), "encode_label", ["o_orderpriority"]))
 query(
     "t_encode_onehot",
     "SELECT o_orderkey, " + ", ".join(f"coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END = '{v}', false) AS \"o_orderstatus_{v}\"" for v in "FOP") + " FROM orders",

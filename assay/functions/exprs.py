@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,14 +69,37 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when((F.count(x) > 1) & ~constant(x) & ~constant(y), F.covar_pop(x, y) / F.when(scale != 0, scale))
 
 
-def quantiles(c: Column, *at: float, exact: bool = True) -> Column:
-    """Quantiles by linear interpolation, or sketched with bounded memory where the table is too large for that."""
+#: Setting of the session: "exact" (default), or "sketch" for tables whose distinct values don't fit one task's memory.
+MODE = "spark.assay.statistics"
+
+
+def sketching(df: DataFrame | None = None) -> bool:
+    """Whether quantiles, modes and distinct counts are sketched with bounded memory; read as a plan is made."""
+    spark = df.sparkSession if df is not None else SparkSession.getActiveSession()
+    mode = spark.conf.get(MODE, "exact") if spark is not None else "exact"
+    if mode not in ("exact", "sketch"):
+        raise ValueError(f"{MODE} is exact or sketch, not {mode!r}")
+    return mode == "sketch"
+
+
+def quantiles(c: Column, *at: float, exact: bool | None = None) -> Column:
+    """Quantiles by linear interpolation; sketched (rank error below 1/10,000) in the sketching mode or on request."""
     points = F.array(*map(F.lit, at))
-    return F.percentile(c, points) if exact else F.percentile_approx(c, points, F.lit(10_000))
+    return F.percentile(c, points) if (not sketching() if exact is None else exact) else F.percentile_approx(c, points, F.lit(10_000))
+
+
+def quantile(c: Column, at: float, exact: bool | None = None) -> Column:
+    return quantiles(c, at, exact=exact)[0]
+
+
+def top_count(c: Column) -> Column:
+    """How often the most frequent value occurs, from a sketch of 10,000 frequent items."""
+    return F.coalesce(F.call_function("approx_top_k", c, F.lit(1), F.lit(10_000))[0]["count"], F.lit(0)).cast("long")
 
 
-def quantile(c: Column, at: float, exact: bool = True) -> Column:
-    return F.percentile(c, F.lit(at)) if exact else F.percentile_approx(c, F.lit(at), F.lit(10_000))
+def mode(c: Column) -> Column:
+    """The most frequent value, of equally frequent ones the least; from a sketch in the sketching mode."""
+    return F.call_function("approx_top_k", c, F.lit(1), F.lit(10_000))[0]["item"] if sketching() else F.mode(c, True)
 
 
 def band(value: Column, steps: list[tuple[float, object]], last: object, strict: bool = True) -> Column:

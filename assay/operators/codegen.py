@@ -46,15 +46,15 @@ def generate(analysis: dict, target: str | None, problem: str | None = None, pat
         "\n".join(f"{k.upper()} = {d[k]!r}" for k in ("dropped", "numbers", "skewed", "onehot", "ordinal", "frequency")) + f"\nTARGET = {target!r}",
         f'spark = SparkSession.builder.getOrCreate()\ndf = spark.read.parquet({path!r}).drop(*DROPPED).where(F.col(f"`{{TARGET}}`").isNotNull())',
         "# Skewed numbers on a log scale; all numbers as doubles.\nfor c in NUMBERS:\n    x = F.col(f'`{c}`').cast('double')\n    df = df.withColumn(c, F.log1p(F.greatest(x, F.lit(0.0))) if c in SKEWED else x)",
-        "# Categories of many values by their frequency.\nfor c in FREQUENCY:\n    n = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias('n'))\n    total = n.agg(F.sum('n')).first()[0] or 1\n    df = df.join(n.select(c, (F.col('n') / total).alias(f'{c}_frequency')), c, 'left').fillna(0.0, [f'{c}_frequency'])",
         "df = df.fillna('missing', [c for c, t in df.dtypes if c in ONEHOT + ORDINAL and t == 'string'])\nfor c, t in df.dtypes:\n    if c in ONEHOT + ORDINAL and t == 'boolean':\n        df = df.withColumn(c, F.coalesce(F.col(c).cast('string'), F.lit('missing')))",
         ("df = df.withColumn('label', F.col(TARGET).cast('double'))" if regression else "labels = StringIndexer(inputCol=TARGET, outputCol='label', handleInvalid='skip').fit(df)\ndf = labels.transform(df)"),
-        ("counts = {r['label']: r['count'] for r in df.groupBy('label').count().collect()}\ntotal = sum(counts.values())\nweights = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, total / (len(counts) * n))])\ndf = df.withColumn('weight', weights[F.col('label')])" if d["imbalanced"] else "# The classes are balanced, or there are none; no row weights."),
+        "# Everything learned from here on is learned from the training rows only.\ntrain, test = df.randomSplit([0.8, 0.2], seed=42)",
+        "# Categories of many values by their frequency.\nfor c in FREQUENCY:\n    n = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias('n'))\n    total = n.agg(F.sum('n')).first()[0] or 1\n    shares = n.select(c, (F.col('n') / total).alias(f'{c}_frequency'))\n    train, test = (d.join(shares, c, 'left').fillna(0.0, [f'{c}_frequency']) for d in (train, test))",
+        ("counts = {r['label']: r['count'] for r in train.groupBy('label').count().collect()}\ntotal = sum(counts.values())\nweights = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, total / (len(counts) * n))])\ntrain = train.withColumn('weight', F.coalesce(weights[F.col('label')], F.lit(1.0)))" if d["imbalanced"] else "# The classes are balanced, or there are none; no row weights."),
         "stages, features = [], [f'{c}_frequency' for c in FREQUENCY]\nif NUMBERS:\n" + ("    # Few columns have gaps: nearest-neighbour imputation before this script may do better than the median.\n" if d["knn"] else "")
         + f"    stages += [Imputer(strategy='median', inputCols=NUMBERS, outputCols=[f'{{c}}_full' for c in NUMBERS]), VectorAssembler(inputCols=[f'{{c}}_full' for c in NUMBERS], outputCol='numbers', handleInvalid='keep'), {scaler}(inputCol='numbers', outputCol='scaled', {'withCentering' if d['robust'] else 'withMean'}=True)]\n    features.append('scaled')",
         "if ONEHOT or ORDINAL:\n    cs = ONEHOT + ORDINAL\n    stages.append(StringIndexer(inputCols=cs, outputCols=[f'{c}_index' for c in cs], handleInvalid='keep'))\n    features += [f'{c}_index' for c in ORDINAL]\nif ONEHOT:\n    stages.append(OneHotEncoder(inputCols=[f'{c}_index' for c in ONEHOT], outputCols=[f'{c}_onehot' for c in ONEHOT], handleInvalid='keep'))\n    features += [f'{c}_onehot' for c in ONEHOT]",
         f"stages.append(VectorAssembler(inputCols=features, outputCol='features', handleInvalid='keep'))\nmodel = {model}(labelCol='label', featuresCol='features', seed=42{weight})\n# Others to try: {others}\npipeline = Pipeline(stages=[*stages, model])",
-        "train, test = df.randomSplit([0.8, 0.2], seed=42)",
         f"evaluator = {metric}\ngrid = ParamGridBuilder().addGrid(model.maxDepth, [5, 10]).build()\nsearch = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator, numFolds=5, seed=42, parallelism=4)\nfitted = search.fit(train)",
         "print('cross-validated:', max(fitted.avgMetrics) if evaluator.isLargerBetter() else min(fitted.avgMetrics))\nprint('held out:', evaluator.evaluate(fitted.transform(test)))\nbest = fitted.bestModel\nprint('importances:', best.stages[-1].featureImportances)\nbest.write().overwrite().save('model')",
     ]

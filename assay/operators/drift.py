@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import above, count_where, ident, ratio
+from assay.functions.exprs import above, count_where, ident, quantiles, ratio
 from assay.functions.special import chi2_tail, kolmogorov_tail
 from assay.plans.kinds import drift_kind, type_family
 from assay.plans.ranks import running
-from assay.plans.statplan import unpivot
+from assay.plans.statplan import unpivot, with_totals
 
 #: Limits of the levels, and what an empty bin or category counts.
 LEVELS = [(0.25, "Major"), (0.20, "Moderate"), (0.10, "Minor")]
@@ -52,11 +52,9 @@ def psi_numeric(ref: DataFrame, new: DataFrame, columns: list[str], buckets: int
 def psi_categorical(ref: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (column, psi): categories missing on a side get a floor share, then both sides are renormalised."""
     t = _tables(ref, new, columns, "string")
-    w = Window.partitionBy("column")
-    nr, nn = F.sum("r").over(w), F.sum("n").over(w)
-    t = t.withColumn("nr", nr).withColumn("nn", nn).where("nr > 0 and nn > 0")
+    t = with_totals(t, ["column"], nr=F.sum("r"), nn=F.sum("n")).where("nr > 0 and nn > 0")
     t = t.withColumn("p", F.when(F.col("r") == 0, FLOOR).otherwise(F.col("r") / F.col("nr"))).withColumn("q", F.when(F.col("n") == 0, FLOOR).otherwise(F.col("n") / F.col("nn")))
-    t = t.withColumn("p", F.col("p") / F.sum("p").over(w)).withColumn("q", F.col("q") / F.sum("q").over(w))
+    t = with_totals(t, ["column"], sp=F.sum("p"), sq=F.sum("q")).withColumn("p", F.col("p") / F.col("sp")).withColumn("q", F.col("q") / F.col("sq"))
     got = t.groupBy("column").agg(F.abs(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p")))).alias("psi"))
     every = ref.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
     return every.join(got, "column", "left").select("column", F.coalesce("psi", F.lit(0.0)).alias("psi"))
@@ -72,14 +70,14 @@ def ks_two_sample(ref: DataFrame, new: DataFrame, columns: list[str]) -> DataFra
 
 def snapshots(ref: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (column, side, n, mean, std, median, p0, ..., p100) of each side; population deviation."""
-    q = F.percentile("value", F.array(*map(F.lit, SHARES)))
+    q = quantiles(F.col("value"), *SHARES)
     got = sides(ref, new, columns, "double").groupBy("column", F.when(F.col("is_new"), "new").otherwise("ref").alias("side"))
     got = got.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q"))
     return got.select("column", "side", "n", "mean", "std", F.col("q")[3].alias("median"), *[F.col("q")[i].alias(f"p{round(s * 100)}") for i, s in enumerate(SHARES)])
 
 
 def numeric_drift(ref: DataFrame, new: DataFrame, columns: list[str], buckets: int = 10) -> DataFrame:
-    """One record per numeric column: PSI, level, KS with p-value, shifts of mean and deviation in percent.
+    """One record per numeric column: PSI, level, KS with p-value, absolute shifts of mean and deviation in percent.
 
     Below five values on a side there is no PSI, and ``error`` says so.
     """
@@ -87,7 +85,7 @@ def numeric_drift(ref: DataFrame, new: DataFrame, columns: list[str], buckets: i
     wide = s.groupBy("column").agg(*[F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}") for side in ("ref", "new") for c in ("n", "mean", "std", "median")])
     got = wide.join(psi_numeric(ref, new, columns, buckets), "column", "left").join(ks_two_sample(ref, new, columns).select("column", "ks"), "column", "left")
     enough = (F.coalesce("ref_n", F.lit(0)) >= 5) & (F.coalesce("new_n", F.lit(0)) >= 5)
-    shift = lambda c: F.when(enough, (F.col(f"new_{c}") - F.col(f"ref_{c}")) / F.greatest(F.abs(f"ref_{c}"), F.lit(1e-9)) * 100)
+    shift = lambda c: F.when(enough, F.abs(F.col(f"new_{c}") - F.col(f"ref_{c}")) / F.greatest(F.abs(f"ref_{c}"), F.lit(1e-9)) * 100)
     got = got.withColumn("psi", F.when(enough, F.col("psi"))).withColumn("ks", F.when(enough, F.col("ks"))).withColumn("mean_shift_pct", shift("mean")).withColumn("std_shift_pct", shift("std"))
     rows = []
     for r in got.withColumn("level", F.when(enough, level(F.col("psi")))).collect():
@@ -112,9 +110,9 @@ def category_shares(ref: DataFrame, new: DataFrame, columns: list[str], k: int =
     t = _tables(ref, new, columns, "string")
     out = None
     for side, c in (("ref", "r"), ("new", "n")):
-        w = Window.partitionBy("column")
-        s = t.where(F.col(c) > 0).withColumn("rank", F.row_number().over(w.orderBy(F.desc(c), "value"))).withColumn("pct", F.col(c) * 100.0 / F.sum(c).over(w))
-        s = s.where(F.col("rank") <= k).select("column", F.lit(side).alias("side"), "rank", F.col("value").alias("category"), "pct")
+        some = t.where(F.col(c) > 0)
+        s = some.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc(c), "value"))).where(F.col("rank") <= k)
+        s = s.join(F.broadcast(some.groupBy("column").agg(F.sum(c).alias("total"))), "column").withColumn("pct", F.col(c) * 100.0 / F.col("total")).select("column", F.lit(side).alias("side"), "rank", F.col("value").alias("category"), "pct")
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -122,22 +120,33 @@ def category_shares(ref: DataFrame, new: DataFrame, columns: list[str], k: int =
 def chi_square_fit(ref: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (column, chi2, dof): the new counts (plus one) against the reference's (plus one), scaled to equal totals."""
     t = _tables(ref, new, columns, "string")
-    w = Window.partitionBy("column")
-    e = (F.col("r") + 1) * F.sum(F.col("n") + 1).over(w) / F.sum(F.col("r") + 1).over(w)
-    t = t.withColumn("e", e)
+    t = with_totals(t, ["column"], nn=F.sum(F.col("n") + 1), nr=F.sum(F.col("r") + 1))
+    t = t.withColumn("e", (F.col("r") + 1) * F.col("nn") / F.col("nr"))
     return t.groupBy("column").agg(F.sum((F.col("n") + 1 - F.col("e")) ** 2 / F.col("e")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
 
 
+#: Names of churned categories in one record; ``category_churn`` has all of them, whatever their number.
+CHURN_NAMES = 100
+
+
 def categorical_drift(ref: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
-    """One record per categorical column: PSI, level, chi-square fit, distinct values and churned categories."""
+    """One record per categorical column: PSI, level, chi-square fit, distinct values and churned categories.
+
+    A record shows the first ``CHURN_NAMES`` churned categories by name and counts all of them.
+    """
     t = _tables(ref, new, columns, "string").groupBy("column").agg(
         count_where(F.col("r") > 0).alias("ref_unique"), count_where(F.col("n") > 0).alias("new_unique"),
-        F.sort_array(F.collect_list(F.when(F.col("r") == 0, F.col("value")))).alias("appeared"), F.sort_array(F.collect_list(F.when(F.col("n") == 0, F.col("value")))).alias("disappeared"),
+        count_where(F.col("r") == 0).alias("n_appeared"), count_where(F.col("n") == 0).alias("n_disappeared"),
     )
+    churn = category_churn(ref, new, columns)
+    place = F.row_number().over(Window.partitionBy("column", "change").orderBy("category"))  # each task keeps its first names before the shuffle
+    named = churn.withColumn("place", place).where(F.col("place") <= CHURN_NAMES).groupBy("column").agg(*[F.sort_array(F.collect_list(F.when(F.col("change") == c, F.col("category")))).alias(c) for c in ("appeared", "disappeared")])
+    none = F.array().cast("array<string>")
+    t = t.join(named, "column", "left").withColumns({c: F.coalesce(c, none) for c in ("appeared", "disappeared")})
     got = psi_categorical(ref, new, columns).join(chi_square_fit(ref, new, columns), "column", "left").join(t, "column", "left").withColumn("level", level(F.col("psi")))
     tail = {r["column"]: (chi2_tail(r["chi2"], r["dof"]) if r["dof"] else 1.0) for r in got.select("column", "chi2", "dof").where("chi2 is not null").collect()}
     p = F.create_map(*[F.lit(x) for kv in tail.items() for x in kv])[F.col("column")] if tail else F.lit(None).cast("double")
-    return got.withColumn("chi2_p", p).select("column", "psi", "level", "chi2", "dof", "chi2_p", "ref_unique", "new_unique", "appeared", "disappeared")
+    return got.withColumn("chi2_p", p).select("column", "psi", "level", "chi2", "dof", "chi2_p", "ref_unique", "new_unique", "n_appeared", "n_disappeared", "appeared", "disappeared")
 
 
 def missing_rate_drift(ref: DataFrame, new: DataFrame, columns: list[str], least: float = 3.0) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.exprs import above, ident, quantile, ratio, real
 from assay.plans.kinds import interaction_kind, type_family
 from assay.plans.ranks import tiles
-from assay.plans.statplan import cardinalities, per_column
+from assay.plans.statplan import cardinalities, joint_counts, per_column, with_totals
 
 MISSING = "__missing__"
 BINS = 16
@@ -21,9 +21,9 @@ def strength(score):
     return above(score, STRENGTH, "Negligible", strict=False)
 
 
-def choose_columns(df: DataFrame, target: str | None = None, max_cols: int = 25) -> list[str]:
-    """Columns worth pairing: no target, no dates, no nearly unique categories; numeric first; at most ``max_cols``."""
-    family = {f.name: interaction_kind(f.dataType) for f in df.schema if type_family(f.dataType) != "nested" and f.name != target}
+def choose_columns(df: DataFrame, target: str | None = None, max_cols: int = 25, key: str | None = None) -> list[str]:
+    """Columns worth pairing: no target, no row key, no dates, no nearly unique categories; numeric first; at most ``max_cols``."""
+    family = {f.name: interaction_kind(f.dataType) for f in df.schema if type_family(f.dataType) != "nested" and f.name not in (target, key)}
     categories = [c for c, k in family.items() if k == "categorical"]
     unique = {r["column"] for r in cardinalities(df, categories).collect() if r["count"] and r["n_unique"] / r["count"] > 0.85} if categories else set()
     numbers = [c for c, k in family.items() if k == "numeric"]
@@ -50,14 +50,6 @@ def binned(df: DataFrame, columns: list[str], key: str, bins: int = BINS) -> Dat
     return out
 
 
-def _joint(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Rows (pair, a, b, n, na, nb, total): joint and marginal counts of many pairs of columns in one aggregate."""
-    cells = F.array(*[F.struct(F.lit(f"{a}\x00{b}").alias("pair"), ident(a).cast("string").alias("a"), ident(b).cast("string").alias("b")) for a, b in pairs])
-    n = df.select(F.inline(cells)).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("pair")
-    return n.select("*", F.sum("n").over(Window.partitionBy("pair", "a")).alias("na"), F.sum("n").over(Window.partitionBy("pair", "b")).alias("nb"), F.sum("n").over(w).alias("total"))
-
-
 def _named(found: DataFrame) -> DataFrame:
     p = F.split("pair", "\x00")
     return found.select(p[0].alias("a"), p[1].alias("b"), *[c for c in found.columns if c != "pair"])
@@ -65,7 +57,7 @@ def _named(found: DataFrame) -> DataFrame:
 
 def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (a, b, v): Cramer's V without correction, at most 1; 0 for a table below 2 x 2."""
-    got = _joint(df, pairs).groupBy("pair").agg(
+    got = joint_counts(df, pairs).groupBy("pair").agg(
         F.max("total").alias("t"), (F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))) - 1).alias("phi2"), F.least(F.count_distinct("a"), F.count_distinct("b")).alias("k")
     )
     v = F.when(F.col("k") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), F.col("phi2")) / F.when(F.col("k") > 1, F.col("k") - 1))))
@@ -76,8 +68,8 @@ def eta_squared(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (category, number, eta2): share of a number's variance between categories; 0 below four rows or if constant."""
     cells = F.array(*[F.struct(F.lit(f"{a}\x00{b}").alias("pair"), ident(a).cast("string").alias("g"), real(b).alias("x")) for a, b in pairs])
     by = df.select(F.inline(cells)).where("x is not null").groupBy("pair", "g").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.when(F.min("x") < F.max("x"), F.var_pop("x") * F.count(F.lit(1))).otherwise(0.0).alias("within"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("pair")) / F.sum("n").over(Window.partitionBy("pair"))
-    got = by.withColumn("between", F.col("n") * (F.col("m") - mean) ** 2).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("between").alias("b"), F.sum("within").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by = with_totals(by, ["pair"], mean=F.sum(F.col("n") * F.col("m")) / F.sum("n"))
+    got = by.withColumn("between", F.col("n") * (F.col("m") - F.col("mean")) ** 2).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("between").alias("b"), F.sum("within").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     value = F.when((F.col("n") < 4) | (F.col("lo") == F.col("hi")), 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), ratio(F.col("b"), F.col("b") + F.col("w"))), F.lit(0.0)))
     p = F.split("pair", "\x00")
     return got.select(p[0].alias("category"), p[1].alias("number"), value.alias("eta2"))
@@ -85,7 +77,7 @@ def eta_squared(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def mutual_information(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (a, b, mi, score) over columns that are binned already: nats, and mi / sqrt(H(a) H(b)), at most 1."""
-    j = _joint(df, pairs)
+    j = joint_counts(df, pairs)
     p = F.col("n") / F.col("total")
     info = j.groupBy("pair").agg(F.sum(p * F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).alias("mi"))
 
@@ -105,8 +97,8 @@ def pair_scores(df: DataFrame, key: str, target: str | None = None, max_cols: in
     Two numbers: normalised mutual information; two categories: Cramer's V; mixed: correlation ratio. Fewer than five
     rows give scores of zero and the method ``insufficient_data``.
     """
-    columns = choose_columns(df, target, max_cols)
-    filled = fill(df.select(*dict.fromkeys([*columns, key])), columns)
+    columns = choose_columns(df, target, max_cols, key)
+    filled = fill(df.select(*[ident(c) for c in dict.fromkeys([*columns, key])]), columns)
     number = {c: interaction_kind(df.schema[c].dataType) == "numeric" for c in columns}
     spark, pairs = df.sparkSession, list(combinations(columns, 2))
     if not pairs:
@@ -138,8 +130,8 @@ def target_scores(df: DataFrame, target: str, key: str, max_cols: int = 25) -> D
     Categories: correlation ratio for a numeric target with more than 15 values, else Cramer's V. Numbers: mutual
     information in nats, which may exceed 1 and keeps the same strength limits.
     """
-    columns = choose_columns(df, target, max_cols)
-    filled = fill(df.select(*dict.fromkeys([*columns, target, key])), [*columns, target]).withColumn("__key", ident(key))
+    columns = choose_columns(df, target, max_cols, key)
+    filled = fill(df.select(*[ident(c) for c in dict.fromkeys([*columns, target, key])]), [*columns, target]).withColumn("__key", ident(key))
     classes = df.agg(F.count_distinct(ident(target))).first()[0]
     continuous = interaction_kind(df.schema[target].dataType) == "numeric" and classes > 15
     numbers = [c for c in columns if interaction_kind(df.schema[c].dataType) == "numeric"]

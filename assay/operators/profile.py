@@ -7,11 +7,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import above, band, constant, count_where, deviation, ident, kurtosis, missing, pearson, quantiles, ratio, real, skewness, variance
+from assay.functions.exprs import above, band, constant, count_where, deviation, ident, kurtosis, missing, mode, pearson, quantiles, ratio, real, skewness, variance
 from assay.functions.special import chi2_tail, k2_test, kolmogorov_tail, shapiro_wilk
 from assay.plans.kinds import kinds, of_kind, type_family
 from assay.plans.ranks import running
-from assay.plans.statplan import cardinalities, frequencies, per_column, unpivot
+from assay.plans.statplan import cardinalities, frequencies, joint_counts, per_column, unpivot, with_totals
 
 
 def _plain(df: DataFrame) -> list[str]:
@@ -114,7 +114,7 @@ def univariate_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         x = real(c)
         q = quantiles(x, 0.05, 0.25, 0.5, 0.75, 0.95)
         return {
-            "count": F.count(x), "missing": missing(x), "mean": F.avg(x), "median": q[2], "mode": F.mode(x, True), "std": deviation(x), "variance": variance(x), "min": F.min(x), "max": F.max(x),
+            "count": F.count(x), "missing": missing(x), "mean": F.avg(x), "median": q[2], "mode": mode(x), "std": deviation(x), "variance": variance(x), "min": F.min(x), "max": F.max(x),
             "q1": q[1], "q3": q[3], "p5": q[0], "p95": q[4], "skewness": skewness(x), "kurtosis": kurtosis(x), "zeros": count_where(x == 0), "negatives": count_where(x < 0),
         }
 
@@ -149,9 +149,7 @@ def univariate_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts, distinct values, top value, natural-log entropy of smoothed shares (1e-9 each), whether above 20 values."""
     f = frequencies(df, columns)
     some = f.where("value is not null")
-    total = Window.partitionBy("column")
-    p = F.col("n") / F.sum("n").over(total)
-    q = some.withColumn("p", p + 1e-9).withColumn("q", F.col("p") / F.sum("p").over(total))
+    q = with_totals(some, ["column"], total=F.sum("n"), kinds=F.count(F.lit(1))).withColumn("p", F.col("n") / F.col("total") + 1e-9).withColumn("q", F.col("p") / (1 + F.col("kinds") * 1e-9))
     stats = q.groupBy("column").agg(
         F.sum("n").cast("long").alias("count"), F.count(F.lit(1)).cast("long").alias("n_unique"), (-F.sum(F.col("q") * F.log("q"))).alias("entropy"), F.max("n").cast("long").alias("top_count"),
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top_value"),
@@ -167,9 +165,9 @@ def univariate_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_categories(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """The ``k`` most frequent values per column, ties by value: rank, count, share of non-null rows."""
     some = frequencies(df, columns).where("value is not null")
-    w = Window.partitionBy("column")
-    ranked = some.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "value"))).withColumn("total", F.sum("n").over(w))
-    return ranked.where(F.col("rank") <= k).select("column", "rank", "value", "n", ratio(F.col("n") * 100.0, F.col("total")).alias("pct"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))  # each task keeps its first k before the shuffle
+    top = some.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.join(F.broadcast(some.groupBy("column").agg(F.sum("n").alias("total"))), "column").select("column", "rank", "value", "n", ratio(F.col("n") * 100.0, F.col("total")).alias("pct"))
 
 
 def _pair_stats(df: DataFrame, pairs: list[tuple[str, str]], make) -> DataFrame:
@@ -243,9 +241,9 @@ def text_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Classes of the target, most frequent first: count, share, and the table's imbalance (largest over smallest, above 2)."""
     n = df.where(ident(target).isNotNull()).groupBy(ident(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
-    r = F.max("n").over(w) / F.greatest(F.min("n").over(w), F.lit(1))
-    return n.select("class", "n", (F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct"), F.count(F.lit(1)).over(w).alias("n_classes"), r.alias("imbalance_ratio"), (r > 2).alias("is_imbalanced")).orderBy(F.desc("n"), "class")
+    n = with_totals(n, [], total=F.sum("n"), most=F.max("n"), fewest=F.min("n"), n_classes=F.count(F.lit(1)))
+    r = F.col("most") / F.greatest("fewest", F.lit(1))
+    return n.select("class", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"), "n_classes", r.alias("imbalance_ratio"), (r > 2).alias("is_imbalanced")).orderBy(F.desc("n"), "class")
 
 
 def target_correlations(df: DataFrame, columns: list[str], target: str, k: int = 15) -> DataFrame:
@@ -268,27 +266,27 @@ def box_by_category(df: DataFrame, category: str, number: str, k: int = 10) -> D
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows (a, b, n, row_n, column_n, total) of the non-null pairs; margins by windows over the aggregated table."""
-    n = df.select(ident(a).cast("string").alias("a"), ident(b).cast("string").alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("a", "b", "n", F.sum("n").over(Window.partitionBy("a")).alias("row_n"), F.sum("n").over(Window.partitionBy("b")).alias("column_n"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    """Rows (a, b, n, row_n, column_n, total) of the non-null pairs; margins over the aggregated table."""
+    return joint_counts(df, [(a, b)], nulls=False).select("a", "b", "n", F.col("na").alias("row_n"), F.col("nb").alias("column_n"), "total")
 
 
 def chi_square(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Independence tests: statistic (with Yates' correction for a 2 x 2 table), degrees of freedom, p-value, verdict.
 
     The statistic of all cells comes from those that occur: the missing ones add their expected counts, and those sum
-    to the total less the expected counts of the cells that occur. Tables below 2 x 2 are left out.
+    to the total less the expected counts of the cells that occur. Tables below 2 x 2 are left out. One read of the
+    table serves all pairs, and one row per pair comes back.
     """
     spark, out = df.sparkSession, []
-    for a, b in pairs:
-        t = contingency(df, a, b)
-        e = F.col("row_n") * F.col("column_n") / F.col("total")
-        d = F.abs(F.col("n") - e)
-        yates = d - F.least(F.lit(0.5), d)
-        r = t.agg(
-            F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"), F.count(F.lit(1)).alias("cells"), F.max("total").alias("total"),
-            F.sum(d * d / e).alias("plain"), F.sum(yates * yates / e).alias("yates"), F.sum(e).alias("e"), F.min(e).alias("least"),
-        ).first()
+    e = F.col("na") * F.col("nb") / F.col("total")
+    d = F.abs(F.col("n") - e)
+    yates = d - F.least(F.lit(0.5), d)
+    tests = joint_counts(df, pairs, nulls=False).groupBy("pair").agg(
+        F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"), F.count(F.lit(1)).alias("cells"), F.max("total").alias("total"),
+        F.sum(d * d / e).alias("plain"), F.sum(yates * yates / e).alias("yates"), F.sum(e).alias("e"),
+    )
+    for r in tests.collect() if pairs else []:
+        a, b = r["pair"].split("\x00")
         if r["r"] < 2 or r["c"] < 2:
             continue
         dof = (r["r"] - 1) * (r["c"] - 1)

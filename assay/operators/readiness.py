@@ -14,11 +14,12 @@ from assay.plans.kinds import kinds, type_family
 from assay.plans.statplan import cardinalities, per_column
 
 #: Weights of the dimensions, grades, points. The weights sum to 9.
-WEIGHTS = {"completeness": 2.5, "distribution": 2.0, "cardinality": 1.5, "leakage_risk": 1.0, "outlier_severity": 1.0, "type_fitness": 0.8, "consistency": 0.2}
+WEIGHTS = {"completeness": 2.5, "leakage_risk": 2.0, "outlier_severity": 1.5, "distribution": 1.0, "cardinality": 1.0, "type_fitness": 0.8, "consistency": 0.2}
 GRADES = [(90, "A"), (75, "B"), (60, "C"), (45, "D")]
 TYPE_POINTS = {"boolean": 100.0, "numeric": 95.0, "categorical": 80.0, "datetime": 68.0, "text": 32.0}
 ID_NAMES = re.compile(r"^(id|uuid|key|index|rowid|row_id|record_id|pk|primary_key|seq|sequence)$", re.I)
-COLOURS = {"A": "#1a9850", "B": "#91cf60", "C": "#fee08b", "D": "#fc8d59", "F": "#d73027"}
+COLOURS = {"A": "#22c55e", "B": "#84cc16", "C": "#f59e0b", "D": "#f97316", "F": "#ef4444"}
+LABELS = {"A": "Production-ready", "B": "Minor prep needed", "C": "Moderate prep needed", "D": "Significant issues", "F": "Critical — fix before training"}
 NUMERIC_WEIGHT = 1.5
 
 
@@ -26,6 +27,10 @@ def grade(total: Column) -> Column:
     return above(total, [(t, g) for t, g in GRADES], "F", strict=False)
 
 
+def label(letter: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[letter]
+
+
 def name_risk(column: str, target: str | None) -> float:
     """Points of risk that a column's name alone carries."""
     if not target or column == target:
@@ -38,11 +43,13 @@ def name_risk(column: str, target: str | None) -> float:
 def column_scores(df: DataFrame, target: str | None = None, found: dict[str, str] | None = None) -> DataFrame:
     """One row per column that isn't nested: kind, the seven dimensions, total, grade, missing share, distinct values.
 
-    Three reads of the table: kinds, fences, and one aggregate for everything else beside the frequency table. A
-    column of nulls only has no values to be inconsistent or skewed; an empty table scores its columns as complete.
+    Three reads of the table: the frequency table, which also tells text from categories, the fences, and one
+    aggregate for everything else. A column of nulls only has no values to be inconsistent or skewed; an empty table
+    scores its columns as complete.
     """
-    found = found or kinds(df)
     names = [f.name for f in df.schema if type_family(f.dataType) != "nested"]
+    counted = {r["column"]: (r["count"], r["n_unique"], r["top_n"]) for r in cardinalities(df, names).collect()}  # a row per column
+    found = found or kinds(df, counted)
     numbers = set(numeric_columns(df))
     limits = fences(df, sorted(numbers)) if numbers else {}
 
@@ -56,10 +63,10 @@ def column_scores(df: DataFrame, target: str | None = None, found: dict[str, str
         return {
             "kind": F.lit(found[c]), "missing": missing(ident(c)), "rows": F.count(F.lit(1)), "skew": skewness(x) if number else null, "kurt": kurtosis(x) if number else null,
             "r": F.abs(r), "out": count_where((x < lo) | (x > hi)) if wide else F.lit(-1).cast("long"), "risk": F.lit(name_risk(c, target)), "is_target": F.lit(c == target),
+            **{k: F.lit(v).cast("long") for k, v in zip(("count", "n_unique", "top_n"), counted.get(c, (0, 0, 0)), strict=True)},
         }
 
-    s = per_column(df, names, atoms).join(cardinalities(df, names).select("column", "count", "n_unique", "top_n"), "column", "left")
-    s = s.withColumn("count", F.coalesce("count", F.lit(0)).cast("long")).withColumn("n_unique", F.coalesce("n_unique", F.lit(0)).cast("long"))
+    s = per_column(df, names, atoms)
     kind, n = F.col("kind"), F.col("count")
     gone = F.coalesce(ratio(F.col("missing") * 100.0, F.col("rows")), F.lit(0.0))
     numeric = kind == "numeric"
@@ -69,7 +76,7 @@ def column_scores(df: DataFrame, target: str | None = None, found: dict[str, str
     by_count = F.when(unique == 1, 20.0).when(unique == 2, 100.0).when(unique <= 10, 95.0).when(unique <= 20, 82.0).when(unique <= 50, 65.0).when(unique <= 100, 45.0)
     by_count = by_count.when(ratio(unique, n) > 0.9, 10.0).otherwise(28.0)
     by_r = F.coalesce(above(F.col("r"), [(0.97, 95.0), (0.9, 78.0), (0.8, 55.0), (0.7, 35.0)], 0.0), F.lit(0.0))
-    out = ratio(F.col("out") * 100.0, n)
+    out = F.when(F.col("out") >= 0, ratio(F.col("out") * 100.0, n))
     top = ratio(F.col("top_n") * 1.0, n)
     points = {
         "completeness": F.when(gone == 0, 100.0).otherwise(band(gone, [(2, 95.0), (5, 88.0), (15, 70.0), (30, 48.0), (50, 22.0)], 5.0)),
@@ -83,7 +90,7 @@ def column_scores(df: DataFrame, target: str | None = None, found: dict[str, str
     s = s.withColumns(points)
     total = F.round(sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values()), 1)
     s = s.withColumn("total", total)
-    return s.select("column", "kind", *WEIGHTS, "total", grade(F.col("total")).alias("grade"), gone.alias("missing_pct"), "n_unique", "is_target")
+    return s.select("column", "kind", *WEIGHTS, "total", grade(F.col("total")).alias("grade"), label(grade(F.col("total"))).alias("label"), gone.alias("missing_pct"), "skew", out.alias("outlier_pct"), "n_unique", "is_target")
 
 
 def dataset_score(scores: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def dataset_score(scores: DataFrame) -> DataFrame:
     got = scores.agg(
         F.round(ratio(F.sum(F.col("total") * w), F.sum(w)), 1).alias("score"), *[F.round(F.avg(d), 1).alias(d) for d in WEIGHTS], *[count_where(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"]
     )
-    return got.withColumn("grade", grade(F.col("score")))
+    return got.withColumn("grade", grade(F.col("score"))).withColumn("label", label(F.col("grade")))
 
 
 def extremes(scores: DataFrame, k: int = 5) -> DataFrame:
@@ -109,10 +116,10 @@ def verdicts(row: dict) -> dict[str, str]:
     risk = 100 - row["leakage_risk"]
     return {
         "completeness": "No value is missing." if m == 0 else f"{m:.1f} % of values are missing: " + ("fill them simply." if m < 5 else "fill them by median, mode or neighbours." if m < 15 else "model the gaps or add an indicator." if m < 40 else "consider leaving the column out."),
-        "distribution": "Not a number." if kind != "numeric" else "Close to symmetric." if row["distribution"] >= 90 else "Somewhat skewed; usually fine." if row["distribution"] >= 70 else "Skewed; try a log or power transform.",
+        "distribution": "Not a number." if kind != "numeric" else "Too few values to tell." if row["skew"] is None else f"Close to symmetric (skewness {row['skew']:.2f})." if abs(row["skew"]) < 0.5 else f"Somewhat skewed ({row['skew']:.2f}); usually fine." if abs(row["skew"]) < 1 else f"Skewed ({row['skew']:.2f}); try a log or power transform." if abs(row["skew"]) < 2 else f"Severely skewed ({row['skew']:.2f}); transform it before fitting linear models.",
         "cardinality": "Free text; needs tokens or embeddings." if kind == "text" else "One value only; carries nothing." if u == 1 else "Two values; ready as it is." if u == 2 else f"{u} values; one-hot encoding is safe." if u <= 10 else f"{u} values; encode by frequency or target." if u <= 50 else f"{u} values; hash or group them." if u <= 200 else f"{u} values; probably an identifier.",
         "leakage_risk": "Tells the target; leave it out." if risk >= 80 else "Much tied to the target; check its origin." if risk >= 55 else "Somewhat tied to the target; watch it." if risk >= 35 else "No sign of leakage.",
-        "outlier_severity": "Not a number." if kind != "numeric" else "No or hardly any outliers." if row["outlier_severity"] >= 88 else "Some outliers; cap them." if row["outlier_severity"] >= 50 else "Many outliers; cap, remove or transform.",
-        "type_fitness": "Ready for a model." if row["type_fitness"] >= 90 else "Needs a little preparation." if row["type_fitness"] >= 65 else "Needs much preparation.",
-        "consistency": "Consistent." if row["consistency"] >= 90 else "Nearly constant or without values.",
+        "outlier_severity": "Not a number." if kind != "numeric" else "No spread between the quartiles." if row["outlier_pct"] is None else "No outliers." if row["outlier_pct"] == 0 else f"{row['outlier_pct']:.1f} % outliers; negligible." if row["outlier_pct"] < 1 else f"{row['outlier_pct']:.1f} % outliers; cap them." if row["outlier_pct"] < 5 else f"{row['outlier_pct']:.1f} % outliers; cap, remove or transform.",
+        "type_fitness": "Ready for a model." if row["type_fitness"] >= 90 else "Needs a little preparation." if row["type_fitness"] >= 65 else "Needs a transformation first." if row["type_fitness"] >= 45 else "Needs much preparation.",
+        "consistency": "Consistent." if row["consistency"] >= 90 else "Nearly constant; tells little." if row["consistency"] >= 50 else "Constant, nearly so or without values.",
     }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import ident, ratio, real
+from assay.functions.exprs import ident, quantiles, ratio, real
 from assay.operators.profile import numeric_columns
 from assay.plans.kinds import type_family
+from assay.plans.ranks import running
 
 
 def micros(name: str):
@@ -21,7 +22,7 @@ def quartile_shift(df: DataFrame, time: str, columns: list[str], flag_pct: float
     limits coincide, quarters can't be told apart and no rows are returned.
     """
     t = df.withColumn("__t", micros(time)).where("__t is not null")
-    q = t.agg(F.percentile("__t", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")).first()["q"]
+    q = t.agg(quantiles(F.col("__t"), 0.0, 0.25, 0.5, 0.75, 1.0).alias("q")).first()["q"]
     if q is None or len(set(q)) < 5:
         return df.sparkSession.createDataFrame([], "column string, q1 double, q2 double, q3 double, q4 double, drift_pct double, drifted boolean")
     quarter = F.when(F.col("__t") <= q[1], 1).when(F.col("__t") <= q[2], 2).when(F.col("__t") <= q[3], 3).otherwise(4)
@@ -34,34 +35,18 @@ def quartile_shift(df: DataFrame, time: str, columns: list[str], flag_pct: float
 def rolling_mean(df: DataFrame, time: str, column: str, key: str, window: int | None = None) -> DataFrame:
     """Rows (key, time, value, rolling): mean over the last ``window`` rows by (time, key); by default max(5, rows/20).
 
-    A global order needs no single task: rows are numbered within hash-free ranges of time (a range partitioning of
-    the sort keys), and each range gets the ``window - 1`` rows before it from the ranges to its left.
+    Running sums and counts over sorted ranges give each row its place and the sum up to it; the mean is the difference
+    to the row ``window`` places before, found by an equi-join on places. The work grows with the rows, not with the
+    window. Null values don't count; a window without any value has no mean.
     """
     rows = df.select(ident(key).alias("key"), micros(time).alias("t"), real(column).alias("value")).where("t is not null")
     w = window or max(5, rows.count() // 20)
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    limits = rows.agg(F.percentile_approx("t", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("q")).first()["q"] if parts > 1 else []
-    limits = sorted(set(limits or []))
-    bucket = sum([(F.col("t") > x).cast("int") for x in limits], F.lit(0))
-    b = rows.withColumn("bucket", bucket)
-    sizes = [r["n"] for r in b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()]
-    names = [r["bucket"] for r in b.select("bucket").distinct().orderBy("bucket").collect()]
-    # How many buckets to the left hold the w - 1 rows before a bucket's first.
-    reach, before = {}, list(zip(names, sizes, strict=True))
-    for i, name in enumerate(names):
-        need, j = w - 1, i
-        while need > 0 and j > 0:
-            j -= 1
-            need -= before[j][1]
-        reach[name] = names[j : i + 1]
-    tail = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("t"), F.desc("key"))) < w
-    targets = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*[F.lit(m) for m in names if n in reach[m] and m != n] or [F.lit(None).cast("int")]))]) if names else None
-    if targets is None:
-        return rows.select("key", "t", "value", F.lit(None).cast("double").alias("rolling"))
-    halo = b.where(F.lit(True)).withColumn("tail", tail).where("tail").withColumn("to", F.explode(targets[F.col("bucket")])).where("to is not null").select("key", "t", "value", F.col("to").alias("bucket"), F.lit(False).alias("own"))
-    both = b.select("key", "t", "value", "bucket", F.lit(True).alias("own")).unionByName(halo)
-    mean = F.avg("value").over(Window.partitionBy("bucket").orderBy("t", "key").rowsBetween(-(w - 1), 0))
-    return both.withColumn("rolling", mean).where("own").select("key", F.timestamp_micros("t").alias("time"), "value", "rolling")
+    counted = rows.withColumns({"one": F.lit(1).cast("long"), "some": F.col("value").isNotNull().cast("long"), "v": F.coalesce("value", F.lit(0.0)).cast("decimal(38,10)")})
+    at = running(counted, ["t", "key"], {"place": "one", "n": "some", "s": "v"})
+    before = at.select((F.col("place") + w).alias("place"), F.col("n").alias("n0"), F.col("s").alias("s0"))
+    n = F.col("n") - F.coalesce("n0", F.lit(0))
+    mean = (F.col("s") - F.coalesce("s0", F.lit(0).cast("decimal(38,10)"))).cast("double") / F.when(n > 0, n)
+    return at.join(before, "place", "left").select("key", F.timestamp_micros("t").alias("time"), "value", mean.alias("rolling"))
 
 
 def temporal_awareness(df: DataFrame, target: str | None = None, max_times: int = 2, max_numbers: int = 4) -> DataFrame:

@@ -11,15 +11,16 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.exprs import constant, ident, quantile, real
-from assay.llm.shared import cut
 from assay.operators.profile import fences, numeric_columns
 from assay.plans.kinds import type_family
-from assay.plans.statplan import per_column
+from assay.plans.ranks import running
+from assay.plans.statplan import per_column, with_totals
+from assay.plans.storage import cut
 
 #: Neighbours of nearest-neighbour imputation; distinct donors and distinct incomplete rows in a block of its search.
 KNN_K, KNN_DONORS, KNN_ROWS = 5, 5_000, 500
@@ -258,11 +259,12 @@ def _lookup(df: DataFrame, c: str, values: DataFrame, out: str) -> DataFrame:
 
 
 def encode_label(df, columns=None, target=None, order_by: str | None = None):
-    """Codes 0, 1, ... by first appearance in the order of ``order_by``, or of the values where none is given; null is -1."""
+    """Codes 0, 1, ... by first appearance in the order of ``order_by``, or of the table's files and rows where none is
+    given; null is -1."""
     for c in _pick(df, columns, _strings(df), target):
-        first = F.min(ident(order_by)) if order_by else F.min(ident(c))
-        values = df.where(ident(c).isNotNull()).groupBy(ident(c).alias("__v")).agg(first.alias("__f"))
-        codes = values.select("__v", (F.row_number().over(Window.orderBy("__f", "__v")) - 1).alias("code"))
+        first = ident(order_by) if order_by else F.monotonically_increasing_id()
+        values = df.select(ident(c).alias("__v"), first.alias("__f")).where("__v is not null").groupBy("__v").agg(F.min("__f").alias("__f"), F.lit(1).cast("long").alias("__one"))
+        codes = running(values.where("__f is not null"), ["__f", "__v"], {"code": "__one"}).select("__v", (F.col("code") - 1).cast("int").alias("code"))
         df = _lookup(df, c, codes, "code").withColumn(c, F.coalesce(ident(c), F.lit(-1)))
     return df
 
@@ -271,7 +273,7 @@ def encode_frequency(df, columns=None, target=None):
     """Relative frequency among non-null values; null stays null."""
     for c in _pick(df, columns, _strings(df), target):
         n = df.where(ident(c).isNotNull()).groupBy(ident(c).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-        df = _lookup(df, c, n.select("__v", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("f")), "f")
+        df = _lookup(df, c, with_totals(n, [], total=F.sum("n")).select("__v", (F.col("n") / F.col("total")).alias("f")), "f")
     return df
 
 

@@ -22,15 +22,19 @@ def type_family(kind: T.DataType) -> str:
     return "string" if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)) else "nested"
 
 
-def kinds(df: DataFrame) -> dict[str, str]:
-    """Kind per column. A string column is text if its values are long on average or nearly all different."""
+def kinds(df: DataFrame, counted: dict[str, tuple[int, int, int]] | None = None) -> dict[str, str]:
+    """Kind per column. A string column is text if its values are long on average or nearly all different.
+
+    counted: (count, distinct values, ...) per column where a frequency table has told already.
+    """
     out = {f.name: type_family(f.dataType) for f in df.schema}
     strings = [c for c, k in out.items() if k == "string"]
     if strings:
         lengths = {r["column"]: r["l"] or 0.0 for r in per_column(df, strings, lambda c: {"l": F.avg(F.length(ident(c)))}).collect()}
-        for r in cardinalities(df, strings).collect():
-            text = lengths[r["column"]] > TEXT_LENGTH or r["n_unique"] / max(1, r["count"]) > TEXT_RATIO
-            out[r["column"]] = "text" if text else "categorical"
+        counted = counted or {r["column"]: (r["count"], r["n_unique"]) for r in cardinalities(df, strings).collect()}
+        for c, (n, unique, *_) in counted.items():
+            if c in strings:
+                out[c] = "text" if lengths[c] > TEXT_LENGTH or unique / max(1, n) > TEXT_RATIO else "categorical"
         for c in strings:
             if out[c] == "string":
                 out[c] = "categorical"

@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import ident
+from assay.functions.exprs import ident, sketching, top_count
 
 CHUNK = 200
 
@@ -42,8 +42,39 @@ def frequencies(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -
     return unpivot(df, columns, keep=keep).groupBy(*keep, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_totals(df: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """``df`` with an aggregate per entry of ``sums`` over the rows that share ``by`` (few groups: names of columns or of pairs).
+
+    An aggregate with partial sums and a broadcast of one row per group, where a window would sort a whole group in one task.
+    """
+    totals = df.groupBy(*by).agg(*[e.alias(n) for n, e in sums.items()])
+    return df.join(F.broadcast(totals), by) if by else df.crossJoin(F.broadcast(totals))
+
+
+def joint_counts(df: DataFrame, pairs: list[tuple[str, str]], nulls: bool = True) -> DataFrame:
+    """Rows (pair, a, b, n, na, nb, total): joint and marginal counts of many pairs of columns from one read of the table."""
+    cells = F.array(*[F.struct(F.lit(f"{a}\x00{b}").alias("pair"), ident(a).cast("string").alias("a"), ident(b).cast("string").alias("b")) for a, b in pairs])
+    rows = df.select(F.inline(cells))
+    n = (rows if nulls else rows.where("a is not null and b is not null")).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("*", F.sum("n").over(Window.partitionBy("pair", "a")).alias("na"), F.sum("n").over(Window.partitionBy("pair", "b")).alias("nb"))
+    return with_totals(n, ["pair"], total=F.sum("n"))
+
+
 def cardinalities(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (column, count, n_rows, n_unique, top_n) of non-null values from one frequency table."""
+    """Rows (column, count, n_rows, n_unique, top_n) of non-null values from one frequency table.
+
+    In the sketching mode (see ``exprs.sketching``) from one aggregate without a shuffle of cells: HyperLogLog counts
+    (within 1 %) and frequent-item sketches, for tables whose distinct values are too many to be counted.
+    """
+    if sketching(df):
+        from functools import reduce as fold
+
+        parts = []
+        for c in columns:  # a sketch per column, all in one aggregate per CHUNK columns
+            x = ident(c).cast("string")
+            parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct(x, 0.01).alias("n_unique"), top_count(x).alias("top_n")))
+        width = max(1, CHUNK // 4)
+        return fold(DataFrame.unionByName, [df.agg(F.array(*parts[i : i + width]).alias("s")).select(F.inline("s")) for i in range(0, len(parts), width)])
     f = frequencies(df, columns)
     some = F.col("value").isNotNull()
     return f.groupBy("column").agg(

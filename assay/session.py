@@ -44,7 +44,7 @@ def analyze(df: DataFrame, target: str | None = None) -> dict:
             if target in numbers and len(numbers) > 1:
                 out["feature_target"] = _rows(profile.target_correlations(df, numbers, target, 12))
         keyed = df.select(*flat).withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in flat]))
-        scores = interactions.pair_scores(keyed, "__row", target, max_cols=20).where("a <> '__row' and b <> '__row'").cache()
+        scores = interactions.pair_scores(keyed, "__row", target, max_cols=20).cache()
         out["interactions"] = {"pairs": _rows(scores.limit(15)), "groups": interactions.redundancy_groups(scores), "summary": interactions.summary(scores)}
         scores.unpersist()
         graded = readiness.column_scores(df, target, found).cache()

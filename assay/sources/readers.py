@@ -7,6 +7,7 @@ Feather, pickle, HDF5) go through the driver and are meant for small files.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -41,11 +42,31 @@ def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
     return flatten(df)
 
 
+#: Bytes of a file that are looked at to find its row tag.
+HEAD = 1 << 16
+
+
+def _head(spark: SparkSession, path: str) -> str:
+    """The first ``HEAD`` bytes of a file, or of the first one that a pattern or folder holds, as text."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s for s in files.globStatus(p) or []), key=lambda s: s.getPath().toString())
+    while found and found[0].isDirectory():
+        found = sorted((s for s in files.listStatus(found[0].getPath()) if not s.getPath().getName().startswith(("_", "."))), key=lambda s: s.getPath().toString())
+    if not found:
+        return ""
+    stream = files.open(found[0].getPath())
+    try:
+        return bytes(stream.readNBytes(HEAD)).decode("utf-8-sig", "replace")
+    finally:
+        stream.close()
+
+
 def read_xml(spark: SparkSession, path: str, **options) -> DataFrame:
     """Children of the root are rows; their tag is ``rowTag``, found in the first bytes of the file where not given."""
     if "rowTag" not in options:
-        head = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?s)^\s*(?:<\?.*?\?>\s*)?(?:<!--.*?-->\s*)*<[^>]+>\s*<([\w:.-]+)", 1)).first()
-        options["rowTag"] = head[0] if head and head[0] else "row"
+        head = re.match(r"\s*(?:<\?.*?\?>\s*)?(?:<!(?:--.*?--|[^>]*)>\s*)*<[^>]+>\s*(?:<!--.*?-->\s*)*<([\w:.-]+)", _head(spark, path), re.S)
+        options["rowTag"] = head[1] if head else "row"
     return spark.read.options(**options).xml(path)
 
 

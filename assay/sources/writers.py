@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import html
 import json
 import os
-import shutil
-import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from assay.functions.exprs import ident
 
 #: Rows that may go through the driver into one Excel sheet.
 EXCEL_ROWS = 1_048_575
@@ -23,16 +25,21 @@ def write_text(path: str, text: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> str:
-    """One CSV file with a header on the driver's disk, or, for large tables, a folder of files on any file system."""
+    """One CSV file with a header on the driver's disk, or, for large tables, a folder of files on any file system.
+
+    Executors format the rows; for one file the driver writes them partition by partition, holding one at a time.
+    """
     if not single:
         df.write.mode("overwrite").csv(path, header=True)
         return path
     path = os.path.abspath(path)
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    with tempfile.TemporaryDirectory(dir=os.path.dirname(path)) as tmp:
-        df.coalesce(1).write.mode("overwrite").csv(f"file://{tmp}/out", header=True)
-        part = [p for p in os.listdir(f"{tmp}/out") if p.startswith("part-")]
-        shutil.move(f"{tmp}/out/{part[0]}", path) if part else write_text(path, ",".join(df.columns) + "\n")
+    lines = df.select(F.to_csv(F.struct(*[ident(c).alias(c) for c in df.columns])).alias("line"))
+    with open(f"{path}.part", "w", encoding="utf-8", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerow(df.columns)
+        for r in lines.toLocalIterator():
+            f.write(r["line"] + "\n")
+    os.replace(f"{path}.part", path)
     return path
 
 

@@ -30,6 +30,11 @@ def test_shift(ref):
     assert [m["column"] for m in r["missing"]] == ["g"] and r["missing"][0]["severity"] == "high" and [s["change"] for s in r["schema"]] == ["disappeared"]
 
 
+def test_shifts_are_absolute(ref):
+    r = drift.numeric_drift(ref, ref.select((F.col("v") * 0.5).alias("v")), ["v"]).first()
+    assert r["mean_shift_pct"] == pytest.approx(50.0) and r["std_shift_pct"] == pytest.approx(50.0)
+
+
 def test_too_few_values(ref, spark):
     few = spark.createDataFrame([(1.0,), (None,)], "v double")
     r = drift.numeric_drift(ref, few, ["v"]).first()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions.exprs import clean
-from assay.operators import interactions, leakage, profile, readiness, recommend, temporal
+from assay.operators import interactions, leakage, profile, readiness, recommend, temporal, transforms
 from assay.plans.kinds import kinds
 
 
@@ -113,8 +113,8 @@ def test_interactions(spark):
     scores = interactions.pair_scores(df.drop("u"), "k").cache()
     got = {(r["a"], r["b"]): (r["score"], r["strength"]) for r in scores.collect()}
     assert got["a", "b"][0] == pytest.approx(1.0) and got["c", "d"] == (1.0, "Strong") and got["a", "c"][1] == "Negligible"
-    assert interactions.redundancy_groups(scores) == [["a", "b", "k"], ["c", "d"]]
-    assert interactions.matrix(scores).count() == 25 and "strong" in interactions.summary(scores)
+    assert interactions.redundancy_groups(scores) == [["a", "b"], ["c", "d"]]  # a row key is no column to pair
+    assert interactions.matrix(scores).count() == 16 and "strong" in interactions.summary(scores)
     assert interactions.pair_scores(df.limit(3).drop("u"), "k").first()["method"] == "insufficient_data"
     t = {r["column"]: r["score"] for r in interactions.target_scores(df.drop("u"), "d", "k").collect()}
     assert t["c"] == 1.0
@@ -149,6 +149,49 @@ def test_readiness_and_verdicts(odd):
     assert readiness.name_risk("churn", "CHURN") == 98.0 and readiness.name_risk("id", "t_x") == 72.0 and readiness.name_risk("total_price", "unit_price") == 50.0 and readiness.name_risk("x", "y") == 0.0
 
 
+def test_readiness_by_hand(spark):
+    """Column x: 1 of 10 missing (70 points), skewness 0 (70 + 30), a number (95, 95), no outlier (100), no target named."""
+    df = spark.createDataFrame([(float(v) if v else None, "ab"[i % 2]) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, None])], "x double, c string")
+    got = by(readiness.column_scores(df))
+    x = got["x"]
+    assert (x["completeness"], x["leakage_risk"], x["outlier_severity"], x["distribution"], x["cardinality"], x["type_fitness"], x["consistency"]) == (70.0, 100.0, 100.0, 94.0, 95.0, 95.0, 100.0)
+    assert x["total"] == round((70 * 2.5 + 100 * 2.0 + 100 * 1.5 + 94 * 1.0 + 95 * 1.0 + 95 * 0.8 + 100 * 0.2) / 9, 1) == 90.0 and x["grade"] == "A" and x["label"] == "Production-ready"
+    c = got["c"]  # complete 100, no risk 100, 90 and 85 as it is no number, two values 100, type 80, even 100
+    assert c["total"] == round((250 + 200 + 135 + 85 + 100 + 64 + 20) / 9, 1) == 94.9
+    assert readiness.dataset_score(readiness.column_scores(df)).first()["score"] == round((90.0 * 1.5 + 94.9) / 2.5, 1)
+    assert "symmetric" in readiness.verdicts(x)["distribution"] and "fill them by" in readiness.verdicts(x)["completeness"]
+
+
+def test_sketches_stand_in_for_exact_statistics(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).cast("string").alias("c"), F.when(F.col("id") < 9_000, F.lit(5)).otherwise(F.col("id")).alias("m"))
+    exact = by(profile.univariate_numeric(df, ["v", "m"])), by(profile.column_meta(df)), by(readiness.column_scores(df))
+    spark.conf.set("spark.assay.statistics", "sketch")
+    try:
+        plan = profile.univariate_numeric(df, ["v"])._jdf.queryExecution().toString()
+        rough = by(profile.univariate_numeric(df, ["v", "m"])), by(profile.column_meta(df)), by(readiness.column_scores(df))
+    finally:
+        spark.conf.unset("spark.assay.statistics")
+    assert "percentile_approx" in plan and " percentile(" not in plan
+    assert rough[0]["v"]["median"] == pytest.approx(exact[0]["v"]["median"], abs=4) and rough[0]["m"]["mode"] == exact[0]["m"]["mode"] == 5.0
+    assert rough[1]["v"]["n_unique"] == pytest.approx(20_000, rel=0.03) and rough[1]["c"]["n_unique"] == 3 and rough[2]["c"]["total"] == exact[2]["c"]["total"]
+
+
+def test_label_codes_by_first_appearance(spark):
+    df = spark.createDataFrame([("z",), ("a",), (None,), ("z",), ("m",)], "c string").coalesce(1)
+    assert sorted((r["c"] for r in transforms.apply(df, "encode_label", ["c"]).collect())) == [-1, 0, 0, 1, 2]
+    codes = transforms.apply(df.withColumn("d", F.col("c")), "encode_label", ["c"]).where("d is not null").distinct()
+    assert {r["d"]: r["c"] for r in codes.collect()} == {"z": 0, "a": 1, "m": 2}
+
+
+def test_rolling_mean_by_hand(spark):
+    rows = [(i, f"2024-01-01 00:00:{i // 2:02d}", None if i % 7 == 3 else float(i * i % 11)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, t string, v double").withColumn("t", F.to_timestamp("t"))
+    got = {r["key"]: r["rolling"] for r in temporal.rolling_mean(df, "t", "v", "k", 5).collect()}
+    for k, _, _ in rows:
+        seen = [v for i, _, v in rows[max(0, k - 4) : k + 1] if v is not None]
+        assert got[k] == pytest.approx(sum(seen) / len(seen))
+
+
 def test_recommendations(odd):
     got = by(recommend.recommendations(odd.drop("l"), "x.y"), "id")
     assert got["drop_high_miss"]["affected"] == ["gone"] and got["impute_num"]["affected"] == ["x.y"] and got["impute_cat"]["affected"] == ["c"]

@@ -106,3 +106,14 @@ def test_entry_without_corpus_operators():
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(catalog.ORACLE_SQL) > 60
+
+
+def test_csv_keeps_every_partition_and_quotes(spark, tmp_path):
+    import csv
+
+    df = spark.createDataFrame([(1, 'a "b", c'), (2, "two\nlines"), (3, None), (4, "x")], "id int, s string").repartition(3)
+    with open(write_csv(df, str(tmp_path / "q.csv")), newline="") as f:
+        got = sorted(csv.reader(f, escapechar="\\", doublequote=False))
+    assert got == [["1", 'a "b", c'], ["2", "two\nlines"], ["3", ""], ["4", "x"], ["id", "s"]]
+    assert open(write_csv(df.where("false"), str(tmp_path / "e.csv"))).read() == "id,s\n"
+    assert spark.read.csv(write_csv(df, str(tmp_path / "d"), single=False), header=True).count() >= 4
