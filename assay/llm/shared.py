@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.plans.storage import cut, shared_dir  # noqa: F401
+
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder that all executors share, below ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (local tests) a temporary folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/assay-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: later stages never recompute it."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
