@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_near_dedup": covertree.OP1_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op9_source_mixing": mixing.OP9_SQL,

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from assay.llm.covertree import Tree, near_vectors, traverse
+from assay.llm.covertree import Tree, _grow, near_vectors, traverse
 from assay.llm.shared import components
 from assay.llm.simhash import CROWD, drop_near_copies, fingerprint_table, fingerprints, links, near_groups
 
@@ -126,6 +126,44 @@ def test_dual_traversal_equals_all_pairs():
         assert np.array_equal(la + lb, own @ wa)
 
 
+def test_dual_traversal_prunes_by_own_radii():
+    """Forty tight clusters far apart: all but the pairs of nodes within a cluster go, and few are opened."""
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(40, 32))
+    x = np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 50, axis=0) + 0.04 * rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen: dict = {}
+    t, w = Tree(x), np.ones(len(x))
+    la, lb, _ = traverse(x, t, w, x, t, w, 0.95, same=True, seen=seen)
+    own = x @ x.T >= 0.95
+    np.fill_diagonal(own, False)
+    assert np.array_equal(la + lb, own.sum(axis=1)) and seen["judged"] < len(x) ** 2 / 20
+
+
+def test_vectors_of_any_finite_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [-1e200, 1e200]), (6, [1e308, -1e308])]
+    got = {r["id"]: (r["n_links"], r["component"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_upper_tree_covers_its_points(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([cloud(rng, 900, 12, ()), 1e-4 * rng.normal(size=(400, 12)) + rng.normal(size=12)])
+    df = spark.createDataFrame([(i, v.tolist(), 1.0, 12) for i, v in enumerate(x)], "key long, v array<double>, m double, dim int")
+    placed, tree = _grow(df, 64)
+    nodes = {r["node"]: r for r in tree.collect()}
+    of = {r["key"]: r["node"] for r in placed.collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = {}
+    for k, n in of.items():
+        sizes[n] = sizes.get(n, 0) + 1
+        while n is not None:
+            if nodes[n]["centre"] is not None:
+                assert np.linalg.norm(u[k] - np.array(nodes[n]["centre"])) <= nodes[n]["cover"] + 1e-9
+            n = nodes[n]["parent"]
+    assert len(of) == 1300 and max(sizes.values()) <= 64 and len(sizes) > 1300 // 64
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     x = cloud(rng, 60, 6, (40, 8)).astype(np.float32).tolist()
