@@ -6,9 +6,11 @@ so that an expression that neither class has seen gets the same likelihood from
 parts: inflected forms of a known stem are recognised. The counts a class's model interpolates are numbers of
 documents that hold the word; the shared ones are numbers of word types, Kneser-Ney's continuation counts.
 
-A text is compared by its length-normalised log-likelihood ratio, as a whole (mean over words) and in its most telling
-expressions (largest, mean of the three largest). A logistic curve over these is fitted by cross-fitting: words counted
-in one half of the sample score the other half's texts.
+A text's two log-likelihoods are compared per expression, so that length doesn't count: over all its expressions, and
+over the one, three and eight that the toxic model favours most, since a few insults make a long text toxic. A logistic
+curve over these four normalised log ratios (and the text's length, which says how large the largest of so many are by
+chance) turns them into a score. It is fitted by cross-fitting: words counted in one half of the sample score the other
+half's texts. The mean over the whole text alone leaves most toxic texts among the ordinary ones (README).
 
 Training takes a bounded sample of labelled rows. All its word types count; they are turned into counts of character
 sequences on the executors, and only these reach the driver.
@@ -17,7 +19,6 @@ sequences on the executors, and only these reach the driver.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,64 +44,71 @@ def _sequences(word: str, start: int = 1, n: int | None = None) -> list[str]:
     return [w[max(0, i - ORDER + 1) : i + 1] for i in range(start, len(w) if n is None else min(len(w), start + n))]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 random-looking bits per number."""
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class KneserNey:
     """log P(word | toxic) - log P(word | ordinary) from document counts per word type."""
 
     def __init__(self, words: list[str], toxic: list[float], ordinary: list[float]):
-        grams = [_sequences(w) for w in words]
-        times = [len(g) for g in grams]
-        self._fit([g for gs in grams for g in gs], [1] * sum(times), np.repeat(toxic, times).tolist(), np.repeat(ordinary, times).tolist())
+        found: dict[str, list[float]] = {}
+        for word, a, b in zip(words, toxic, ordinary, strict=True):
+            for g in _sequences(word):
+                n = found.setdefault(g, [0.0, 0.0, 0.0])
+                n[0], n[1], n[2] = n[0] + 1, n[1] + a, n[2] + b
+        self._fit(list(found), np.array(list(found.values()) or np.zeros((0, 3))))
 
     @classmethod
-    def of_sequences(cls, grams: list[str], types: list[float], toxic: list[float], ordinary: list[float]) -> KneserNey:
-        """The same from the sequences of a character and up to five before it, with numbers of word types and documents."""
+    def of_sequences(cls, grams: list[str], counts: np.ndarray) -> KneserNey:
+        """The same from distinct sequences of a character and up to five before it, with numbers of word types and of
+        toxic and ordinary documents."""
         out = cls.__new__(cls)
-        out._fit(grams, types, toxic, ordinary)
+        out._fit(grams, counts)
         return out
 
-    def _fit(self, grams: list[str], types: list[float], toxic: list[float], ordinary: list[float]) -> None:
-        shared: Counter[str] = Counter()
-        counts: list[dict[tuple[str, str], float]] = [defaultdict(float), defaultdict(float)]
-        for g, t, *ns in zip(grams, types, toxic, ordinary, strict=True):
-            for k in range(len(g)):
-                shared[g[k:]] += t
-            for c, n in zip(counts, ns, strict=True):
-                if n:
-                    c[g[:-1], g[-1]] += n
-        totals: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
-        follow: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
-        for c, total, after in zip(counts, totals, follow, strict=True):
-            for (h, _), n in c.items():
-                total[h] += n
-                after[h] += min(n, DISCOUNT)
-        sums: dict[str, float] = defaultdict(float)
-        kinds: Counter[str] = Counter()
-        for g, n in shared.items():
-            sums[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        letters = max(1, kinds[""])
-
-        def back(h: str, x: str) -> float:
-            """The shared model, from the empty context up."""
-            p = 1 / (letters + 1)
-            for k in range(len(h), -1, -1):
-                s = sums.get(h[k:], 0.0)
-                if s:
-                    p = (max(shared.get(h[k:] + x, 0) - DISCOUNT, 0.0) + DISCOUNT * kinds[h[k:]] * p) / s
-            return p
-
-        # What neither class has seen after h costs both the same shared likelihood: only the weights of backing off differ.
-        self.missing: dict[str, float] = {}
-        for h in {*totals[0], *totals[1]}:
-            a, b = (after[h] / total[h] if total.get(h) else 1.0 for total, after in zip(totals, follow, strict=True))
-            self.missing[h] = float(np.log(a) - np.log(b))
+    def _fit(self, grams: list[str], counts: np.ndarray) -> None:
         self.seen: dict[str, float] = {}
-        for h, x in {*counts[0], *counts[1]}:
-            p = back(h[1:], x)
-            a, b = (
-                (max(c.get((h, x), 0.0) - DISCOUNT, 0.0) + after[h] * p) / total[h] if total.get(h) else p for c, total, after in zip(counts, totals, follow, strict=True)
-            )
-            self.seen[h + x] = float(np.log(a) - np.log(b))
+        self.missing: dict[str, float] = {}
+        if not grams:
+            return
+        lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+        row = np.repeat(np.arange(len(grams)), lengths)
+        column = ORDER - lengths[row] + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        codes = np.zeros((len(grams), ORDER), np.uint64)  # right-aligned code points; a gram's last k columns are its last k characters
+        codes[row, column] = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts = _mixed(codes + (np.arange(ORDER, dtype=np.uint64) << np.uint64(32)))
+        # The shared model from the empty context up; back[k] is the probability of the last character after k - 1 others.
+        back = np.empty((ORDER + 1, len(grams)))
+        for k in range(1, ORDER + 1):
+            some = np.flatnonzero(lengths >= k)
+            context = parts[some, ORDER - k : ORDER - 1].sum(axis=1, dtype=np.uint64)
+            first, of = np.unique(context + parts[some, ORDER - 1], return_index=True, return_inverse=True)[1:]
+            n = np.bincount(of, counts[some, 0])
+            group = np.unique(context[first], return_inverse=True)[1]
+            total, kinds = np.bincount(group, n), np.bincount(group)
+            if k == 1:
+                back[0] = 1 / (len(n) + 1)
+            at = group[of]
+            back[k, some] = (np.maximum(n[of] - DISCOUNT, 0) + DISCOUNT * kinds[at] * back[k - 1, some]) / total[at]
+        lower = back[lengths - 1, np.arange(len(grams))]
+        first, of = np.unique(parts[:, : ORDER - 1].sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)[1:]
+        chances, backoffs = [], []
+        for n in counts[:, 1:].T:
+            total, after = np.bincount(of, n), np.bincount(of, np.minimum(n, DISCOUNT))
+            whole = np.where(total > 0, total, 1.0)
+            backoffs.append(np.where(total > 0, after / whole, 1.0))
+            chances.append(np.where(total[of] > 0, (np.maximum(n - DISCOUNT, 0) + after[of] * lower) / whole[of], lower))
+        # What neither class has seen in a context costs both the same shared likelihood: only the weights of backing off differ.
+        seen = counts[:, 1:].any(axis=1)
+        known = np.bincount(of, seen) > 0
+        ratios, missing = np.log(chances[0]) - np.log(chances[1]), np.log(backoffs[0]) - np.log(backoffs[1])
+        self.seen = {grams[i]: float(ratios[i]) for i in np.flatnonzero(seen)}
+        self.missing = {grams[first[i]][:-1]: float(missing[i]) for i in np.flatnonzero(known)}
 
     def ratio(self, word: str) -> float:
         w, out = f"{START}{word}{END}", 0.0
@@ -111,11 +119,15 @@ class KneserNey:
         return out
 
 
+#: Numbers of the most telling expressions whose mean log ratios are compared, beside that of all.
+TOP = (1, 3, 8)
+
+
 def _features(texts: list[str | None], model: KneserNey, cache: dict[str, float]) -> list[list[float]]:
-    """Per text: mean log ratio of its words, the largest, the mean of the three largest, log of their number."""
+    """Per text: mean log ratio of its words and of the TOP largest ones, log of their number."""
     out = []
     for text in texts:
-        total, n, top = 0.0, 0, np.zeros(3)
+        total, n, top = 0.0, 0, np.zeros(0)
         for part in pieces(text or ""):
             words = _WORDS.findall(part.lower())
             if not words:
@@ -124,10 +136,11 @@ def _features(texts: list[str | None], model: KneserNey, cache: dict[str, float]
                 cache[w] = model.ratio(w)
             values = np.fromiter(map(cache.__getitem__, words), float, len(words))
             total, n = total + values.sum(), n + len(words)
-            top = np.sort(np.concatenate([top, np.partition(values, -3)[-3:] if len(values) > 3 else values]))[-3:]
+            top = np.concatenate([top, np.partition(values, -TOP[-1])[-TOP[-1] :] if len(values) > TOP[-1] else values])
+            top = np.sort(top)[::-1][: TOP[-1]]
             if len(cache) > CACHE:
                 cache.clear()
-        out.append([total / max(1, n), top[-1], top.mean(), np.log1p(n)])
+        out.append([total / max(1, n), *[float(top[:k].mean()) if n else 0.0 for k in TOP], np.log1p(n)])
     return out
 
 
@@ -151,6 +164,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _placed(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``w`` with its constant moved so that a score of one half is where the sample's F1 is largest.
+
+    Toxic texts are few; the curve alone would ask for odds that leave out many of them.
+    """
+    margin = x @ w[1:] + w[0]
+    order = np.argsort(-margin, kind="stable")
+    hits, taken = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    last = np.append(np.diff(margin[order]) < 0, True)  # equal margins are taken together
+    f1 = np.where(last, 2 * hits / (taken + max(1.0, y.sum())), 0.0)
+    k = int(f1.argmax())
+    if not 0 < y.sum() < len(y) or k + 1 == len(y):
+        return w
+    return np.concatenate([[w[0] - (margin[order[k]] + margin[order[k + 1]]) / 2], w[1:]])
+
+
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> Toxicity:
@@ -163,30 +192,47 @@ def train_toxicity(
         docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), "text", "y"), "toxicity-sample"
     )
     half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int")
-    words = known.select("id", "y", half.alias("half"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("w <> ''")
-    sums = [F.sum(((F.col("half") == h) & (F.col("y") == y)).cast("int")).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
-    got = _sequence_counts(words.groupBy("w").agg(*sums)).toArrow().sort_by("g")
+    words = _word_types(known.select("text", "y", half.alias("half")))
+    got = _sequence_counts(words.groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTS[3:]])).toArrow().sort_by("g")
     grams, ns = got.column("g").to_pylist(), np.array([got.column(c).to_numpy() for c in COUNTS[3:]], dtype=float).reshape(2, 2, -1)
 
     def model(types: str, halves: list[int]) -> KneserNey:
         t, n = got.column(types).to_numpy(), ns[halves].sum(axis=0)
         use = np.flatnonzero(t)
-        return KneserNey.of_sequences([grams[i] for i in use], t[use].tolist(), n[1][use].tolist(), n[0][use].tolist())
+        return KneserNey.of_sequences([grams[i] for i in use], np.column_stack([t[use], n[1][use], n[0][use]]).astype(float))
 
     if not grams:
-        return Toxicity(KneserNey([], [], []), np.zeros(5))
+        return Toxicity(KneserNey([], [], []), np.zeros(len(TOP) + 3))
     fitted = []
     for h in (0, 1):  # each half is scored by the other one's words
         fitted += _scored(known.where(half == h), model(f"t{1 - h}", [1 - h]), lambda x: x.tolist(), "x array<double>", "y").collect()
     fitted.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     x, y = np.array([r["x"] for r in fitted]), np.array([r["y"] for r in fitted], dtype=float)
-    return Toxicity(model("t", [0, 1]), _logistic(x, y))
+    return Toxicity(model("t", [0, 1]), _placed(_logistic(x, y), x, y))
 
 
 #: Word types in half 0, half 1 and both together; documents per half and label.
 COUNTS = ["t0", "t1", "t", "n00", "n01", "n10", "n11"]
 
 
+def _word_types(texts: DataFrame) -> DataFrame:
+    """Rows (w, n00, n01, n10, n11): numbers of documents per half and label that hold a word type, summed per batch.
+
+    Words are found as they are when texts are scored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_batches(pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2)], ["y", "text", "half"])):
+                found: dict[str, list[int]] = {}
+                for y, text, h in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for w in {w for piece in pieces(text or "") for w in _WORDS.findall(piece.lower())}:
+                        found.setdefault(w, [0, 0, 0, 0])[2 * h + y] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array([n[i] for n in found.values()], pa.int64()) for i in range(4)]], ["w", *COUNTS[3:]])
+
+    return texts.mapInArrow(run, ", ".join(["w string", *[f"{c} long" for c in COUNTS[3:]]]))
+
+
 def _sequence_counts(counted: DataFrame) -> DataFrame:
     """Rows (g, COUNTS) of the character sequences of word types (w, n00, n01, n10, n11)."""
 

@@ -2,6 +2,8 @@
 
 import html as entities
 import os
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -134,6 +136,57 @@ def test_class_models_are_distributions():
     assert model.ratio("bad") > 0 > model.ratio("cat") and model.ratio("qqq") == pytest.approx(model.ratio("qqz"))
 
 
+def naive_ratio(words, toxic, ordinary):
+    """log P(word | toxic) - log P(word | ordinary), straight from the definition of interpolated Kneser-Ney."""
+    places = [(f"\x02{w}\x03", i) for w in words for i in range(1, len(w) + 2)]
+    histories = [(s[max(0, i - 5) : i], s[i]) for s, i in places]
+    followers = Counter((h[k:], x) for h, x in histories for k in range(len(h) + 1))
+    letters = {x for _, x in histories}
+
+    def shared(h, x):
+        lower = shared(h[1:], x) if h else 1 / (len(letters) + 1)
+        after = [n for (g, _), n in followers.items() if g == h]
+        return (max(followers[h, x] - 0.75, 0) + 0.75 * len(after) * lower) / sum(after) if after else lower
+
+    def chance(counts, h, x):
+        n = Counter()
+        for word, c in zip(words, counts, strict=True):
+            s = f"\x02{word}\x03"
+            for i in range(1, len(s)):
+                n[s[max(0, i - 5) : i], s[i]] += c
+        after = [c for (g, _), c in n.items() if g == h and c]
+        return (max(n[h, x] - 0.75, 0) + sum(min(c, 0.75) for c in after) * shared(h[1:], x)) / sum(after) if after else shared(h[1:], x)
+
+    def ratio(word):
+        s = f"\x02{word}\x03"
+        return sum(np.log(chance(toxic, s[max(0, i - 5) : i], s[i])) - np.log(chance(ordinary, s[max(0, i - 5) : i], s[i])) for i in range(1, len(s)))
+
+    return ratio
+
+
+def test_class_models_equal_the_definition():
+    words, toxic, ordinary = ["grumbo", "grumbly", "stone", "tone", "a", "grumbo's".replace("'", ""), "überall"], [4, 1, 0, 2, 3, 1, 0], [0, 1, 5, 2, 9, 0, 1]
+    model, want = toxicity.KneserNey(words, toxic, ordinary), naive_ratio(words, toxic, ordinary)
+    for w in [*words, "grumbling", "stoned", "zzz", "grumboo" * 3, "tonal", "g"]:
+        assert model.ratio(w) == pytest.approx(want(w), abs=1e-9)
+
+
+def test_scores_equal_the_definition(spark):
+    """Training, then every score, by hand from the definition: log ratios of all words and of the 1, 3 and 8 largest."""
+    rows = [(i, f"alpha beta {'gruk' + 'aeiou'[i % 5] if i % 3 == 0 else 'rest'} gamma {'x' * (i % 4)}", int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(90, "Grukel ÄLPHA2beta"), (91, None), (92, "12 !")], "doc_id long, text string")
+    fitted = toxicity.train_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    find = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    words = sorted({w for _, t, _ in rows for w in find(t)})
+    ratio = naive_ratio(words, *[[sum(w in find(t) for _, t, y in rows if y == label) for w in words] for label in (1, 0)])
+    got = {r["id"]: r["score"] for r in toxicity.score_toxicity(docs, fitted).collect()}
+    for i, t in [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] % 7 in (0, 6)] + [(90, "Grukel ÄLPHA2beta"), (91, None), (92, "12 !")]:
+        v = sorted((ratio(w) for w in find(t)), reverse=True)
+        x = [np.mean(v) if v else 0.0, *[np.mean(v[:k]) if v else 0.0 for k in (1, 3, 8)], np.log1p(len(v))]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(fitted.weights[0] + np.dot(fitted.weights[1:], x)))), abs=1e-9)
+    assert got[90] > 0.5
+
+
 PAGE = "<html><body><nav><a href='/'>Home</a></nav><div class='cookie-banner'>We use cookies</div><div class='{c}'><h1>{t} &amp; more</h1><p>First <b>bo</b>ld<br>line.<p>Second &#8212; 5 < 6.{x}</div><div id='comments'><p>{long}</p></div><footer>foot</footer><script>var a='<p>no</p>';</script></body></html>"
 
 
