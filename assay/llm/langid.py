@@ -3,8 +3,8 @@
 Every word of a text is a position of the chain and every learned language a state. Emission weights are sums over
 the word's affixes, character n-grams and lexicon entry (the whole word), transitions are learned, and forward-backward
 gives each word's language probabilities, so that code-switched text is labelled word by word. A document's language is
-the one with the largest expected number of words. Chains are runs of at most ``CHAIN`` words; all words of a text
-are read.
+the one with the largest expected number of words. A text is one chain, however long: runs of ``CHAIN`` words are
+computed side by side, each from the messages that the runs before and after it pass on.
 
 Texts are handled as flat arrays of code points: letters, word limits, feature hashes and the recursions run over all
 words of a batch at once in numpy. Features live in hash tables of fixed size, so the model's size doesn't depend on
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from assay.llm.shared import bounded, fold, pieces, received, send, table, text_batches
 
-#: Bounds of the training sample: documents, and words of a run from each, both chosen by hash.
-SAMPLE_DOCS, SAMPLE_WORDS = 4_000, 300
+#: Bounds of the training sample, chosen by hash: documents, and characters of their whole texts together.
+SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 12_000_000
+#: Words of a run.
 CHAIN = 64
 BITS = 18
 UNDETERMINED = "und"
@@ -107,11 +108,12 @@ class Chain:
         picked = self.weights[slots]
         return np.stack([np.bincount(owners, picked[:, j], n) for j in range(len(self.langs))], axis=1)
 
-    def marginals(self, e: np.ndarray, chains: np.ndarray, moves: np.ndarray, pairs: bool = False):
-        """Forward-backward. e: words x states; chains: lengths of consecutive chains, each at most CHAIN.
+    def marginals(self, e: np.ndarray, texts: np.ndarray, moves: np.ndarray, pairs: bool = False):
+        """Forward-backward. e: words x states; texts: numbers of words of consecutive texts, each one chain.
 
         Returns word probabilities and, if asked, the expected number of each transition.
         """
+        chains, first = runs_of(texts)
         k, n, width = e.shape[1], len(chains), int(chains.max(initial=0))
         if not width:
             return np.zeros((0, k)), np.zeros((k, k))
@@ -120,28 +122,80 @@ class Chain:
         b = np.ones((width, n, k))
         b[col, row] = np.exp(np.clip(e - e.max(axis=1, keepdims=True), -60, 0))
         here, t = np.arange(width)[:, None] < chains, np.exp(moves - moves.max())
-        alpha, beta = np.empty((width, n, k)), np.ones((width, n, k))
-        alpha[0] = b[0] / b[0].sum(axis=1, keepdims=True)
+        before, after, ends = self._messages(b, chains, first, t)
+        alpha, beta = np.empty((width, n, k)), np.broadcast_to(after, (width, n, k)).copy()
+        alpha[0] = before * b[0]
+        alpha[0] /= alpha[0].sum(axis=1, keepdims=True) + 1e-300
         for i in range(1, width):
             a = (alpha[i - 1] @ t) * b[i]
             alpha[i] = a / (a.sum(axis=1, keepdims=True) + 1e-300)
         for i in range(width - 2, -1, -1):
             x = (b[i + 1] * beta[i + 1]) @ t.T
-            beta[i] = np.where(here[i + 1][:, None], x / (x.sum(axis=1, keepdims=True) + 1e-300), 1.0)
+            beta[i] = np.where(here[i + 1][:, None], x / (x.sum(axis=1, keepdims=True) + 1e-300), after)
         g = alpha * beta
         g /= g.sum(axis=2, keepdims=True) + 1e-300
         moved = np.zeros((k, k))
         if pairs:
+            use = np.flatnonzero(~first)
+            x = ends[use][:, :, None] * t * (b[0] * beta[0])[use][:, None, :]
+            moved += (x / (x.sum(axis=(1, 2), keepdims=True) + 1e-300)).sum(axis=0)
             for i in range(1, width):
                 use = here[i]
                 x = alpha[i - 1][use][:, :, None] * t * (b[i] * beta[i])[use][:, None, :]
                 moved += (x / (x.sum(axis=(1, 2), keepdims=True) + 1e-300)).sum(axis=0)
         return g[col, row], moved
 
+    @staticmethod
+    def _messages(b: np.ndarray, chains: np.ndarray, first: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per run what comes in from the left before its first word, from the right after its last one, and the
+        left neighbour's forward weights at its end. b: places x runs x states; first: whether a run begins a text.
 
-def chain_lengths(words_per_text: np.ndarray) -> np.ndarray:
-    out = [[CHAIN] * (n // CHAIN) + ([n % CHAIN] if n % CHAIN else []) for n in words_per_text.tolist()]
-    return np.array([x for c in out for x in c], np.int64)
+        A run's words act on a message as one matrix; with these, messages go from run to run.
+        """
+        k, n = b.shape[2], len(chains)
+        before, after, ends = np.ones((n, k)), np.ones((n, k)), np.ones((n, k))
+        if first.all():
+            return before, after, ends
+        text = np.cumsum(first) - 1
+        place = np.arange(n) - np.flatnonzero(first)[text]
+        long = np.flatnonzero(np.bincount(text)[text] > 1)  # runs of texts of several runs
+        act = np.zeros((len(long), k, k))
+        act[:, range(k), range(k)] = b[0, long]
+        for i in range(1, b.shape[0]):
+            some = np.flatnonzero(chains[long] > i)
+            if not len(some):
+                break
+            x = (act[some] @ t) * b[i, long[some]][:, None, :]
+            act[some] = x / (x.sum(axis=(1, 2), keepdims=True) + 1e-300)
+        at = np.full(n, -1)
+        at[long] = np.arange(len(long))
+        order = np.argsort(place[long], kind="stable")
+        groups = np.split(long[order], np.flatnonzero(np.diff(place[long][order])) + 1)
+        for runs in groups:  # the first runs of all texts, then the second ones, ...
+            after_it = runs + 1
+            after_it = after_it[(after_it < n)]
+            after_it = after_it[~first[after_it]]
+            x = np.einsum("ni,nij->nj", before[after_it - 1], act[at[after_it - 1]])
+            ends[after_it] = x / (x.sum(axis=1, keepdims=True) + 1e-300)
+            x = ends[after_it] @ t
+            before[after_it] = x / (x.sum(axis=1, keepdims=True) + 1e-300)
+        for runs in reversed(groups):
+            runs = runs[~first[runs]]
+            x = np.einsum("nij,nj->ni", act[at[runs]], after[runs]) @ t.T
+            after[runs - 1] = x / (x.sum(axis=1, keepdims=True) + 1e-300)
+        return before, after, ends
+
+
+def runs_of(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the runs of at most CHAIN words of consecutive texts, and whether each begins a text."""
+    number = -(-texts // CHAIN)
+    lengths = np.full(int(number.sum()), CHAIN, np.int64)
+    some = np.flatnonzero(number)
+    last = np.cumsum(number)[some] - 1
+    lengths[last] = texts[some] - (number[some] - 1) * CHAIN
+    first = np.zeros(len(lengths), bool)
+    first[last - number[some] + 1] = True
+    return lengths, first
 
 
 def fit(samples: list[tuple[str, str]], epochs: int = 4, batch: int = 64, rate: float = 0.4) -> Chain:
@@ -162,18 +216,18 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, batch: int = 64, rate:
         lengths = np.concatenate([x[2] for x in got])
         slots, owners = features(np.concatenate([x[1] for x in got]), lengths)
         labels = np.concatenate([np.full(len(x[2]), x[0]) for x in got])
-        data.append((slots, owners, labels, chain_lengths(np.array([len(x[2]) for x in got]))))
+        data.append((slots.astype(np.int32), owners.astype(np.int32), labels, np.array([len(x[2]) for x in got])))
     squares = np.full((1 << BITS, k), 1e-6)
     move_squares = np.full((k, k), 1e-2)
 
     def epoch(field: bool) -> None:
-        for slots, owners, labels, chains in data:
+        for slots, owners, labels, texts in data:
             e = chain.emissions(slots, owners, len(labels))
             target = np.eye(k)[labels]
             if field:
-                p, moved = chain.marginals(e, chains, chain.moves, pairs=True)
+                p, moved = chain.marginals(e, texts, chain.moves, pairs=True)
                 starts = np.zeros(len(labels), bool)
-                starts[np.cumsum(chains) - chains] = True
+                starts[np.cumsum(texts) - texts] = True
                 follow = np.flatnonzero(~starts)
                 seen = np.bincount(labels[follow - 1] * k + labels[follow], minlength=k * k).reshape(k, k)
                 g = (seen - moved) / max(1, len(labels)) * 10
@@ -191,10 +245,10 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, batch: int = 64, rate:
     for _ in range(2):
         epoch(False)
     sticky = np.log(np.full((k, k), 0.02 / max(1, k - 1)) + np.eye(k) * 0.98)
-    for i, (slots, owners, labels, chains) in enumerate(data):
-        p, _ = chain.marginals(chain.emissions(slots, owners, len(labels)), chains, sticky)
+    for i, (slots, owners, labels, texts) in enumerate(data):
+        p, _ = chain.marginals(chain.emissions(slots, owners, len(labels)), texts, sticky)
         p[np.arange(len(labels)), labels] *= 3  # the text's own language is likelier
-        data[i] = (slots, owners, p.argmax(axis=1), chains)
+        data[i] = (slots, owners, p.argmax(axis=1), texts)
     for _ in range(max(1, epochs - 2)):
         epoch(True)
     return chain
@@ -213,7 +267,7 @@ def label_texts(texts: list[str | None], chain: Chain) -> tuple[list[str], list[
         np.add.at(numbers, np.array(owner), counts)
         lengths = np.concatenate([x[1] for x in got])
         slots, owners = features(np.concatenate([x[0] for x in got]), lengths)
-        p, _ = chain.marginals(chain.emissions(slots, owners, len(lengths)), chain_lengths(counts), chain.moves)
+        p, _ = chain.marginals(chain.emissions(slots, owners, len(lengths)), numbers, chain.moves)
         doc = np.repeat(np.array(owner), counts)
         totals = np.stack([np.bincount(doc, p[:, j], len(texts)) for j in range(k)], axis=1)
     best = totals.argmax(axis=1)
@@ -222,15 +276,22 @@ def label_texts(texts: list[str | None], chain: Chain) -> tuple[list[str], list[
     return langs, scores.tolist(), numbers.tolist()
 
 
-def train_langid(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Chain:
-    """Learn from at most ``sample_docs`` documents with text and language, a run of ``sample_words`` words of each."""
+def train_langid(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Chain:
+    """Learn from the whole texts of at most ``sample_docs`` documents with text and language, chosen by hash.
+
+    Should these hold more than ``sample_chars`` characters together, those of them that come last by hash are left out
+    (never the first one, and never a part of a text).
+    """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    chosen = bounded(known.select("id", "lang", F.xxhash64("text").alias("h")), sample_docs, "id", "h").select("id", "lang", "h")
-    words = F.split("text", r"\s+")
-    start = F.pmod(F.xxhash64(F.lit("run"), "id"), F.greatest(F.size("words") - sample_words + 1, F.lit(1))) + 1
-    rows = known.join(F.broadcast(chosen.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct()), (F.col("id").eqNullSafe(F.col("i"))) & (F.xxhash64("text") == F.col("g")))
-    rows = rows.withColumn("words", words).select("id", "lang", F.concat_ws(" ", F.slice("words", start.cast("int"), F.lit(sample_words))).alias("run"))
-    picked = sorted({(r["id"] or 0, r["lang"], r["run"]) for r in rows.collect()})
+    keys = bounded(known.select("id", F.xxhash64("text").alias("h"), F.length("text").alias("n")), sample_docs, "id", "h").withColumn("place", F.xxhash64(F.lit("place"), "id", "h"))
+    keys = sorted(keys.distinct().collect(), key=lambda r: (r["place"], r["h"]))
+    size = np.cumsum([r["n"] for r in keys])
+    keys = [(r["id"], r["h"]) for r, total in zip(keys, size, strict=True) if total <= max(sample_chars, int(size[0]))]
+    if not keys:
+        return fit([])
+    chosen = docs.sparkSession.createDataFrame(keys, f"i {dict(known.dtypes)['id']}, g long")
+    rows = known.join(F.broadcast(chosen), (F.col("id").eqNullSafe(F.col("i"))) & (F.xxhash64("text") == F.col("g"))).select("id", "lang", "text")
+    picked = sorted({(r["id"] or 0, r["lang"], r["text"]) for r in rows.collect()})
     order = np.random.default_rng(7).permutation(len(picked))
     return fit([(picked[i][1], picked[i][2]) for i in order])
 

@@ -56,20 +56,29 @@ def test_language(spark, corpus):
     assert langid.identify(docs.limit(0), chain).count() == 0
 
 
-def test_forward_backward_equals_enumeration():
+@pytest.mark.parametrize("run", [64, 3, 2, 1])
+def test_forward_backward_equals_enumeration(monkeypatch, run):
+    """A text is one chain whatever the length of the runs it is computed in."""
     from itertools import product
 
+    monkeypatch.setattr(langid, "CHAIN", run)
+
     rng = np.random.default_rng(0)
     chain = langid.Chain(["a", "b", "c"])
-    e, moves, chains = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), np.array([4, 3])
-    got, _ = chain.marginals(e, chains, moves)
-    for at, n in ((0, 4), (4, 3)):
-        p = np.zeros((n, 3))
+    e, moves, texts = rng.normal(size=(10, 3)), rng.normal(size=(3, 3)), np.array([6, 0, 1, 3])
+    got, moved = chain.marginals(e, texts, moves, pairs=True)
+    want = np.zeros((3, 3))
+    for at, n in ((0, 6), (6, 1), (7, 3)):
+        p, pair = np.zeros((n, 3)), np.zeros((3, 3))
         for path in product(range(3), repeat=n):
             w = np.exp(sum(e[at + i, s] for i, s in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
             for i, s in enumerate(path):
                 p[i, s] += w
+                if i:
+                    pair[path[i - 1], s] += w
         assert np.allclose(got[at : at + n], p / p.sum(axis=1, keepdims=True))
+        want += pair / p[0].sum()
+    assert np.allclose(moved, want)
 
 
 def test_words_are_runs_of_letters():
