@@ -2,11 +2,14 @@
 
 First pass: every page is cut into containers, each container that directly holds blocks of text is scored, and the page
 votes for its best one's generalised path (tag and class names without digits, from the root). Votes are summed per
-host and path in Spark, and each host's winner goes back to its pages. Second pass: the main text is taken from the
-containers on the winning path, or, where a page has none, from its own best container.
+host and path in Spark; a host's winning paths, its top one and all that at least ``LEAST_SHARE`` of its pages voted for,
+go back to its pages. Second pass: the main text is taken from the containers on the page's own best path if that is
+one of the winners, else on the first winner that the page has, else, where it has none, on its own best path.
 
 Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles never
-count and are never taken, wherever they stand.
+count and are never taken, wherever they stand. Elements tell so by tag, role or name; a name does if all its parts are
+boilerplate's or say nothing (``related-posts``, not ``related-work``). The header element of an article is the
+article's own: it holds its headline. Elements that are hidden from readers are no text of the article.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from assay.llm.shared import cut, table, text_batches
 
 #: Up to this many hosts the winners are broadcast (at most some 20 MB of paths); beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
+#: Share of a host's votes from which a path is one of its winners.
+LEAST_SHARE = 0.05
 #: A longer path is replaced by its digest, which its descendants' paths go on from.
 MAX_PATH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option".split())
-BOILERPLATE_TAGS = frozenset("nav header footer aside form button dialog menu head fieldset label figcaption".split()) | RAW
+RAW = frozenset("script style noscript template textarea title iframe svg select option".split())
+BOILERPLATE_TAGS = frozenset("nav header footer aside form button dialog menu head".split()) | RAW
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -40,39 +45,61 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 ARTICLE_TAGS = frozenset("article main".split())
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|comment-?\w+|cookies?|consent|disclaimer|disqus|foot(?:er)?|gdpr|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|notification"
-    r"|pagination|pager|paywall|popup|promo\w*|recommend\w*|related|replies|reply|responses|share|sharing|side(?:bar)?|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widgets?|top-?bar|alert|login|signup|search)(?:$|[\s_-])",
-    re.I,
+#: Words that name boilerplate, and words that may stand beside them in a name without changing it.
+BOILERPLATE_NAMES = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs captcha comment comments commenting cookie cookies consent disclaimer disqus footer gdpr masthead menu
+    menus modal nav navbar navigation newsletter notice notices notification notifications pagination pager paywall popup promo promos promotion promoted recommended recommendation recommendations related replies
+    reply respond responses share sharing sidebar sidebars skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets alert alerts login signup signin""".split()
 )
+NEUTRAL_NAMES = frozenset(
+    """site page main top bottom left right box boxes bar block blocks list lists item items wrapper wrap container containers section area inner outer link links button buttons icon icons form panel content text
+    body post posts article articles story stories slot unit placement policy message overlay row column columns group holder region module global primary secondary fixed sticky floating mobile desktop thread count
+    meta title heading author field input media header user reader readers up out the to of and us my js is has""".split()
+)
+HEADER_NAMES = frozenset("header site-header page-header global-header top-header main-header site_header page_header siteheader pageheader search search-box search-form searchform searchbox search-bar".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_PARTS = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _boilerplate_name(name: str, within: bool) -> bool:
+    """Whether a class or id names boilerplate; page headers and search boxes are looked for outside articles only."""
+    if not within and name.lower() in HEADER_NAMES:
+        return True
+    parts = [x for x in _PARTS.split(_DIGITS.sub("", _CAMEL.sub("-", name)).lower()) if x]
+    return not BOILERPLATE_NAMES.isdisjoint(parts) and all(x in BOILERPLATE_NAMES or x in NEUTRAL_NAMES for x in parts)
+
 
+def _element(tag: str, raw: str, within: bool = False) -> tuple[str, bool, bool]:
+    """Generalised step of an element's path; whether it is boilerplate; whether it calls itself an article.
 
-def _element(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """Generalised step of an element's path; whether it is boilerplate; whether it calls itself an article."""
+    within: whether it lies in an element that calls itself an article, whose own header belongs to it.
+    """
+    by_tag = tag in BOILERPLATE_TAGS and not (within and tag == "header")
     if not raw or "=" not in raw and "hidden" not in raw:
-        return tag, tag in BOILERPLATE_TAGS, tag in ARTICLE_TAGS
+        return tag, by_tag, tag in ARTICLE_TAGS
     attrs = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
     role = attrs.get("role", "").lower()
     style = attrs.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
     good = tag in ARTICLE_TAGS or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
-    bad = tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or hidden or (not good and tag not in ("html", "body") and bool(names) and bool(BOILERPLATE_NAMES.search(names)))
+    named = bool(names) and not good and tag not in ("html", "body") and any(_boilerplate_name(x, within) for x in names.split())
+    bad = by_tag or role in BOILERPLATE_ROLES or hidden or named
     classes = ".".join(sorted({_DIGITS.sub("", c) for c in attrs.get("class", "").split()} - {""}))
     return (f"{tag}.{classes}" if classes else tag), bad, good or bool(names and ARTICLE_NAMES.search(names))
 
 
 class Container:
-    __slots__ = ("blocks", "good", "letters", "linked", "parent", "path", "whole")
+    __slots__ = ("blocks", "good", "letters", "linked", "parent", "path", "whole", "within")
 
-    def __init__(self, path: str, good: bool, parent: int = -1, whole: bool = False):
-        self.path, self.good, self.parent, self.whole, self.letters, self.linked, self.blocks = path, good, parent, whole, 0, 0, 0
+    def __init__(self, path: str, good: bool, parent: int = -1, whole: bool = False, within: bool = False):
+        self.path, self.good, self.parent, self.whole, self.within, self.letters, self.linked, self.blocks = path, good, parent, whole, within or whole, 0, 0, 0
 
 
 def parse(page: str | None) -> tuple[list[Container], list[tuple[int, str]]]:
@@ -176,17 +203,17 @@ def parse(page: str | None) -> tuple[list[Container], list[tuple[int, str]]]:
         if tag == "a":
             links += 1
         if tag in INLINE:
-            if m[4] and _element(tag, m[4])[1]:
+            if m[4] and _element(tag, m[4], containers[inside].within)[1]:
                 bad += 1
             continue
-        step, is_bad, good = _element(tag, m[4])
+        step, is_bad, good = _element(tag, m[4], containers[inside].within)
         if is_bad:
             bad += 1
         elif not bad and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "dt", "dd", "pre", "blockquote", "ul", "ol", "table", "tbody", "dl", "figure"):
             path = f"{containers[inside].path}/{step}"
             if len(path) > MAX_PATH:
                 path = "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-            containers.append(Container(path, good, inside, good and tag not in ("html", "body")))
+            containers.append(Container(path, good, inside, good and tag not in ("html", "body"), containers[inside].within))
             inside = len(containers) - 1
     pop(0)
     end_block()
@@ -217,8 +244,12 @@ def best_path(containers: list[Container]) -> tuple[str, float]:
     return best, points[path]
 
 
-def extract(page: str | None, winner: str | None) -> str:
-    """The main text: blocks of the containers on the winning path or below it; else on the page's own best path."""
+def extract(page: str | None, winners: list[str] | None) -> str:
+    """The main text: blocks of the containers on the chosen path or below it.
+
+    winners: the host's winning paths, most votes first. The page's own best path is chosen if it is one of them, else
+    the first of them that has text here, else the page's own.
+    """
     containers, blocks = parse(page)
     if not blocks:
         return ""
@@ -229,9 +260,13 @@ def extract(page: str | None, winner: str | None) -> str:
             below.append(c.path == path or c.parent >= 0 and below[c.parent])
         return " ".join(t for i, t in blocks if below[i])
 
-    own = best_path(containers)[0]
-    found = take(winner) if winner is not None else ""
-    return found or take(own)
+    own, here = best_path(containers)[0], {c.path for c in containers}
+    for path in [own] if not winners or own in winners else winners:
+        if path in here:
+            found = take(path)
+            if found:
+                return found
+    return take(own)
 
 
 def host_of(url: Column) -> Column:
@@ -240,7 +275,8 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, path): the path with most votes on each host, ties to the one that sorts last.
+    """Rows (host, paths): per host the path with most votes, ties to the one that sorts last, and all others with at
+    least ``LEAST_SHARE`` of its votes (so at most 1 / LEAST_SHARE), most votes first.
 
     Every page's vote counts one, so no long page outweighs others; votes are partially summed before the shuffle.
     """
@@ -253,8 +289,11 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in votes], pa.string()) for i in (0, 1)], ["host", "path"])
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string")
-    votes = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("top")).select("host", "top.path")
+    votes = cut(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes")), "host-votes")
+    hosts = votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("top"), F.sum("votes").alias("total"))
+    some = votes.join(hosts, "host").where((F.col("path") == F.col("top.path")) | (F.col("votes") >= F.col("total") * LEAST_SHARE))
+    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("votes", "path"))))
+    return some.groupBy("host").agg(F.transform(ordered, lambda v: v["path"]).alias("paths"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -265,7 +304,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     winners = cut(host_paths(pages, url_col, html_col), "host-paths")
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"))
     few = winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    rows = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("id", "html", "url", "path")
+    rows = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("id", "html", "url", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -213,8 +213,9 @@ def test_extraction(spark):
 
 def test_a_host_outvotes_a_page():
     long = "<body><main><p>Story text that is the article.</p></main><div class='x1'><p>" + "Other words on one page only. " * 30 + "</p></div></body>"
-    assert html.extract(long, "/body/main") == "Story text that is the article."
-    assert html.extract(long, "/body/gone").startswith("Other words") and html.best_path(html.parse(long)[0])[0] == "/body/div.x"
+    assert html.extract(long, ["/body/main"]) == html.extract(long, ["/body/gone", "/body/main"]) == "Story text that is the article."
+    assert html.extract(long, ["/body/main", "/body/div.x"]).startswith("Other words")  # its own path is a winner too
+    assert html.extract(long, ["/body/gone"]).startswith("Other words") and html.best_path(html.parse(long)[0])[0] == "/body/div.x"
 
 
 @pytest.mark.parametrize("broken", ["<a href=\"x", "<<<>>>", "</p></p>", "<!-- never closed", "<script>never closed", "&#xZZ; &bogus; &#1114112;", "<p" * 2000, "a<br/>b<hr/>c", "<table><tr><td>1<td>2<tr><td>3</table>", "<ul><li>a<ul><li>b</ul><li>c</ul>"])
@@ -230,7 +231,7 @@ def test_text_of_tables_and_lists():
 def test_long_paths_keep_their_descendants():
     names = " ".join(f"utility-{chr(97 + i)}" for i in range(26))
     page = f"<body><div class='{names}'><p>{'First words. ' * 9}</p><div class='{names} inner'><p>nested</p><section><p>deeper</p></section></div></div><div class='other'><p>away</p></div></body>"
-    got = html.extract(page, html.best_path(html.parse(page)[0])[0])
+    got = html.extract(page, [html.best_path(html.parse(page)[0])[0]])
     assert got.endswith("First words. nested deeper") and all(len(c.path) <= 200 for c in html.parse(page)[0])
 
 
@@ -239,7 +240,44 @@ def test_articles_of_several_containers_are_whole():
     assert html.extract(nested, None) == "Title The lead. Long words of the text. More."
     assert html.best_path(html.parse(nested)[0])[0] == "/body/article"
     siblings = "<body><div class='post'><section class='a'>One part.</section><section class='b'>Another, longer part.</section></div><div class='x'>away</div></body>"
-    assert html.extract(siblings, html.best_path(html.parse(siblings)[0])[0]) == "One part. Another, longer part."
+    assert html.extract(siblings, [html.best_path(html.parse(siblings)[0])[0]]) == "One part. Another, longer part."
+
+
+def planted_page(rng, template: int) -> tuple[str, str]:
+    """A page and the text of its article, which is known as the page is put together."""
+    say = lambda n: " ".join(rng.choice(SYLLABLES["aa"]) + rng.choice(SYLLABLES["aa"]) for _ in range(n)).capitalize() + "."
+    junk = [
+        lambda: f"<nav><ul><li><a href='/a'>{say(2)}</a></li></ul></nav>", lambda: f"<div class='cookie-notice'><p>{say(6)}</p></div>", lambda: f"<aside class='sidebar'><p>{say(30)}</p></aside>",
+        lambda: f"<div class='ad-slot ad{rng.integers(9)}'>{say(8)}</div>", lambda: f"<form><label>{say(2)}</label><input></form>", lambda: f"<ul class='shareButtons'><li>{say(1)}</li></ul>",
+        lambda: f"<section id='comments'><div class='comment'><p>{say(60)}</p></div></section>", lambda: f"<script>var x = '<p>{say(3)}</p>';</script>", lambda: f"<div role='banner'>{say(4)}</div>",
+        lambda: f"<div class='related-posts'><p>{say(9)}</p></div>", lambda: f"<div style='display: none'>{say(5)}</div>", lambda: "<!-- <p>away</p> -->",
+    ]
+    maybe = lambda: junk[rng.integers(len(junk))]() if rng.random() < 0.5 else ""
+    title, parts = say(4), [say(int(rng.integers(12, 40))) for _ in range(int(rng.integers(3, 7)))]
+    shapes = ["<p>{}</p>", "<p class='related-work'>{}</p>", "<section id='search-algorithms'><p>{}</p></section>", "<div class='lead'>{}</div>", "<figure><figcaption>{}</figcaption></figure>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<fieldset>{}</fieldset>", "<p>{}<br>"]
+    inner = "".join(shapes[rng.integers(len(shapes))].format(x) + (maybe() if template != 2 else "") for x in parts)
+    head = f"<header><h1>{title}</h1></header>" if template == 0 else f"<h1>{title}</h1>"
+    open_, close = (("<article>", "</article>"), ("<main class='m{}'><div class='story-body'>".format(rng.integers(9)), "</div></main>"), ("<div class='post-content'>", "</div>"))[template]
+    page = f"<html><head><title>{title}</title></head><body><header><p>{say(5)}</p></header>{maybe()}{open_}{head}{inner}{close}{maybe()}<footer>{say(7)}</footer></body></html>"
+    return page, " ".join([title, *parts])
+
+
+def test_planted_articles_are_found_whole(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for i in range(240):
+        page, want[i] = planted_page(rng, int(rng.choice([i % 3, (i + 1) % 3], p=[0.8, 0.2])))
+        rows.append((i, f"https://h{i % 3}.example.com/{i}", page))
+    got = {r["id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert not wrong, (rows[wrong[0]][2], got[wrong[0]], want[wrong[0]])
+
+
+def test_names_tell_boilerplate():
+    bad = "ad ad-1 adSlot cookie-banner comment-list related-posts share_buttons site-footer newsletter-signup sidebar widget-area".split()
+    good = "related-work search-algorithms advice comment-ca-va notice-period-law navier-stokes shared lead body-text address menuet".split()
+    assert all(html._boilerplate_name(x, True) for x in bad) and not any(html._boilerplate_name(x, False) for x in good)
+    assert html._boilerplate_name("page-header", False) and not html._boilerplate_name("page-header", True)
 
 
 needs_model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the public tokenizer files are not installed")
