@@ -5,9 +5,11 @@ has no piece. Forward filtering sums the weights of all segmentations up to each
 one segmentation, each with probability proportional to its weight. The random numbers are a hash of the seed, the
 row's key and the place in the text, so any rerun, on any executor, samples the same pieces.
 
-Pieces hold the space mark at their start only, so that the lattice of a text is the chain of the lattices of its
-words, each with the spaces before it. Forward weights are computed once per distinct word and kept as cumulative
-edge probabilities; backward sampling then walks all words of a batch at once, in numpy.
+No piece goes on from a word into the space after it, so that the lattice of a text is the chain of the lattices of its
+words, each with all the spaces before it; what lies between two cuts is told from the vocabulary (``units``), so every
+piece, runs of spaces included, has its edges. Forward weights are computed once per distinct word and kept as
+cumulative edge probabilities; backward sampling then walks all words of a batch at once, in numpy. A word of any
+length is one lattice: time is linear in it, some 50 microseconds a character where it is far longer than others.
 
 The vocabulary is read from the model file with the public library, on the driver, and broadcast (some MB).
 """
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -28,10 +31,8 @@ from assay.llm.shared import received, send, table, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: A word with the space mark before it; further spaces and other white space are words of their own.
-#: and so is what follows the first LONGEST characters of a longer word.
-LONGEST = 64
-_WORDS = re.compile(rf" ?\S{{1,{LONGEST}}}|\s")
+#: Words sampled, and characters of new words learned, at a time.
+WORDS, FRESH = 200_000, 400_000
 CACHE_NODES = 3_000_000
 SLOT_BITS = 18
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -44,6 +45,18 @@ def _rolled(points: np.ndarray) -> int:
     return h
 
 
+def _units(pieces) -> re.Pattern:
+    """What a text is cut into: stretches whose limits no piece crosses, since each piece is one stretch or part of one.
+
+    A word with all the spaces before it, or a single white space of another kind; kinds of white space that occur
+    within pieces (such as the carriage return after a semicolon) count as letters. A vocabulary with pieces that go on
+    into a space after a word has the whole text as one stretch.
+    """
+    glue = "".join(sorted({c for p in pieces if len(p) > 1 for c in p if c.isspace() and c != " "}))
+    units = re.compile(rf" *[\S{re.escape(glue)}]+| +|[^\S {re.escape(glue)}]")
+    return units if all(units.fullmatch(p) for p in pieces if len(p) > 1) else re.compile(r".+", re.S)
+
+
 class Vocabulary:
     """Pieces with their log-weights.
 
@@ -67,11 +80,10 @@ class Vocabulary:
                 ranked.append((-sp.get_score(i), i, p.replace(MARK, " ")))
         ranked.sort()
         for rank, (_, i, p) in enumerate(ranked):
-            if " " in p[1:]:  # a space is a piece's first character or none: words then segment independently
-                continue
             self.piece_id[p] = i
             self.weight[p] = -alpha * float(np.log(rank + 2.7))
         self.longest = max(map(len, self.piece_id), default=1)
+        self.units = _units(self.piece_id)
         self.byte_weight = -alpha * float(np.log(len(ranked) + 2.7))
         # Pieces by a hash of their code points, in an open table probed in place.
         names = list(self.piece_id)
@@ -140,7 +152,7 @@ class Vocabulary:
                 ids.append(-1 - c)
                 weights.append((1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)) * self.byte_weight)
         start, node, ids_, weight = (np.concatenate(x) for x in (starts, nodes, ids, weights))
-        order = np.argsort(node * 32 + (node - start), kind="stable")
+        order = np.argsort(node * (self.longest + 1) + (node - start), kind="stable")
         start, node, ids_, weight = start[order], node[order], ids_[order], weight[order]
         counts = np.bincount(node, minlength=len(points))
         before = np.cumsum(counts) - counts
@@ -203,15 +215,16 @@ class Sampler:
         self.index: dict[str, int] = {}
         # Word -> first node, node -> first edge; edge -> place it starts at, id, cumulative probability.
         self.first, self.edge = _Grown(np.int64, [0]), _Grown(np.int64, [0])
-        self.starts, self.ids, self.cumulative = _Grown(np.int16), _Grown(np.int32), _Grown(np.float64)
+        self.starts, self.ids, self.cumulative = _Grown(np.int32), _Grown(np.int32), _Grown(np.float64)
 
     def learn(self, words) -> None:
         fresh = sorted({*words}.difference(self.index))
         if fresh and self.edge.n > CACHE_NODES:
             self.clear()
             fresh = sorted({*words})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        ends = np.cumsum([len(w) for w in fresh]) // FRESH
+        for part in np.split(np.array(fresh, object), np.flatnonzero(np.diff(ends)) + 1) if fresh else []:
+            part = part.tolist()
             self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
             lengths, counts, starts, ids, cumulative = self.vocabulary.lattices(part)
             self.first.add(self.first.last() + np.cumsum(lengths))
@@ -250,16 +263,14 @@ class Sampler:
         order = np.argsort(owner, kind="stable")
         return out[order], np.bincount(owner, minlength=len(words))
 
-    def encode(self, keys: list[int], texts: list[str | None]) -> list[np.ndarray]:
-        """Piece ids of each text, sampled by its key."""
+    def encode(self, keys: list[int], texts: list[str | None], copies: list[int] | None = None) -> list[np.ndarray]:
+        """Piece ids of each text, sampled by its key and, above 0, the number of its copy."""
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             n = 0
-            for part in parts_of(text or ""):
-                found = _WORDS.findall(part)
-                if not n and found:  # the space that encoders put before a text; the decoder takes it off again
-                    found[:1] = [" " + found[0]] if found[0][0] not in " \t\n\r\x0b\x0c" and not found[0].isspace() else [" ", found[0]]
+            for k, part in enumerate(parts_of(text or "", only=" ")):
+                found = self.vocabulary.units.findall(part if k else " " + part)  # the space that encoders put before a text
                 words += found
                 n += len(found)
             counts[i] = n
@@ -269,8 +280,11 @@ class Sampler:
         place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         with np.errstate(over="ignore"):
             rows = _mix(np.array(keys, np.int64).astype(np.uint64) ^ _mix(np.array([self.seed])))
+            if copies is not None:
+                rows = np.where(np.array(copies) > 0, _mix(rows + np.array(copies, np.uint64)), rows)
             random = _mix(rows[own] + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            ids, per_word = self.sample(words, random)
+            drawn = [self.sample(words[at : at + WORDS], random[at : at + WORDS]) for at in range(0, len(words), WORDS)]
+            ids, per_word = (np.concatenate(x) for x in zip(*drawn, strict=True))
         doc = np.repeat(own, per_word)
         spelled = np.flatnonzero(ids < 0)
         if len(spelled):  # characters spelled in bytes
@@ -293,12 +307,14 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_pieces(docs: DataFrame, model_path: str = MODEL, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str = MODEL, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", number_copies: bool = False) -> DataFrame:
     """``docs`` with its columns and ids (array<int>), n_pieces and lossless (whether decoding gives the text again).
 
     Columns that have these names already are replaced. Null and empty texts have no pieces and are lossless, for null
-    counts as empty. A null key counts as -1; rows with equal keys and texts are sampled alike. ``model_path`` is read
-    on the driver only.
+    counts as empty. A null key counts as -1, and a key that isn't a whole number by a hash of its text; rows with equal
+    keys and texts are sampled alike. With ``number_copies`` rows with equal keys and texts that follow one another, as a
+    mix emits its repetitions, are numbered and each is sampled by its number too. ``model_path`` is read on the driver
+    only.
     """
     docs = docs.drop("ids", "n_pieces", "lossless")
     vocabulary = send(docs.sparkSession, Vocabulary(read_model(model_path), alpha))
@@ -307,13 +323,18 @@ def encode_pieces(docs: DataFrame, model_path: str = MODEL, alpha: float = 1.0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(received(vocabulary), seed)
-        raw = sampler.vocabulary.raw
+        raw, last, copy = sampler.vocabulary.raw, None, 0
         for batch in batches:
             places = pa.array(range(batch.num_rows), pa.int32())
             for part in text_batches(pa.RecordBatch.from_arrays([places, batch.column(text_at)], ["place", "text"]), chars=1 << 20):
                 rows, texts = batch.take(part.column(0)), part.column(1).to_pylist()
-                keys = [-1 if k is None else k for k in rows.column(key_at).to_pylist()]
-                ids = sampler.encode(keys, texts)
+                keys = [-1 if k is None else k if isinstance(k, int) else xxhash.xxh64_intdigest(str(k)) - (1 << 63) for k in rows.column(key_at).to_pylist()]
+                copies: list[int] | None = [] if number_copies else None
+                for row in zip(keys, texts, strict=True) if number_copies else ():
+                    copy = copy + 1 if row == last else 0
+                    last = row
+                    copies.append(copy)
+                ids = sampler.encode(keys, texts, copies)
                 ok = [decode_ids(x.tolist(), raw) == (t or "") for x, t in zip(ids, texts, strict=True)]
                 limits = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate(ids)))

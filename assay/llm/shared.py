@@ -73,16 +73,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return labels.union(alone.join(labels.select("node"), "node", "left_anti"))
 
 
-def pieces(text: str, size: int = 1 << 20):
-    """``text`` in parts of about ``size`` characters, cut before white space, so that no word is cut.
+def pieces(text: str, size: int = 1 << 20, only: str = ""):
+    """``text`` in parts of about ``size`` characters, cut between a word and the white space (or ``only`` character) after it.
 
-    Memory for one text's words then stays bounded however long it is. A run of ``size`` characters without white
-    space is not cut.
+    No word and no run of white space is cut. Memory for one text's words then stays bounded however long it is.
     """
     at = 0
     while len(text) - at > size:
         end = at + size
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and (not (text[end] in only if only else text[end].isspace()) or text[end - 1].isspace()):
             end += 1
         yield text[at:end]
         at = end

@@ -325,7 +325,44 @@ def test_samples_follow_the_lattice():
     assert max(abs(seen.get(k, 0) / n - np.exp(x) / total) for k, x in want.items()) < 0.01
 
 
+@needs_model
+def test_samples_of_texts_use_every_piece():
+    """Whole texts with runs of spaces, other white space and carriage returns against all segmentations of the text."""
+    v = pieces.Vocabulary(pieces.read_model(pieces.MODEL), alpha=0.3)
+    for text in ("a    b", "  i;\r\n", "x\t  y"):
+        padded = " " + text
+
+        def segmentations(at, padded=padded):
+            if at == len(padded):
+                yield (), 0.0
+            for i in range(at + 1, len(padded) + 1):
+                w = padded[at:i]
+                ids, x = ((v.piece_id[w],), v.weight[w]) if w in v.piece_id else (tuple(v.byte[b] for b in w.encode()), v.byte_weight * len(w.encode())) if len(w) == 1 else (None, 0.0)
+                if ids:
+                    for rest, y in segmentations(i):
+                        yield (*ids, *rest), x + y
+
+        want: dict = {}
+        for k, x in segmentations(0):
+            want[k] = want.get(k, 0.0) + np.exp(x)
+        total, n = sum(want.values()), 40_000
+        seen = Counter(tuple(x.tolist()) for x in pieces.Sampler(v).encode(list(range(n)), [text] * n))
+        assert set(seen) <= set(want) and max(abs(seen[k] / n - x / total) for k, x in want.items()) < 0.01
+        assert all(pieces.decode_ids(k, v.raw) == text for k in seen)
+
+
+@needs_model
+def test_keys_of_any_type_and_numbered_copies(spark):
+    text = "The quick brown fox jumps over the lazy dog. " * 5 + "ab" * 700
+    docs = spark.createDataFrame([("k1", text), ("k1", text), ("k1", text), ("k2", text), (None, text)], "doc_id string, text string").coalesce(1)
+    plain, numbered = (pieces.encode_pieces(docs, number_copies=flag).collect() for flag in (False, True))
+    assert len({tuple(r["ids"]) for r in plain}) == 3 and len({tuple(r["ids"]) for r in numbered}) == 5 and all(r["lossless"] for r in plain + numbered)
+    assert numbered[0]["ids"] == plain[0]["ids"] and [r["ids"] for r in numbered] == [r["ids"] for r in pieces.encode_pieces(docs, number_copies=True).collect()]
+
+
 def test_pieces_of_a_text_lose_nothing():
     text = "ab cd ef " * 100
     assert "".join(parts_of(text, 17)) == text and max(map(len, parts_of(text, 17))) < 40
     assert list(parts_of("")) == []
+    spaced = "a" + " " * 50 + "b" * 30 + " c"
+    assert list(parts_of(spaced, 5)) == ["a" + " " * 50 + "b" * 30, " c"] and list(parts_of("a\nb c", 1, only=" ")) == ["a\nb", " c"]
