@@ -7,8 +7,9 @@ arrives any number of batches later is still a hit. Digests that were hit more t
 byte: the keeper's text is fetched by its locator and compared with each copy's full text. Should two different texts
 share a digest, that digest's rows are grouped again by their full text, so that the result never rests on the hash.
 
-Only texts of digests that were hit are shuffled. A fixed bitmap of 2**23 digest bits (at most 1 MB, so its broadcast
-has a proven bound) tells them apart in the scan; a false positive costs a shuffled row and changes nothing.
+Only texts of digests that were hit are shuffled. A bitmap of digest bits, eight or more per such digest and at most
+2**28 (32 MB, so its broadcast has a proven bound), tells them apart in the scan; a false positive costs a shuffled row
+and changes nothing. Beyond some 30 million digests that were hit more and more false positives are shuffled with them.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.functions.exprs import ident
 from assay.llm.shared import cut, shared_dir
 
-BITMAP_BITS = 1 << 23
+#: Bits of the bitmap, at least and at most.
+BITMAP_BITS = 1 << 20, 1 << 28
+#: A table is read in about so many micro-batches, none below the least size in bytes.
+BATCHES, LEAST_BATCH = 8, 64 << 20
 PER_BITMAP = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
@@ -28,13 +33,25 @@ def sha256(text: Column) -> Column:
 
 def _rows(df: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """id, text, locator and digest of each row; a null text counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(
-        F.col(id_col).alias("id"), text.alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), digest(text).alias("digest")
-    )
+    text, place = F.coalesce(ident(text_col), F.lit("")), df.metadataColumn("_metadata")  # also beside a column of that name
+    return df.select(ident(id_col).alias("id"), text.alias("text"), place["file_path"].alias("file"), place["row_index"].alias("row"), digest(text).alias("digest"))
+
 
+def _located(spark: SparkSession, path: str) -> tuple[str, dict[str, str], int]:
+    """What a stream reads for the table at ``path``: a folder, options, and the table's size in bytes.
+
+    A streaming source takes folders only; a table of one file is its folder, filtered by the file's name.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files.getContentSummary(p).getLength()
+    if files.getFileStatus(p).isDirectory():
+        return path, {}, size
+    name = "".join(f"\\{c}" if c in "\\[]{}*?" else c for c in p.getName())
+    return p.getParent().toString(), {"pathGlobFilter": name}, size
 
-def _stream_state(spark: SparkSession, path: str, id_col: str, text_col: str, digest, max_bytes: int, max_files: int | None) -> DataFrame:
+
+def _stream_state(spark: SparkSession, path: str, id_col: str, text_col: str, digest, max_bytes: int | None, max_files: int | None) -> DataFrame:
     """Run the stateful query over all files; returns digest, keep (id, file, row) and n as they stand at its end."""
     session = spark.newSession()
     for k, v in {
@@ -48,11 +65,10 @@ def _stream_state(spark: SparkSession, path: str, id_col: str, text_col: str, di
     }.items():
         session.conf.set(k, v)
     out = shared_dir(spark, "dedup-updates")
-    reader = session.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", max_bytes)
-    if max_files:
-        reader = session.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
-    # A glob, since a streaming source takes a table of one file by no other name.
-    rows = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest).select("digest", F.struct("id", "file", "row").alias("keep"))
+    folder, options, size = _located(spark, path)
+    trigger = {"maxFilesPerTrigger": max_files} if max_files else {"maxBytesPerTrigger": max_bytes or max(LEAST_BATCH, -(-size // BATCHES))}
+    reader = session.readStream.schema(spark.read.parquet(path).schema).options(**trigger, **options)
+    rows = _rows(reader.parquet(folder), id_col, text_col, digest).select("digest", F.struct("id", "file", "row").alias("keep"))
     state = rows.groupBy("digest").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
     empty = state.schema
 
@@ -68,20 +84,20 @@ def _stream_state(spark: SparkSession, path: str, id_col: str, text_col: str, di
     return spark.read.schema(empty).option("basePath", out).parquet(out).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(BITMAP_BITS))
-
-
-def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, max_bytes_per_trigger: int = 1 << 40, max_files_per_trigger: int | None = None) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, max_bytes_per_trigger: int | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Groups of rows of the Parquet table at ``path`` whose texts are equal byte for byte.
 
     One row per input row: id, file and row (its locator), keep_id, group_size, kept, digest. Of equal texts the row
     with the largest id stays; among rows with equal ids the one with the largest locator, so exactly one row stays
     per text. Null texts count as empty; a null id is smaller than any other; an empty table gives no rows; other
     columns, whatever their names, aren't read. ``digest`` may be any column function: equal bytes are what decides.
+    By default the stream takes an eighth of the table at a time, so that later batches find the state of earlier ones.
     """
     groups = _stream_state(spark, path, id_col, text_col, digest, max_bytes_per_trigger, max_files_per_trigger)
     multi = cut(groups.where("n > 1").select("digest", "keep", "n"), "dedup-multi")
+    least, most = BITMAP_BITS
+    bits = min(most, max(least, 1 << (8 * multi.count()).bit_length()))
+    _bit = lambda digest: F.pmod(F.xxhash64(digest), F.lit(bits))
     bitmap = multi.groupBy((_bit(F.col("digest")) / PER_BITMAP).cast("int").alias("part")).agg(
         F.bitmap_construct_agg(F.pmod(_bit(F.col("digest")), F.lit(PER_BITMAP))).alias("bits")
     )
@@ -120,16 +136,18 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; the columns stay as they are.
+    """``docs`` without the rows that ``exact_dedup`` drops; the columns stay as they are, whatever their names.
 
-    The frame is written to the shared folder first, for a stream reads files.
+    The frame is written to the shared folder first, for a stream reads files, under names of its own.
     """
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
     path = shared_dir(spark, "dedup-input")
-    docs.write.parquet(path)
-    dropped = exact_dedup(spark, path, id_col, text_col).where("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    kept = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return kept.join(dropped, ["__file", "__row"], "left_anti").select(*[kept[c] for c in docs.columns])
+    docs.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    dropped = exact_dedup(spark, path, f"c{names.index(id_col)}", f"c{names.index(text_col)}").where("not kept").select("file", "row")
+    rows = spark.read.parquet(path)
+    place = rows.metadataColumn("_metadata")
+    kept = rows.select("*", place["file_path"].alias("file"), place["row_index"].alias("row")).join(dropped, ["file", "row"], "left_anti")
+    return kept.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
