@@ -7,10 +7,13 @@ partial sum per source and task; rates go back to the documents by a broadcast o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.functions.exprs import ident
 from assay.llm.shared import WORD, cut, table
+from assay.plans.ranks import running
+from assay.plans.statplan import with_totals
 
 #: More sources than this and the rates are joined by a shuffle, whose skew adaptive execution splits.
 BROADCAST_SOURCES = 10_000
@@ -26,19 +29,19 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     Sources ordered by code point, null last, take ``weights`` in turn and divide ``share`` of all tokens by weight.
     A target stops at ``cap`` times its source's size and the excess is shared again by weight among the rest until
     none is above: with sources ordered by cap/weight, all before some point stop at their cap and the others get one
-    common level times their weight. One row per source is ordered here, never a document.
+    common level times their weight. One row per source is ordered here, never a document, and over sorted ranges, for
+    sources may be as many as hosts of the web.
     """
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = sizes.withColumn("turn", turn).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("turn") % len(weights) + 1).cast("int")))
-    s = s.withColumn("cap", cap * F.col("source_size"))
-    by = Window.orderBy(F.col("cap") / F.col("weight"), "turn")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (share * F.sum("source_size").over(everything) - before) / rest).withColumn("place", F.row_number().over(by))
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(everything)
-    target = F.least(F.col("cap"), F.col("found.level") * F.col("weight"))
-    s = s.withColumn("found", first).withColumn("target", F.coalesce(target, F.col("cap")))
+    s = sizes.select("source", "source_size", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), F.lit(1).cast("long").alias("one"))
+    s = running(s, ["none", "name"], {"turn": "one"}).withColumn("turn", F.col("turn") - 1)
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("turn") % len(weights) + 1).cast("int")))
+    s = cut(s.withColumn("cap", cap * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight")), "mix-weights")
+    s = running(s, ["ratio", "turn"], {"caps": "cap", "weights": "weight", "place": "one"})
+    s = with_totals(s, [], all_weights=F.sum("weight"), all_sizes=F.sum("source_size"))
+    before, rest = F.col("caps") - F.col("cap"), F.col("all_weights") - (F.col("weights") - F.col("weight"))
+    s = s.withColumn("level", (share * F.col("all_sizes") - before) / rest)
+    s = with_totals(cut(s, "mix-levels"), [], found=F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))))
+    s = s.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("found.level") * F.col("weight")), F.col("cap")))
     return s.select("source", "source_size", "weight", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
@@ -49,34 +52,30 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies.
+    """Rows (row, size, source_size, target, copies): each row of ``docs`` as a struct, so that no name clashes.
 
     Null texts have size 0; the null source is a source like any other; rows that share an id share their draw; a
     source without tokens has target 0 and no copies; an empty table gives no rows.
     """
-    sized = docs.withColumn("__size", n_words(F.col(text_col)))
-    sizes = cut(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("__size").alias("source_size")), "mix-sources")
-    rates = source_targets(sizes, weights, share, cap).select(
-        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate")
-    )
+    sized = docs.select(F.struct(*[ident(c) for c in docs.columns]).alias("row"), n_words(ident(text_col)).alias("size"), ident(source_col).cast("string").alias("own"), ident(id_col).alias("key"))
+    sizes = cut(sized.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size")), "mix-sources")
+    rates = source_targets(sizes, weights, share, cap).select("source", "source_size", "target", "rate")
     rates = F.broadcast(rates) if sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else rates
-    whole = F.floor("__rate")
-    extra = (draw(F.col(id_col), seed) < F.col("__rate") - whole).cast("int")
-    joined = sized.join(rates, sized[source_col].eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copies", (whole + extra).cast("int")).drop("__source", "__rate")
+    whole = F.floor("rate")
+    extra = (draw(F.col("key"), seed) < F.col("rate") - whole).cast("int")
+    joined = sized.join(rates, F.col("own").eqNullSafe(F.col("source")))
+    return joined.select("row", "size", "source_size", "target", (whole + extra).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: each row of ``docs`` as many times as its copies say, columns unchanged."""
-    many = with_copies(docs, **options).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return many.select(*docs.columns)
+    many = with_copies(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return many.select("row.*")
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken")
-    )
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP9_SQL = r"""
