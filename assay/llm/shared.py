@@ -73,6 +73,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return labels.union(alone.join(labels.select("node"), "node", "left_anti"))
 
 
+def perhaps_in(df: DataFrame, key: str, keys: DataFrame, least: int = 1 << 20, most: int = 1 << 28) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``keys`` (column ``key``), and a few others: no such row is missing.
+
+    A broadcast bitmap of eight bits or more per key, at most ``most`` bits (32 MB), keeps wide rows that an equi-join
+    would throw away out of its shuffle. The join itself still has to follow.
+    """
+    per = 32768  # bits of one bitmap of bitmap_construct_agg
+    bits = min(most, max(least, 1 << (8 * keys.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
+    bitmap = keys.groupBy((bit / per).cast("int").alias("__part")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(per))).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn("__part", (bit / per).cast("int")).withColumn("__at", F.pmod(bit, F.lit(per))).join(F.broadcast(bitmap), "__part")
+    return marked.withColumn("__byte", byte).where(F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1 = 1")).select(*[df[c] for c in df.columns])
+
+
 def pieces(text: str, size: int = 1 << 20, only: str = ""):
     """``text`` in parts of about ``size`` characters, cut between a word and the white space (or ``only`` character) after it.
 

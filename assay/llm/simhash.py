@@ -10,6 +10,13 @@ A grid point with more than ``CROWD`` fingerprints isn't paired off. Its fingerp
 instead: two of them within 2 bits share a 64-bit word at most one bit from either, a word has at most 65 such
 neighbours, and each is linked with the smallest. That is exact, and its cost is 65 rows per fingerprint, whatever
 the size of the group. Components come from contraction rounds; no pair of copies is ever written out.
+
+``near_groups`` links whole documents by their fingerprints. ``similar_groups`` links documents whose word shingles are
+similar (Jaccard), which 64 bits can't tell: texts at 0.8 differ in some nine bits, far beyond the grid. There a document
+has ``SEEDS`` fingerprints, each of a window of its shingles around the one that a seeded hash puts first. Two texts
+at 0.8 have each such window in common with a probability of about two in three, and at least one of eight in 99.98 of
+100 cases; windows within two bits meet on the grid as above, and every pair of documents found is verified exactly on its
+shingles.
 """
 
 from __future__ import annotations
@@ -19,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assay.llm.shared import components, cut, table
+from assay.llm.shared import components, cut, perhaps_in, table
 
 SEGMENTS, WIDTH = 16, 4
 CROWD = 64
@@ -114,18 +121,134 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(cut(known, "simhash-known"), "fp").select("id", "fp", "component")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with its smallest id; columns unchanged.
+#: Windows of a document and shingles on either side of a window's middle; documents of a bucket that are paired off.
+SEEDS, REACH, CROWD_DOCS = 8, 4, 24
+#: Pivots of a crowd in a round.
+PIVOTS = 32
+_SPREAD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(64)], np.uint64)
+
+
+def _grams(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """The hashes of a text's shingles in order, of the words of ``fingerprints``; a text without words has that of none."""
+    words = text.lower().split() if text else []
+    n = max(1, len(words) - shingle + 1)
+    h = xxhash.xxh64_intdigest
+    found = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter((h(g, seed) for g in found), np.uint64, n)
+
+
+def _windows(grams: np.ndarray, seeds: int = SEEDS, reach: int = REACH) -> np.ndarray:
+    """SimHashes of the windows around each seed's first shingle."""
+    mixed = grams[:, None] ^ _SPREAD[None, :seeds]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    middle = (mixed ^ (mixed >> np.uint64(29))).argmin(axis=0)
+    at = np.clip(middle[:, None] + np.arange(-reach, reach + 1), 0, len(grams) - 1)
+    bits = np.unpackbits(grams[at].astype(">u8").view(np.uint8).reshape(seeds, 2 * reach + 1, 8), axis=2).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * bits > 2 * reach + 1, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+def _by_text(rows: DataFrame, of, kind: str) -> DataFrame:
+    """Rows (row, values) where ``of`` makes an array of longs of each text; rows: row and text as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                values = [of(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.int64()))], ["row", kind])
+
+    return rows.mapInArrow(run, f"row long, {kind} array<long>")
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
+    sides = [grams.select(F.col("row").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b")]
+    both = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    na, nb = F.size("ga"), F.size("gb")
+    both = both.where(F.least(na, nb) >= F.greatest(na, nb) * (similarity - 1e-12))
+    common = F.size(F.array_intersect("ga", "gb"))
+    return both.where(common >= (na + nb - common) * (similarity - 1e-12)).select("a", "b")
+
+
+def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """Rows (row, label) of the documents that are similar to another one; label is the smallest row of their group.
+
+    rows: row (long, distinct) and text. Groups are the components of the pairs whose sets of ``shingle``-word shingles
+    have a Jaccard similarity of at least ``similarity``; texts without words are alike. Every pair reported is exact;
+    pairs are found with the probability above, by windows they share.
+
+    Documents of a bucket of up to ``CROWD_DOCS`` are paired off. A larger one is settled by pivots: documents are
+    compared with all others of the bucket that don't hang together with them yet, so a family of near copies is done
+    after a round or two. What is still apart then (texts that share a passage and little else) is dealt anew by prefixes:
+    with a bucket's shingles ordered from the rarest in it to the commonest, two similar texts share one of the first
+    n - ceil(similarity n) + 1 of either. Pairs and pivots settle these smaller groups; none is left out.
+    """
+    texts = rows.select("row", F.col("text").cast("binary").alias("text"))
+    prints = cut(_by_text(texts, lambda t: np.unique(_windows(_grams(t, shingle, seed))), "fps"), "windows")
+    fps = prints.select("row", F.explode("fps").alias("fp"))
+    near = components(links(cut(fps.select("fp").distinct(), "window-prints")))
+    of = fps.join(near.select(F.col("node").alias("fp"), "label"), "fp", "left").select("row", F.coalesce("label", "fp").alias("key")).distinct()
+    pairs, crowd, met = _dealt(of)
+    grams = cut(_by_text(perhaps_in(texts, "row", met), lambda t: np.unique(_grams(t, shingle, seed)).view(np.int64), "grams"), "grams")
+    edges, crowd = _settled(crowd, cut(_verified(pairs, grams, similarity), "similar"), grams, similarity, 2)
+    if not crowd.isEmpty():
+        parts = cut(crowd.join(grams, "row").select("row", "key", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "crowd-grams")
+        common = parts.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # what one text has alone comes first and meets nobody
+        alone = F.col("size") - F.size("found")
+        found = parts.join(common, ["key", "gram"]).groupBy("row", "key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("found"))
+        most = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1 - alone
+        prefix = found.where(most > 0).select("row", "key", F.explode(F.slice("found", F.lit(1), most.cast("int"))).alias("g"))
+        pairs, crowd, _ = _dealt(prefix.select("row", F.xxhash64("key", "g.gram").alias("key")))
+        edges = cut(edges.union(_verified(pairs, grams, similarity)).distinct(), "similar")
+        edges, _ = _settled(crowd, edges, grams, similarity, None)
+    return components(edges).select(F.col("node").alias("row"), "label")
+
+
+def _dealt(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (row, key): the pairs (a, b) of keys of few rows, the rows of keys of many, and all rows that share a key."""
+    keys = cut(keys, "keys")
+    keyed = cut(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "shared-keys")
+    few = keyed.where(F.col("n") <= CROWD_DOCS)
+    pairs = few.select("key", F.col("row").alias("a")).join(few.select("key", F.col("row").alias("b")), "key").where("a < b").select("a", "b")
+    return pairs, keyed.where(F.col("n") > CROWD_DOCS).select("row", "key"), keyed.select("row").distinct()
+
+
+def _settled(crowd: DataFrame, edges: DataFrame, grams: DataFrame, similarity: float, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+    """Edges with those found by ``rounds`` rounds of pivots (as many as it takes if None), and the crowds left open.
+
+    crowd: rows (row, key). A round takes up to PIVOTS rows of each crowd from outside its largest group and compares
+    them with all rows of other groups in it; they have met everybody then and leave. A crowd of one group is done.
+    """
+    while not crowd.isEmpty() and (rounds is None or rounds > 0):
+        rounds = None if rounds is None else rounds - 1
+        labels = components(edges)
+        at = crowd.join(labels.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        at = cut(at, "crowd-labels")
+        sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        top = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key", F.col("top.label").alias("largest"))
+        crowd = cut(at.join(top, "key"), "crowd-open")
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"), "row"))  # each task keeps its first ones before the shuffle
+        pivots = cut(crowd.where("label <> largest").withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("row").alias("a"), F.col("label").alias("la")), "pivots")
+        met = crowd.join(pivots, "key").where("label <> la").select(F.least("row", "a").alias("a"), F.greatest("row", "a").alias("b"))
+        edges = cut(edges.union(_verified(met, grams, similarity)).distinct(), "similar")
+        crowd = cut(crowd.select("row", "key").join(pivots.select(F.col("a").alias("row"), "key"), ["row", "key"], "left_anti"), "crowds")
+    return edges, crowd
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """``docs`` with one document of each of ``similar_groups``: the one with the smallest id; columns unchanged.
 
-    Rows without an id stay; rows that share a component's smallest id all stay. Rows that share an id are judged each by
-    its own fingerprint: the frame is written with a row number of its own first.
+    Ids may be of any type that has an order; a null id comes last. Of rows that share the smallest id the first one as
+    the table is written stays. An empty table stays empty; columns may have any names.
     """
-    named = cut(docs.select("*", F.monotonically_increasing_id().alias("__row")), "simhash-rows")
-    text_col, shingle, seed = options.get("text_col", "text"), options.get("shingle", 3), options.get("seed", 42)
-    gone = near_groups(named, id_col, **options).where(F.col("id") != F.col("component")).select("id", "fp").distinct()
-    prints = fingerprint_table(named, "__row", text_col, shingle, seed).select(F.col("id").alias("__row"), "fp")
-    rows = prints.join(named.select("__row", F.col(id_col).cast("long").alias("id")), "__row").join(gone, ["id", "fp"], "left_semi").select("__row")
-    return named.join(rows, "__row", "left_anti").select(*[named[c] for c in docs.columns])
+    names = docs.columns
+    named = cut(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    key = F.col(f"c{names.index(id_col)}")
+    labels = cut(similar_groups(named.select("row", F.col(f"c{names.index(text_col)}").alias("text")), shingle, similarity, seed), "groups")
+    ids = perhaps_in(named.select("row", key.alias("id")), "row", labels.select("row"))
+    members = cut(labels.join(ids, "row").withColumn("order", F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))), "members")
+    gone = members.join(members.groupBy("label").agg(F.min("order").alias("first")), "label").where(F.col("row") != F.col("first.row")).select("row")
+    return named.join(gone, "row", "left_anti").select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

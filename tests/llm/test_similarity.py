@@ -3,12 +3,14 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from assay.llm import simhash
 from assay.llm.covertree import Tree, _grow, near_vectors, traverse
 from assay.llm.shared import components
-from assay.llm.simhash import CROWD, drop_near_copies, fingerprint_table, fingerprints, links, near_groups
+from assay.llm.simhash import CROWD, drop_near_copies, fingerprint_table, fingerprints, links, near_groups, similar_groups
 
 
 def labels_of(n, pairs):
@@ -82,17 +84,57 @@ def test_near_groups(spark):
         least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
     want = sorted((str(i), least[g]) for (i, _), g in zip(rows, label, strict=True))
     assert sorted((str(r["id"]), r["component"]) for r in got) == want
-    kept = drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {least[g] for g in label} | {None}
     assert near_groups(docs.limit(0)).count() == 0
 
 
 def test_rows_that_share_an_id_are_judged_each(spark):
     copy, other = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
-    docs = spark.createDataFrame([(1, copy), (2, copy), (2, other), (None, copy)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, other), (None, copy), (None, "lone")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "__part", "c0", "_metadata")})
     kept = drop_near_copies(docs)
-    assert kept.columns == docs.columns and sorted((str(r[0]), r[1]) for r in kept.collect()) == [("1", copy), ("2", other), ("None", copy)]
+    assert kept.columns == docs.columns and sorted((str(r[0]), r[1]) for r in kept.collect()) == [("1", copy), ("2", other), ("None", "lone")]
+    named = spark.createDataFrame([("b", copy), ("a", copy), ("c", None), ("d", " "), ("e", "")], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in drop_near_copies(named).collect()) == ["a", "c"]
+    assert drop_near_copies(docs.limit(0)).count() == 0
+
+
+def shingled(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def alike(texts, least=0.8):
+    sets = [shingled(t) for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.choice(len(words), n, replace=False):
+        words[at] = f"new{rng.integers(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize(("crowd", "pivots"), [(24, 32), (3, 2)])
+def test_similar_groups_equal_all_pairs(spark, monkeypatch, crowd, pivots):
+    """Families of edited texts, a passage that many share, short texts and ties, with crowds settled by pivots too."""
+    monkeypatch.setattr(simhash, "CROWD_DOCS", crowd)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    rng = np.random.default_rng(8)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    texts = []
+    for n, size in ((120, 6), (300, 9), (40, 4), (900, 3)):
+        base = say(n)
+        texts += [" ".join(edited(rng, base, int(rng.integers(0, max(2, n // 40))))) for _ in range(size)]
+    passage = say(60)
+    texts += [" ".join([*say(40), *passage, *say(40)]) for _ in range(12)]  # a third of each text, far from similar
+    base = say(200)
+    texts += [" ".join(edited(rng, base, 1)) for _ in range(14)]  # a crowd of near copies
+    texts += [" ".join(edited(rng, base, 6)) for _ in range(6)]
+    texts += [None, "", " \n", "one two", "One  Two", "one two three four five six", "a b c d e", "a b c d e f", *[" ".join(say(80)) for _ in range(20)]]
+    want = labels_of(len(texts), alike(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["row"]: r["label"] for r in similar_groups(rows).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
 
 
 def test_components_of_chains_stars_and_loops(spark):
