@@ -29,7 +29,7 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints hang together at 2 bits or fewer, the one with the smallest id."""
+    """Of documents whose five-word shingles are similar at 0.8 or more, found by SimHash, the one with the smallest id."""
     return drop_near_copies(docs)
 
 
@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a sampled segmentation, seeded by their id, that decodes to the text."""
-    return encode_pieces(docs)
+    """Documents with a sampled segmentation, seeded by their id and the number of the copy, that decodes to the text."""
+    return encode_pieces(docs, number_copies=True)
 
 
 STAGES = [
