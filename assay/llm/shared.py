@@ -33,12 +33,36 @@ def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(h, *keys).limit(rows)
 
 
+#: Edges that one task may hold: components of so few are found at once instead of by rounds.
+ONE_TASK = 20_000
+
+
+def _joined(batches):
+    """Rows (node, to) of the edges (a, b) of one task: every node points at the smallest one it reaches."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "to"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an edge list of longs: rows (node, label), label = smallest node reachable.
 
     Every node first points at its smallest neighbour, two pointer jumps shorten the paths, and the edges are
-    contracted onto the pointers; this repeats until no edge joins two different nodes. Each round is aggregates and
-    equi-joins over what is left, written to the shared folder; nothing is collected. Self-loops and repeated edges
+    contracted onto the pointers; this repeats until at most ``ONE_TASK`` edges are left, which one task settles. Each
+    round is aggregates and equi-joins over what is left, written to the shared folder; nothing is collected. Self-loops and repeated edges
     are allowed; edges with a null end are dropped; a node without edges doesn't appear.
     """
     spark = edges.sparkSession
@@ -47,20 +71,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     labels: DataFrame | None = None
     for _ in range(rounds):
-        if left.isEmpty():
+        n = left.count()
+        if not n:
             break
-        both = left.union(left.select(F.col("b"), F.col("a")))
-        step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        step = cut(step, "step")
-        for _ in range(2):
-            up = step.select(F.col("node").alias("to"), F.col("to").alias("up"))
-            step = step.join(up, "to").select("node", F.col("up").alias("to"))
-        step = cut(step, "step")
+        if n <= ONE_TASK:
+            step = cut(left.coalesce(1).mapInArrow(_joined, "node long, to long"), "step")
+        else:
+            both = left.union(left.select(F.col("b"), F.col("a")))
+            step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+            step = cut(step, "step")
+            for _ in range(2):
+                up = step.select(F.col("node").alias("to"), F.col("to").alias("up"))
+                step = step.join(up, "to").select("node", F.col("up").alias("to"))
+            step = cut(step, "step")
         if labels is None:
             labels = step.select("node", F.col("to").alias("label"))
         else:
             up = step.select(F.col("node").alias("label"), "to")
             labels = cut(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        if n <= ONE_TASK:
+            break
         ends = step.select(F.col("node").alias("a"), F.col("to").alias("pa"))
         other = step.select(F.col("node").alias("b"), F.col("to").alias("pb"))
         left = left.join(ends, "a").join(other, "b").where("pa <> pb")

@@ -12,11 +12,11 @@ neighbours, and each is linked with the smallest. That is exact, and its cost is
 the size of the group. Components come from contraction rounds; no pair of copies is ever written out.
 
 ``near_groups`` links whole documents by their fingerprints. ``similar_groups`` links documents whose word shingles are
-similar (Jaccard), which 64 bits can't tell: texts at 0.8 differ in some nine bits, far beyond the grid. There a document
-has ``SEEDS`` fingerprints, each of a window of its shingles around the one that a seeded hash puts first. Two texts
-at 0.8 have each such window in common with a probability of about two in three, and at least one of eight in 99.98 of
-100 cases; windows within two bits meet on the grid as above, and every pair of documents found is verified exactly on its
-shingles.
+similar (Jaccard), which 64 bits can't tell: texts at 0.8 differ in some nine bits, far beyond the grid. There the grid's
+links of whole texts are joined by ``SEEDS`` further fingerprints of each, of windows of its shingles around the one that a
+seeded hash puts first. Two texts at 0.8 have each such window in common with a probability of about two in three, and
+at least one of eight in 99.98 of 100 cases. A window that is edited differs in many bits, so these are joined where they
+are equal, and every pair of documents found, by grid or window, is verified exactly on its shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.shared import components, cut, perhaps_in, table
@@ -123,7 +123,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Windows of a document and shingles on either side of a window's middle; documents of a bucket that are paired off.
 SEEDS, REACH, CROWD_DOCS = 8, 4, 24
-#: Pivots of a crowd in a round.
+#: Pivots of a crowd in a round, about.
 PIVOTS = 32
 _SPREAD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(64)], np.uint64)
 
@@ -137,14 +137,16 @@ def _grams(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((h(g, seed) for g in found), np.uint64, n)
 
 
-def _windows(grams: np.ndarray, seeds: int = SEEDS, reach: int = REACH) -> np.ndarray:
-    """SimHashes of the windows around each seed's first shingle."""
+def _prints(grams: np.ndarray, seeds: int = SEEDS, reach: int = REACH) -> np.ndarray:
+    """SimHashes of the whole text and, after it, of the windows around each seed's first shingle."""
     mixed = grams[:, None] ^ _SPREAD[None, :seeds]
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     middle = (mixed ^ (mixed >> np.uint64(29))).argmin(axis=0)
     at = np.clip(middle[:, None] + np.arange(-reach, reach + 1), 0, len(grams) - 1)
     bits = np.unpackbits(grams[at].astype(">u8").view(np.uint8).reshape(seeds, 2 * reach + 1, 8), axis=2).sum(axis=1, dtype=np.int64)
-    return np.packbits(2 * bits > 2 * reach + 1, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+    counts = sum((np.unpackbits(grams[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(grams), 65536)), np.zeros(64, np.int64))
+    packed = np.packbits(np.concatenate([2 * counts[None] > len(grams), 2 * bits > 2 * reach + 1]), axis=1)
+    return packed.view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
 def _by_text(rows: DataFrame, of, kind: str) -> DataFrame:
@@ -175,7 +177,7 @@ def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, s
 
     rows: row (long, distinct) and text. Groups are the components of the pairs whose sets of ``shingle``-word shingles
     have a Jaccard similarity of at least ``similarity``; texts without words are alike. Every pair reported is exact;
-    pairs are found with the probability above, by windows they share.
+    pairs are found with the probability above, by fingerprints within two bits or windows they share.
 
     Documents of a bucket of up to ``CROWD_DOCS`` are paired off. A larger one is settled by pivots: documents are
     compared with all others of the bucket that don't hang together with them yet, so a family of near copies is done
@@ -184,11 +186,13 @@ def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     n - ceil(similarity n) + 1 of either. Pairs and pivots settle these smaller groups; none is left out.
     """
     texts = rows.select("row", F.col("text").cast("binary").alias("text"))
-    prints = cut(_by_text(texts, lambda t: np.unique(_windows(_grams(t, shingle, seed))), "fps"), "windows")
-    fps = prints.select("row", F.explode("fps").alias("fp"))
-    near = components(links(cut(fps.select("fp").distinct(), "window-prints")))
-    of = fps.join(near.select(F.col("node").alias("fp"), "label"), "fp", "left").select("row", F.coalesce("label", "fp").alias("key")).distinct()
-    pairs, crowd, met = _dealt(of)
+    prints = cut(_by_text(texts, lambda t: _prints(_grams(t, shingle, seed)), "fps"), "prints")
+    whole = cut(prints.select("row", F.col("fps")[0].alias("fp")), "whole-prints")
+    near = components(links(cut(whole.select("fp").distinct(), "distinct-prints")))
+    of_whole = whole.join(near.select(F.col("node").alias("fp"), "label"), "fp", "left").select("row", F.xxhash64(F.lit("whole"), F.coalesce("label", "fp")).alias("key"))
+    windows = F.array_distinct(F.slice("fps", 2, SEEDS))
+    of_window = prints.select("row", F.explode(windows).alias("fp")).select("row", F.xxhash64(F.lit("window"), "fp").alias("key"))
+    pairs, crowd, met = _dealt(of_whole.union(of_window))
     grams = cut(_by_text(perhaps_in(texts, "row", met), lambda t: np.unique(_grams(t, shingle, seed)).view(np.int64), "grams"), "grams")
     edges, crowd = _settled(crowd, cut(_verified(pairs, grams, similarity), "similar"), grams, similarity, 2)
     if not crowd.isEmpty():
@@ -216,19 +220,20 @@ def _dealt(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _settled(crowd: DataFrame, edges: DataFrame, grams: DataFrame, similarity: float, rounds: int | None) -> tuple[DataFrame, DataFrame]:
     """Edges with those found by ``rounds`` rounds of pivots (as many as it takes if None), and the crowds left open.
 
-    crowd: rows (row, key). A round takes up to PIVOTS rows of each crowd from outside its largest group and compares
+    crowd: rows (row, key). A round takes some PIVOTS rows of each crowd from outside its largest group and compares
     them with all rows of other groups in it; they have met everybody then and leave. A crowd of one group is done.
     """
-    while not crowd.isEmpty() and (rounds is None or rounds > 0):
-        rounds = None if rounds is None else rounds - 1
+    done = 0
+    while not crowd.isEmpty() and done != rounds:
+        done += 1
         labels = components(edges)
         at = crowd.join(labels.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
         at = cut(at, "crowd-labels")
         sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        top = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key", F.col("top.label").alias("largest"))
-        crowd = cut(at.join(top, "key"), "crowd-open")
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"), "row"))  # each task keeps its first ones before the shuffle
-        pivots = cut(crowd.where("label <> largest").withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("row").alias("a"), F.col("label").alias("la")), "pivots")
+        top = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
+        crowd = cut(at.join(top.select("key", F.col("top.label").alias("largest"), (F.col("all") - F.col("top.n")).alias("others")), "key"), "crowd-open")
+        drawn = F.pmod(F.xxhash64("row", F.lit(done)), F.col("others")) < PIVOTS  # all where the others are that few
+        pivots = cut(crowd.where("label <> largest").where(drawn).select("key", F.col("row").alias("a"), F.col("label").alias("la")), "pivots")
         met = crowd.join(pivots, "key").where("label <> la").select(F.least("row", "a").alias("a"), F.greatest("row", "a").alias("b"))
         edges = cut(edges.union(_verified(met, grams, similarity)).distinct(), "similar")
         crowd = cut(crowd.select("row", "key").join(pivots.select(F.col("a").alias("row"), "key"), ["row", "key"], "left_anti"), "crowds")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assay.llm import simhash
+from assay.llm import shared, simhash
 from assay.llm.covertree import Tree, _grow, near_vectors, traverse
 from assay.llm.shared import components
 from assay.llm.simhash import CROWD, drop_near_copies, fingerprint_table, fingerprints, links, near_groups, similar_groups
@@ -137,7 +137,9 @@ def test_similar_groups_equal_all_pairs(spark, monkeypatch, crowd, pivots):
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("one_task", [0, 20, 20_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, one_task):
+    monkeypatch.setattr(shared, "ONE_TASK", one_task)
     pairs = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)] + [(7, 3), (3, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame([*pairs, (None, 1)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1100)} | {5000: 5000}
