@@ -23,7 +23,7 @@ from assay.llm.shared import cut, shared_dir
 #: Bits of the bitmap, at least and at most.
 BITMAP_BITS = 1 << 20, 1 << 28
 #: A table is read in about so many micro-batches, none below the least size in bytes.
-BATCHES, LEAST_BATCH = 8, 64 << 20
+BATCHES, LEAST_BATCH = 4, 64 << 20
 PER_BITMAP = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
@@ -59,7 +59,8 @@ def _stream_state(spark: SparkSession, path: str, id_col: str, text_col: str, di
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition reserves megabytes of disk
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+        "spark.sql.streaming.stateStore.maintenanceInterval": "5s",  # stores of a query that has ended are closed so soon
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
     }.items():
@@ -91,7 +92,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     with the largest id stays; among rows with equal ids the one with the largest locator, so exactly one row stays
     per text. Null texts count as empty; a null id is smaller than any other; an empty table gives no rows; other
     columns, whatever their names, aren't read. ``digest`` may be any column function: equal bytes are what decides.
-    By default the stream takes an eighth of the table at a time, so that later batches find the state of earlier ones.
+    By default the stream takes a quarter of the table at a time, so that later batches find the state of earlier ones.
     """
     groups = _stream_state(spark, path, id_col, text_col, digest, max_bytes_per_trigger, max_files_per_trigger)
     multi = cut(groups.where("n > 1").select("digest", "keep", "n"), "dedup-multi")

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words sampled, and characters of new words learned, at a time.
 WORDS, FRESH = 50_000, 100_000
-CACHE_NODES = 1_500_000
+CACHE_NODES = 1_000_000
 SLOT_BITS = 18
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -326,7 +326,7 @@ def encode_pieces(docs: DataFrame, model_path: str = MODEL, alpha: float = 1.0,
         raw, last, copy = sampler.vocabulary.raw, None, 0
         for batch in batches:
             places = pa.array(range(batch.num_rows), pa.int32())
-            for part in text_batches(pa.RecordBatch.from_arrays([places, batch.column(text_at)], ["place", "text"]), chars=1 << 19):
+            for part in text_batches(pa.RecordBatch.from_arrays([places, batch.column(text_at)], ["place", "text"]), chars=1 << 18):
                 rows, texts = batch.take(part.column(0)), part.column(1).to_pylist()
                 keys = [-1 if k is None else k if isinstance(k, int) else xxhash.xxh64_intdigest(str(k)) - (1 << 63) for k in rows.column(key_at).to_pylist()]
                 copies: list[int] | None = [] if number_copies else None
