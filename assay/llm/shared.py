@@ -136,6 +136,7 @@ def pieces(text: str, size: int = 1 << 20, only: str = ""):
 
 def text_batches(batch, rows: int = 256, chars: int = 4 << 20):
     """Slices of an Arrow batch whose column 1 is text: at most ``rows`` rows and, but for single rows, ``chars`` bytes."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
@@ -147,6 +148,7 @@ def text_batches(batch, rows: int = 256, chars: int = 4 << 20):
         total += n
     if start < len(lengths):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on beside those of the stages that follow
 
 
 def send(spark: SparkSession, value):

@@ -168,6 +168,7 @@ def _by_text(rows: DataFrame, of, kind: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 values = [of(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.int64()))], ["row", kind])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, f"row long, {kind} array<long>")
 

@@ -33,7 +33,7 @@ SAMPLE_ROWS = 20_000
 ORDER, DISCOUNT = 6, 0.75
 START, END = "\x02", "\x03"
 _WORDS = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
+CACHE = 100_000
 #: Sequences summed at a time on an executor.
 PART = 200_000
 
