@@ -181,7 +181,8 @@ def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     grams: row, n, sig and grams. Sizes and signatures of 64 bytes, which travel first, rule out pairs that are far from
-    similar (a pair at 0.8 agrees in fewer than 28 of 64 bytes once in ten billion cases); the rest is decided exactly.
+    similar (a pair at 0.8 agrees in fewer than 28 of 64 bytes once in ten billion cases); the rest is decided exactly, and
+    only shingles of documents in a pair that is left are shuffled.
     """
     near = pairs.distinct()
     for c in ("a", "b"):
@@ -190,7 +191,7 @@ def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     same = lambda x, y: sum((F.shiftrightunsigned(x.bitwiseXOR(y), 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
     agree = F.aggregate(F.zip_with("sa", "sb", same), F.lit(0), lambda s, x: s + x)
     near = cut(near.where(agree >= int(64 * similarity * AGREE)).select("a", "b"), "near-pairs")
-    sides = [grams.select(F.col("row").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b")]
+    sides = [perhaps_in(grams, "row", near.select(F.col(c).alias("row")).distinct()).select(F.col("row").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b")]
     both = near.join(sides[0], "a").join(sides[1], "b")
     na, nb = F.size("ga"), F.size("gb")
     common = F.size(F.array_intersect("ga", "gb"))
