@@ -21,6 +21,7 @@ are equal, and every pair of documents found, by grid or window, is verified exa
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm.shared import components, cut, perhaps_in, table
+from assay.llm.shared import components, cut, perhaps_in, send, table
 
 SEGMENTS, WIDTH = 16, 4
 CROWD = 64
@@ -123,8 +124,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Windows of a document and shingles on either side of a window's middle; documents of a bucket that are paired off.
 SEEDS, REACH, CROWD_DOCS = 8, 4, 24
-#: Pivots of a crowd in a round, about.
-PIVOTS = 32
+#: Pivots of a crowd, about: most families of near copies hang together after them.
+PIVOTS = 4
+#: Documents on either side that one task compares of a crowd that doesn't.
+BLOCK = 4096
+#: Documents whose shingles are counted to order all others', and the shingles that are sent as common ones.
+COUNTED, COMMON = 10_000, 200_000
 _SPREAD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(64)], np.uint64)
 
 
@@ -205,11 +210,12 @@ def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     have a Jaccard similarity of at least ``similarity``; texts without words are alike. Every pair reported is exact;
     pairs are found with the probability above, by fingerprints within two bits or windows they share.
 
-    Documents of a bucket of up to ``CROWD_DOCS`` are paired off. A larger one is settled by pivots: documents are
-    compared with all others of the bucket that don't hang together with them yet, so a family of near copies is done
-    after a round or two. What is still apart then (texts that share a passage and little else) is dealt anew by prefixes:
-    with a bucket's shingles ordered from the rarest in it to the commonest, two similar texts share one of the first
-    n - ceil(similarity n) + 1 of either. Pairs and pivots settle these smaller groups; none is left out.
+    Documents of a bucket of up to ``CROWD_DOCS`` are paired off. In a larger one all are compared with a few pivots, after
+    which a family of near copies hangs together. Documents of buckets that are still apart then (texts that share a
+    passage and little else) are dealt anew by prefixes: with all shingles in one order, common ones last, two similar
+    texts share one of the first n - ceil(similarity n) + 1 of either. The order is that of a bounded sample's counts; it
+    decides how many meet and never which pairs are found. Pairs settle these buckets, and in crowds the documents outside
+    the largest group are compared with all others, in blocks; documents that hang together aren't, and none is left out.
     """
     texts = rows.select("row", F.col("text").cast("binary").alias("text"))
     prints = cut(_by_text(texts, lambda t: _prints(_grams(t, shingle, seed)), "fps"), "prints")
@@ -218,57 +224,130 @@ def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     of_whole = whole.join(near.select(F.col("node").alias("fp"), "label"), "fp", "left").select("row", F.xxhash64(F.lit("whole"), F.coalesce("label", "fp")).alias("key"))
     windows = F.array_distinct(F.slice("fps", 2, SEEDS))
     of_window = prints.select("row", F.explode(windows).alias("fp")).select("row", F.xxhash64(F.lit("window"), "fp").alias("key"))
-    pairs, crowd, met = _dealt(of_whole.union(of_window))
+    shared = _shared(of_whole.union(of_window).withColumn("label", F.col("row")))
+
     def signed(text: bytes | None) -> np.ndarray:
         found = np.unique(_grams(text, shingle, seed))
         return np.concatenate([_signature(found), found.view(np.int64)])
 
-    grams = _by_text(perhaps_in(texts, "row", met), signed, "values")
+    grams = _by_text(perhaps_in(texts, "row", shared.select("row").distinct()), signed, "values")
     grams = cut(grams.select("row", (F.size("values") - 8).alias("n"), F.slice("values", 1, 8).alias("sig"), F.slice("values", F.lit(9), F.size("values")).alias("grams")), "grams")
-    edges, crowd = _settled(crowd, cut(_verified(pairs, grams, similarity), "similar"), grams, similarity, 2)
-    if not crowd.isEmpty():
-        parts = cut(crowd.join(grams, "row").select("row", "key", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "crowd-grams")
-        common = parts.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # what one text has alone comes first and meets nobody
-        alone = F.col("size") - F.size("found")
-        found = parts.join(common, ["key", "gram"]).groupBy("row", "key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("found"))
-        most = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1 - alone
-        prefix = found.where(most > 0).select("row", "key", F.explode(F.slice("found", F.lit(1), most.cast("int"))).alias("g"))
-        pairs, crowd, _ = _dealt(prefix.select("row", F.xxhash64("key", "g.gram").alias("key")))
-        edges = cut(edges.union(_verified(pairs, grams, similarity)).distinct(), "similar")
-        edges, _ = _settled(crowd, edges, grams, similarity, None)
+    crowd = shared.where(F.col("n") > CROWD_DOCS)
+    pivots = crowd.where(_share("row") * F.col("n") < PIVOTS).select("key", F.col("row").alias("p"))
+    met = crowd.join(pivots, "key").where("row <> p").select(F.least("row", "p").alias("a"), F.greatest("row", "p").alias("b"))
+    edges = cut(_verified(_pairs(shared).union(met), grams, similarity), "similar")
+    labels = components(edges)
+    if crowd.isEmpty():
+        return labels.select(F.col("node").alias("row"), "label")
+    labels = cut(labels.select(F.col("node").alias("row"), "label"), "similar-labels")
+    apart = cut(_apart(crowd.select("row", "key"), labels).select("row", "label").distinct(), "apart")
+    n = apart.count()
+    if not n:
+        return labels
+    sets = perhaps_in(grams, "row", apart.select("row")).select("row", "grams")
+    prefixes = _prefixes(sets, _common(sets.where(_share("row") * n < COUNTED)), similarity)
+    shared = _shared(prefixes.join(apart, "row").select("row", "label", F.explode("prefix").alias("key")))
+    found = _verified(_pairs(shared), grams, similarity)
+    crowd = _apart(shared.where(F.col("n") > CROWD_DOCS).select("row", "key"), labels)
+    edges = edges.union(found).union(_outside(crowd, sets, similarity))
     return components(edges).select(F.col("node").alias("row"), "label")
 
 
-def _dealt(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows (row, key): the pairs (a, b) of keys of few rows, the rows of keys of many, and all rows that share a key."""
+def _share(column: str):
+    """A number in [0, 1) by hash, the same wherever the value occurs."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit("share")), 11) / F.lit(float(1 << 53))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows (row, label, key, n) of the keys, of rows (row, label, key), that n rows of more than one label share."""
     keys = cut(keys, "keys")
-    keyed = cut(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "shared-keys")
-    few = keyed.where(F.col("n") <= CROWD_DOCS)
-    pairs = few.select("key", F.col("row").alias("a")).join(few.select("key", F.col("row").alias("b")), "key").where("a < b").select("a", "b")
-    return pairs, keyed.where(F.col("n") > CROWD_DOCS).select("row", "key"), keyed.select("row").distinct()
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "n")
+    return cut(keys.join(several, "key"), "shared-keys")
+
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two labels in keys of few rows."""
+    few = shared.where(F.col("n") <= CROWD_DOCS)
+    one, other = (few.select("key", F.col("row").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    return one.join(other, "key").where("a < b and la <> lb").select("a", "b")
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of ``sets``, ascending, and the number of sets that hold each."""
+    counts = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    gram, n = (found.column(c).to_numpy() for c in ("gram", "n"))
+    order = np.argsort(gram)
+    return gram[order], n[order]
+
+
+def _prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """Rows (row, prefix): the first shingles of each set by count and hash; two sets as similar as asked share one."""
+    sent = send(sets.sparkSession, common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = pickle.loads(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), []
+                for value in part.column(1):
+                    grams = value.values.to_numpy()
+                    n = np.zeros(len(grams), np.int64)
+                    if len(known):
+                        spot = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                        n = np.where(known[spot] == grams, counts[spot], 0)
+                    most = len(grams) - int(np.ceil(len(grams) * similarity - 1e-9)) + 1
+                    found.append(grams[np.lexsort((grams, n))[:most]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "prefix"])
+
+    return sets.mapInArrow(run, "row long, prefix array<long>")
+
+
+def _apart(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (row, key, label, largest, all, others) of the crowds, of rows (row, key), that aren't one group by labels (row, label)."""
+    at = cut(crowd.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "crowd-labels")
+    sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
+    return cut(at.join(top.select("key", F.col("top.label").alias("largest"), "all", (F.col("all") - F.col("top.n")).alias("others")), "key"), "crowd-open")
 
 
-def _settled(crowd: DataFrame, edges: DataFrame, grams: DataFrame, similarity: float, rounds: int | None) -> tuple[DataFrame, DataFrame]:
-    """Edges with those found by ``rounds`` rounds of pivots (as many as it takes if None), and the crowds left open.
+def _outside(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between the documents of each crowd that are outside its largest group and similar ones of other groups.
 
-    crowd: rows (row, key). A round takes some PIVOTS rows of each crowd from outside its largest group and compares
-    them with all rows of other groups in it; they have met everybody then and leave. A crowd of one group is done.
+    crowd: as ``_apart`` has it. Of a document's similar ones in a block each group gives one. A crowd of n documents is
+    dealt over n / BLOCK tasks, times as many as those outside need; a task holds at most some 2 BLOCK documents.
     """
-    done = 0
-    while not crowd.isEmpty() and done != rounds:
-        done += 1
-        labels = components(edges)
-        at = crowd.join(labels.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        at = cut(at, "crowd-labels")
-        sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        top = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
-        crowd = cut(at.join(top.select("key", F.col("top.label").alias("largest"), (F.col("all") - F.col("top.n")).alias("others")), "key"), "crowd-open")
-        drawn = F.pmod(F.xxhash64("row", F.lit(done)), F.col("others")) < PIVOTS  # all where the others are that few
-        pivots = cut(crowd.where("label <> largest").where(drawn).select("key", F.col("row").alias("a"), F.col("label").alias("la")), "pivots")
-        met = crowd.join(pivots, "key").where("label <> la").select(F.least("row", "a").alias("a"), F.greatest("row", "a").alias("b"))
-        edges = cut(edges.union(_verified(met, grams, similarity)).distinct(), "similar")
-        crowd = cut(crowd.select("row", "key").join(pivots.select(F.col("a").alias("row"), "key"), ["row", "key"], "left_anti"), "crowds")
-    return edges, crowd
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    here = lambda n: F.pmod(F.xxhash64("row", F.lit(n)), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    home = crowd.select("row", "key", "label", F.lit(False).alias("guest"), here("all").alias("i"), every("others").alias("j"))
+    guests = crowd.where("label <> largest").select("row", "key", "label", F.lit(True).alias("guest"), every("all").alias("i"), here("others").alias("j"))
+    least = similarity - 1e-12
+
+    def run(met: pa.Table) -> pa.Table:
+        guest = met.column("guest").to_numpy()
+        row, label = met.column("row").to_numpy(), met.column("label").to_numpy()
+        grams = met.column("grams").combine_chunks()
+        starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+        words, ids = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        at = np.flatnonzero(~guest)
+        a, b = [], []
+        if len(at):
+            sizes = starts[at + 1] - starts[at]
+            own = np.concatenate([ids[starts[k] : starts[k + 1]] for k in at])
+            ends = np.cumsum(sizes) - sizes
+            for k in np.flatnonzero(guest):
+                mine = np.zeros(len(words), np.int32)
+                mine[ids[starts[k] : starts[k + 1]]] = 1
+                common = np.add.reduceat(mine[own], ends)
+                hits = at[(common >= (sizes + (starts[k + 1] - starts[k]) - common) * least) & (label[at] != label[k])]
+                one = hits[np.unique(label[hits], return_index=True)[1]]
+                a += [row[k]] * len(one)
+                b += row[one].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = home.union(guests).join(sets, "row").select("key", "i", "j", "row", "label", "guest", "grams")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:

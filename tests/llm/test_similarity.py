@@ -137,6 +137,24 @@ def test_similar_groups_equal_all_pairs(spark, monkeypatch, crowd, pivots):
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_crowds_compare_few_pairs(spark, monkeypatch, block):
+    """A passage in many texts, some of them similar, and a family with texts too far from most of it: few pairs, every link."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    met, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *more: met.append(pairs.distinct().count()) or verified(pairs, *more))
+    rng = np.random.default_rng(9)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    passage, base = say(60), say(150)
+    lists = [[*say(40), *passage, *say(40)] for _ in range(150)]
+    lists += [edited(rng, lists[i], 2) for i in range(0, 150, 10)]
+    lists += [edited(rng, base, int(e)) for e in rng.integers(0, 7, 120)]
+    texts = [" ".join(words) for words in lists]
+    got = {r["row"]: r["label"] for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == labels_of(len(texts), alike(texts))
+    assert sum(met) <= 16 * len(texts)
+
+
 @pytest.mark.parametrize("one_task", [0, 20, 20_000])
 def test_components_of_chains_stars_and_loops(spark, monkeypatch, one_task):
     monkeypatch.setattr(shared, "ONE_TASK", one_task)
