@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage, against what each stage should keep."""
 
+import os
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -39,6 +41,28 @@ def test_stages(spark, sf_dir):
     assert mixed.columns == docs.columns and set(ids(mixed)) <= set(ids(near))
 
 
+def test_training_memory_is_given_back(spark, sf_dir, monkeypatch):
+    from assay.llm import shared, toxicity
+
+    if not os.path.exists("/proc/self/statm"):
+        pytest.skip("needs Linux's figures")
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    train = toxicity.train_toxicity
+
+    def wasteful(*args):
+        blocks = [bytearray(b"x" * 50_000) for _ in range(4_000)]  # 200 MB below the size that the heap maps apart
+        keep.append(bytearray(50_000))
+        del blocks
+        return train(*args)
+
+    keep = []
+    monkeypatch.setattr(corpus_pipeline, "train_toxicity", wasteful)
+    shared.give_back()
+    before = held()
+    corpus_pipeline.remove_toxic(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert held() - before < 100
+
+
 def test_run(spark, sf_dir):
     pieces = pytest.importorskip("assay.llm.pieces")
     import os
