@@ -7,11 +7,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import above, band, constant, count_where, deviation, ident, kurtosis, missing, mode, pearson, quantiles, ratio, real, skewness, variance
+from assay.functions.exprs import above, band, constant, count_where, deviation, ident, kurtosis, missing, mode, pearson, quantiles, ratio, real, sketching, skewness, variance
 from assay.functions.special import chi2_tail, k2_test, kolmogorov_tail, shapiro_wilk
 from assay.plans.kinds import kinds, of_kind, type_family
 from assay.plans.ranks import running
-from assay.plans.statplan import cardinalities, frequencies, joint_counts, per_column, unpivot, with_totals
+from assay.plans.select import quantile_values
+from assay.plans.statplan import cardinalities, frequencies, joint_counts, modes, of_column, per_column, per_number, unpivot, with_totals
 
 
 def _plain(df: DataFrame) -> list[str]:
@@ -74,15 +75,12 @@ def column_meta(df: DataFrame, target: str | None = None, found: dict[str, str]
     )
 
 
-def fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float, float, float, float]]:
-    """Per column with values: q1, q3, lower fence, upper fence, mean, population deviation."""
-    rows = per_column(df, columns, lambda c: {"q": quantiles(real(c), 0.25, 0.75), "m": F.avg(real(c)), "s": F.when(~constant(real(c)), F.stddev_pop(real(c)))}).collect()
-    out = {}
-    for r in rows:
-        if r["q"] is not None:
-            a, b = r["q"]
-            out[r["column"]] = (a, b, a - 1.5 * (b - a), b + 1.5 * (b - a), r["m"], r["s"])
-    return out
+def fences(df: DataFrame, columns: list[str], moments: bool = True) -> dict[str, tuple[float, float, float, float, float | None, float | None]]:
+    """Per column with values: q1, q3, lower fence, upper fence, and with ``moments`` mean and population deviation (else None)."""
+    found = quantile_values(df, columns, 0.25, 0.75)
+    x, own = F.col("x"), [c for c in columns if found[c] is not None]
+    more = {r["column"]: (r["m"], r["s"]) for r in per_number(df, own, {"m": F.avg(x), "s": F.when(~constant(x), F.stddev_pop(x))}).collect()} if moments and own else {}
+    return {c: (a, b, a - 1.5 * (b - a), b + 1.5 * (b - a), *more.get(c, (None, None))) for c, (a, b) in ((c, found[c]) for c in own)}
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,34 +90,44 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     f = fences(df, columns)
     cs = [c for c in columns if c in f]
-
-    def atoms(c: str) -> dict[str, Column]:
-        x, (q1, q3, lo, hi, m, s) = real(c), f[c]
-        q = quantiles(x, 0.05, 0.95)
-        return {
-            "count": F.count(x), "q1": F.lit(q1), "q3": F.lit(q3), "lower": F.lit(lo), "upper": F.lit(hi), "iqr_outliers": count_where((x < lo) | (x > hi)),
-            "z_outliers": count_where(F.abs(x - m) / s > 3) if s else F.lit(0).cast("long"), "p5": q[0], "p95": q[1], "min": F.min(x), "max": F.max(x),
-        }
-
     if not cs:
         return df.sparkSession.createDataFrame([], "column string, count long, q1 double, q3 double, lower double, upper double, iqr_outliers long, z_outliers long, p5 double, p95 double, min double, max double, iqr_pct double")
-    got = per_column(df, cs, atoms).where("count >= 4 and (iqr_outliers > 0 or z_outliers > 0)")
+    ends = quantile_values(df, cs, 0.05, 0.95)
+    own = {k: {c: f[c][i] for c in cs} for i, k in enumerate(("q1", "q3", "lower", "upper", "m", "s"))} | {k: {c: ends[c][i] for c in cs} for i, k in enumerate(("p5", "p95"))}
+    own["s"] = {c: v or None for c, v in own["s"].items()}
+    x, same = F.col("x"), lambda k: F.max(k).cast("double").alias(k)
+    got = per_number(df, cs, {
+        "count": F.count(x), "q1": same("q1"), "q3": same("q3"), "lower": same("lower"), "upper": same("upper"), "iqr_outliers": count_where((x < F.col("lower")) | (x > F.col("upper"))),
+        "z_outliers": count_where(F.abs(x - F.col("m").cast("double")) / F.col("s").cast("double") > 3), "p5": same("p5"), "p95": same("p95"), "min": F.min(x), "max": F.max(x),
+    }, own).where("count >= 4 and (iqr_outliers > 0 or z_outliers > 0)")
     return got.withColumn("iqr_pct", ratio(F.col("iqr_outliers") * 100.0, F.col("count")))
 
 
 def univariate_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Moments, quantiles, mode, zeros, negatives and coefficient of variation of each numeric column."""
 
-    def atoms(c: str) -> dict[str, Column]:
-        x = real(c)
-        q = quantiles(x, 0.05, 0.25, 0.5, 0.75, 0.95)
+    def moments(x: Column) -> dict[str, Column]:
         return {
-            "count": F.count(x), "missing": missing(x), "mean": F.avg(x), "median": q[2], "mode": mode(x), "std": deviation(x), "variance": variance(x), "min": F.min(x), "max": F.max(x),
-            "q1": q[1], "q3": q[3], "p5": q[0], "p95": q[4], "skewness": skewness(x), "kurtosis": kurtosis(x), "zeros": count_where(x == 0), "negatives": count_where(x < 0),
+            "count": F.count(x), "missing": missing(x), "mean": F.avg(x), "std": deviation(x), "variance": variance(x), "min": F.min(x), "max": F.max(x),
+            "skewness": skewness(x), "kurtosis": kurtosis(x), "zeros": count_where(x == 0), "negatives": count_where(x < 0),
         }
 
+    points = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+    if sketching(df):
+
+        def atoms(c: str) -> dict[str, Column]:
+            q = quantiles(real(c), *points.values())
+            return moments(real(c)) | {k: q[i] for i, k in enumerate(points)} | {"mode": mode(real(c))}
+
+        got = per_column(df, columns, atoms)
+    else:
+        at, top = quantile_values(df, columns, *points.values()), modes(df, columns)
+        fixed = {k: {c: at[c] and at[c][i] for c in columns} for i, k in enumerate(points)} | {"mode": {c: top.get(c) for c in columns}}
+        got = per_number(df, columns, moments(F.col("x")), zero=("count", "missing", "zeros", "negatives"))
+        got = got.select("*", *[of_column(v).alias(k) for k, v in fixed.items()])
+    order = ["column", "count", "missing", "mean", "median", "mode", "std", "variance", "min", "max", "q1", "q3", "p5", "p95", "skewness", "kurtosis", "zeros", "negatives"]
     return (
-        per_column(df, columns, atoms)
+        got.select(*order)
         .withColumn("range", F.col("max") - F.col("min"))
         .withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("cv", ratio(F.col("std") * 100, F.col("mean")))
@@ -196,7 +204,8 @@ def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def skew_kurt(df: DataFrame, columns: list[str]) -> DataFrame:
     """Shape of each column with at least three values, and whether it wants a transform (|skewness| above 1)."""
-    got = per_column(df, columns, lambda c: {"count": F.count(real(c)), "skewness": skewness(real(c)), "kurtosis": kurtosis(real(c))}).where("count >= 3")
+    x = F.col("x")
+    got = per_number(df, columns, {"count": F.count(x), "skewness": skewness(x), "kurtosis": kurtosis(x)}, zero=("count",)).where("count >= 3")
     s, k = F.col("skewness"), F.coalesce(F.col("kurtosis"), F.lit(0.0))
     return got.select(
         "column", "skewness", "kurtosis", F.when(s > 0, "right").when(s < 0, "left").otherwise("symmetric").alias("direction"),

@@ -12,8 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assay.functions.exprs import ident, sketching, top_count
+from assay.functions.exprs import ident, real, sketching, top_count
 
 CHUNK = 200
 
@@ -31,6 +32,26 @@ def per_column(df: DataFrame, columns: list[str], atoms: Callable[[str], dict[st
     return reduce(DataFrame.unionByName, parts)
 
 
+def per_number(df: DataFrame, columns: list[str], atoms: dict[str, Column], constants: dict[str, dict[str, object]] | None = None, beside: Column | None = None, zero: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (column, atom...) of numeric columns from one aggregate over cells: ``atoms`` are of the double ``x``, of ``y`` (``beside``), and of ``constants`` (name to value per column).
+
+    The code of ``per_column`` grows with the columns until Java no longer compiles it; this one's doesn't. Atoms in ``zero`` are 0 for an empty table.
+    """
+    constants = constants or {}
+    cells = F.array(*[F.struct(F.lit(i).alias("__i"), real(c).alias("x"), *[F.lit(v[c]).alias(k) for k, v in constants.items()]) for i, c in enumerate(columns)])
+    rows = df.select(F.inline(cells)) if beside is None else df.select(beside.alias("y"), F.inline(cells))
+    got = rows.groupBy("__i").agg(*[e.alias(n) for n, e in atoms.items()])
+    names = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(c).alias("column")) for i, c in enumerate(columns)])))
+    out = names.join(F.broadcast(got), "__i", "left")  # a row per column
+    return out.select("column", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) if n in zero else n for n in atoms])
+
+
+def of_column(values: dict[str, float | None]) -> Column:
+    """The value that belongs to the row's ``column``."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(v).cast("double").alias("v")) for c, v in values.items()])
+    return F.filter(pairs, lambda p: p["c"] == F.col("column"))[0]["v"]
+
+
 def unpivot(df: DataFrame, columns: list[str], cast: str = "string", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (keep..., column, value)."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), ident(c).cast(cast).alias("value")) for c in columns])
@@ -75,11 +96,29 @@ def cardinalities(df: DataFrame, columns: list[str]) -> DataFrame:
             parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct(x, 0.01).alias("n_unique"), top_count(x).alias("top_n")))
         width = max(1, CHUNK // 4)
         return fold(DataFrame.unionByName, [df.agg(F.array(*parts[i : i + width]).alias("s")).select(F.inline("s")) for i in range(0, len(parts), width)])
-    f = frequencies(df, columns)
     some = F.col("value").isNotNull()
-    return f.groupBy("column").agg(
+    return typed_frequencies(df, columns, lambda f: f.groupBy("column").agg(
         F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).cast("long").alias("count"),
         F.sum("n").cast("long").alias("n_rows"),
         F.count(F.when(some, 1)).cast("long").alias("n_unique"),
         F.coalesce(F.max(F.when(some, F.col("n"))), F.lit(0)).cast("long").alias("top_n"),
-    )
+    ))
+
+
+def typed_frequencies(df: DataFrame, columns: list[str], use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``use`` makes of (column, value, n), once for the columns of each type: numbers, dates and strings are counted as what they are, not as text."""
+    plain = {f.name: f.dataType for f in df.schema}
+    wide = {c: "bigint" if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "double" if isinstance(t, (T.FloatType, T.DoubleType)) else t.simpleString() if isinstance(t, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)) else "string" for c, t in plain.items()}
+    parts = []
+    for kind in dict.fromkeys(wide[c] for c in columns):
+        own = [c for c in columns if wide[c] == kind]
+        cells = F.array(*[F.struct(F.lit(i).alias("__i"), ident(c).cast(kind).alias("value")) for i, c in enumerate(own)])
+        f = df.select(F.inline(cells)).groupBy("__i", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(use(f.select(F.array(*map(F.lit, own))[F.col("__i")].alias("column"), "value", "n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def modes(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The most frequent value of each numeric column as a double, of equally frequent ones the least."""
+    top = F.min_by(F.col("value").cast("double"), F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value"))))
+    return {r["column"]: r["v"] for r in typed_frequencies(df, columns, lambda f: f.groupBy("column").agg(top.alias("v"))).collect()}
