@@ -7,11 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import above, band, count_where, ident, kurtosis, missing, pearson, ratio, real, skewness
+from assay.functions.exprs import above, band, count_where, kurtosis, pearson, ratio, real, skewness
 from assay.operators.leakage import tokens
 from assay.operators.profile import fences, numeric_columns
 from assay.plans.kinds import kinds, type_family
-from assay.plans.statplan import cardinalities, per_column
+from assay.plans.statplan import cardinalities, per_number
 
 #: Weights of the dimensions, grades, points. The weights sum to 9.
 WEIGHTS = {"completeness": 2.5, "leakage_risk": 2.0, "outlier_severity": 1.5, "distribution": 1.0, "cardinality": 1.0, "type_fitness": 0.8, "consistency": 0.2}
@@ -43,30 +43,33 @@ def name_risk(column: str, target: str | None) -> float:
 def column_scores(df: DataFrame, target: str | None = None, found: dict[str, str] | None = None) -> DataFrame:
     """One row per column that isn't nested: kind, the seven dimensions, total, grade, missing share, distinct values.
 
-    Three reads of the table: the frequency table, which also tells text from categories, the fences, and one
-    aggregate for everything else. A column of nulls only has no values to be inconsistent or skewed; an empty table
-    scores its columns as complete.
+    The frequencies of every type's columns, which also tell text from categories, the fences, and one aggregate over the
+    numbers' cells. A column of nulls only has no values to be inconsistent or skewed; an empty table scores its columns
+    as complete.
     """
     names = [f.name for f in df.schema if type_family(f.dataType) != "nested"]
-    counted = {r["column"]: (r["count"], r["n_unique"], r["top_n"]) for r in cardinalities(df, names).collect()}  # a row per column
+    counted = {r["column"]: (r["count"], r["n_unique"], r["top_n"], r["n_rows"]) for r in cardinalities(df, names).collect()}  # a row per column
     found = found or kinds(df, counted)
-    numbers = set(numeric_columns(df))
-    limits = fences(df, sorted(numbers)) if numbers else {}
-
-    def atoms(c: str) -> dict[str, Column]:
-        null = F.lit(None).cast("double")
-        number = c in numbers
-        lo, hi = limits[c][2:4] if c in limits else (0.0, 0.0)
-        wide = number and c in limits and limits[c][1] > limits[c][0]
-        x = real(c) if number else null
-        r = pearson(x, real(target)) if number and target in numbers and c != target else null
-        return {
-            "kind": F.lit(found[c]), "missing": missing(ident(c)), "rows": F.count(F.lit(1)), "skew": skewness(x) if number else null, "kurt": kurtosis(x) if number else null,
-            "r": F.abs(r), "out": count_where((x < lo) | (x > hi)) if wide else F.lit(-1).cast("long"), "risk": F.lit(name_risk(c, target)), "is_target": F.lit(c == target),
-            **{k: F.lit(v).cast("long") for k, v in zip(("count", "n_unique", "top_n"), counted.get(c, (0, 0, 0)), strict=True)},
-        }
-
-    s = per_column(df, names, atoms)
+    numbers = sorted(numeric_columns(df))
+    limits = fences(df, numbers, moments=False) if numbers else {}
+    shapes = {}
+    if numbers:
+        x, y = F.col("x"), real(target) if target in numbers else None
+        lo, hi = ({c: limits[c][i] if c in limits else 0.0 for c in numbers} for i in (2, 3))
+        atoms = {"skew": skewness(x), "kurt": kurtosis(x), "r": F.abs(pearson(x, F.col("y"))) if y is not None else F.lit(None).cast("double"), "out": count_where((x < F.col("lo")) | (x > F.col("hi")))}
+        shapes = {r["column"]: r for r in per_number(df, numbers, atoms, {"lo": lo, "hi": hi}, y, ("out",)).collect()}
+
+    def row(c: str) -> Column:
+        count, unique, top, rows = counted.get(c, (0, 0, 0, 0))
+        got, wide = shapes.get(c), c in limits and limits[c][1] > limits[c][0]
+        number = lambda k, kind: F.lit(k).cast(kind)
+        return F.struct(
+            F.lit(c).alias("column"), F.lit(found[c]).alias("kind"), number(rows - count, "long").alias("missing"), number(rows, "long").alias("rows"), *[number(got and got[k], "double").alias(k) for k in ("skew", "kurt")],
+            number(got["r"] if got and c != target else None, "double").alias("r"), number(got["out"] if got and wide else -1, "long").alias("out"), F.lit(name_risk(c, target)).alias("risk"), F.lit(c == target).alias("is_target"),
+            *[number(v, "long").alias(k) for k, v in (("count", count), ("n_unique", unique), ("top_n", top))],
+        )
+
+    s = df.sparkSession.range(1).select(F.inline(F.array(*map(row, names))))
     kind, n = F.col("kind"), F.col("count")
     gone = F.coalesce(ratio(F.col("missing") * 100.0, F.col("rows")), F.lit(0.0))
     numeric = kind == "numeric"

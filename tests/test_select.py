@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.operators import profile
+from assay.operators import profile, readiness
 from assay.plans import select, statplan
 
 
@@ -65,3 +65,11 @@ def test_univariate_statistics_hold_no_column(spark, monkeypatch):
     got = {r["column"]: r for r in profile.univariate_numeric(df.select("even", "few", F.lit(None).cast("double").alias("none")), ["even", "few", "none"]).collect()}
     assert got["even"]["median"] == 1_499.5 and got["even"]["mode"] == 0.0 and got["few"]["mode"] == float(np.bincount(data["few"].astype(int)).argmax()) and got["none"]["median"] is None and got["none"]["missing"] == 3_000
     assert profile.iqr_outliers(df, ["heavy"]).first()["q1"] == pytest.approx(np.quantile(data["heavy"], 0.25))
+
+
+def test_readiness_holds_no_column(spark, monkeypatch):
+    _, df = columns(spark)
+    unfit(monkeypatch)
+    monkeypatch.setattr(statplan, "per_column", unfit)
+    got = {r["column"]: r for r in readiness.column_scores(df, "even").collect()}
+    assert got["heavy"]["outlier_pct"] > 10 and got["one"]["outlier_pct"] is None and got["even"]["outlier_severity"] == 100.0 and got["even"]["n_unique"] == 3_000
