@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.exprs import ident, missing, real, skewness
+from assay.functions.exprs import count_where, ident, missing, skewness
 from assay.operators.profile import duplicates, fences
 from assay.plans.kinds import kinds, of_kind
-from assay.plans.statplan import cardinalities, per_column
+from assay.plans.statplan import cardinalities, per_column, per_number
 
 #: What each recommendation offers, its category and severity.
 OFFERS = {
@@ -40,14 +40,10 @@ def recommendations(df: DataFrame, target: str | None = None) -> DataFrame:
     }
     features = [c for c in numbers if c != target]
     if features:
-        f = fences(df, features)
-
-        def atoms(c: str):
-            x = real(c)
-            lo, hi = f[c][2:4] if c in f else (0.0, 0.0)
-            return {"n": F.count(x), "o": F.sum(((x < lo) | (x > hi)).cast("long")), "s": skewness(x), "least": F.min(x)}
-
-        stats = {r["column"]: r for r in per_column(df, features, atoms).collect()}
+        f, x = fences(df, features, moments=False), F.col("x")
+        lo, hi = ({c: f[c][i] if c in f else 0.0 for c in features} for i in (2, 3))
+        atoms = {"n": F.count(x), "o": count_where((x < F.col("lo")) | (x > F.col("hi"))), "s": skewness(x), "least": F.min(x)}
+        stats = {r["column"]: r for r in per_number(df, features, atoms, {"lo": lo, "hi": hi}, zero=("n", "o")).collect()}
         hit["outliers"] = [c for c in features if c in f and f[c][1] > f[c][0] and stats[c]["n"] >= 4 and stats[c]["o"] / stats[c]["n"] > 0.05]
         hit["skew"] = [c for c in features if stats[c]["n"] > 2 and abs(stats[c]["s"] or 0) > 1.5 and stats[c]["least"] > 0]
         hit["scale"] = features

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.operators import profile, readiness
+from assay.operators import profile, readiness, recommend
 from assay.plans import select, statplan
 
 
@@ -73,3 +73,10 @@ def test_readiness_holds_no_column(spark, monkeypatch):
     monkeypatch.setattr(statplan, "per_column", unfit)
     got = {r["column"]: r for r in readiness.column_scores(df, "even").collect()}
     assert got["heavy"]["outlier_pct"] > 10 and got["one"]["outlier_pct"] is None and got["even"]["outlier_severity"] == 100.0 and got["even"]["n_unique"] == 3_000
+
+
+def test_recommendations_hold_no_column(spark, monkeypatch):
+    _, df = columns(spark)
+    unfit(monkeypatch)
+    got = {r["id"]: r["affected"] for r in recommend.recommendations(df, "even").collect()}
+    assert got["skew"] == ["heavy"] and "heavy" in got["outliers"] and "dups" not in got
