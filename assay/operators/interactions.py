@@ -6,11 +6,14 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assay.functions.exprs import above, ident, quantile, ratio, real
+from assay.functions.exprs import above, ident, ratio, real
 from assay.plans.kinds import interaction_kind, type_family
 from assay.plans.ranks import tiles
-from assay.plans.statplan import cardinalities, joint_counts, per_column, with_totals
+from assay.plans.select import extents, quantile_values
+from assay.plans.statplan import cardinalities, joint_counts, with_totals
+from assay.plans.tiles import codes
 
 MISSING = "__missing__"
 BINS = 16
@@ -33,19 +36,26 @@ def choose_columns(df: DataFrame, target: str | None = None, max_cols: int = 25,
 def fill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls replaced: numbers by their median, everything else by a category of its own."""
     numbers = [c for c in columns if interaction_kind(df.schema[c].dataType) == "numeric"]
-    medians = {r["column"]: r["m"] for r in per_column(df, numbers, lambda c: {"m": quantile(real(c), 0.5)}).collect()} if numbers else {}
-    new = {c: F.coalesce(real(c), F.lit(medians[c] or 0.0)) if c in medians else F.coalesce(ident(c).cast("string"), F.lit(MISSING)) for c in columns}
-    return df.withColumns(new)
+    gone = df.select(*[ident(c) for c in numbers]).agg(*[F.max(ident(c).isNull()).alias(str(i)) for i, c in enumerate(numbers)]).first() if numbers else ()
+    medians = {c: q[0] if q else None for c, q in quantile_values(df, [c for c, g in zip(numbers, gone, strict=True) if g], 0.5).items()}
+    number = lambda c: F.coalesce(real(c), F.lit(medians[c] or 0.0)) if c in medians else real(c)
+    return df.withColumns({c: number(c) if c in numbers else F.coalesce(ident(c).cast("string"), F.lit(MISSING)) for c in columns})
 
 
 def binned(df: DataFrame, columns: list[str], key: str, bins: int = BINS) -> DataFrame:
     """Numeric columns replaced by bins: by value up to ``bins`` distinct ones, else ``bins`` equally full ones.
 
-    Equal fullness splits ties by the row's ``key``. Ranks come from sorted ranges, not from one task.
+    Equal fullness splits ties by the row's ``key``. The bins' ends are searched for, so no row is sorted but those that tie
+    with an end. Columns that doubles don't hold exactly, or with nulls, get their bins from ranks over sorted ranges.
     """
-    few = {r["column"] for r in cardinalities(df, columns).collect() if r["n_unique"] <= bins}
-    out = df
-    for c in columns:
+    values = [real(c) for c in columns]
+    known = extents(df, values)
+    exact = lambda c, a, b: isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) or (not isinstance(df.schema[c].dataType, T.DecimalType) and max(abs(a or 0), abs(b or 0)) < 2**53)
+    plain = [i for i, (c, (_, _, a, b)) in enumerate(zip(columns, known, strict=True)) if bins < 127 and interaction_kind(df.schema[c].dataType) == "numeric" and exact(c, a, b)]
+    out, left = codes(df, [columns[i] for i in plain], [values[i] for i in plain], key, bins, [known[i] for i in plain]) if plain else (df, [])
+    left += [c for i, c in enumerate(columns) if i not in plain]
+    few = {r["column"] for r in cardinalities(df, left).collect() if r["n_unique"] <= bins} if left else set()
+    for c in left:
         out = out.withColumn(c, ident(c).cast("string")) if c in few else tiles(out, c, key, bins, c)
     return out
 
@@ -66,18 +76,19 @@ def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def eta_squared(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (category, number, eta2): share of a number's variance between categories; 0 below four rows or if constant."""
-    cells = F.array(*[F.struct(F.lit(f"{a}\x00{b}").alias("pair"), ident(a).cast("string").alias("g"), real(b).alias("x")) for a, b in pairs])
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), ident(a).cast("string").alias("g"), real(b).alias("x")) for i, (a, b) in enumerate(pairs)])
     by = df.select(F.inline(cells)).where("x is not null").groupBy("pair", "g").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.when(F.min("x") < F.max("x"), F.var_pop("x") * F.count(F.lit(1))).otherwise(0.0).alias("within"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     by = with_totals(by, ["pair"], mean=F.sum(F.col("n") * F.col("m")) / F.sum("n"))
     got = by.withColumn("between", F.col("n") * (F.col("m") - F.col("mean")) ** 2).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("between").alias("b"), F.sum("within").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     value = F.when((F.col("n") < 4) | (F.col("lo") == F.col("hi")), 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), ratio(F.col("b"), F.col("b") + F.col("w"))), F.lit(0.0)))
-    p = F.split("pair", "\x00")
-    return got.select(p[0].alias("category"), p[1].alias("number"), value.alias("eta2"))
+    name = lambda side: F.array(*[F.lit(p[side]) for p in pairs])[F.col("pair")]
+    return got.select(name(0).alias("category"), name(1).alias("number"), value.alias("eta2"))
 
 
 def mutual_information(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (a, b, mi, score) over columns that are binned already: nats, and mi / sqrt(H(a) H(b)), at most 1."""
-    j = joint_counts(df, pairs)
+    small = all(isinstance(df.schema[c].dataType, T.ByteType) for p in pairs for c in p)
+    j = joint_counts(df, pairs, small=small)
     p = F.col("n") / F.col("total")
     info = j.groupBy("pair").agg(F.sum(p * F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).alias("mi"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.plans.select import search
+
 #: Rows of the order that the driver may look at to choose splitters.
 SAMPLE = 10_000
 #: Up to so many rows one range is enough: a sort that any task can hold.
@@ -29,9 +31,10 @@ def ranged(df: DataFrame, order: list[str], parts: int | None = None) -> DataFra
     if not cuts:
         return df.withColumn("__range", F.lit(0))
     types = [df.schema[c].dataType for c in order]
-    splitters = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, order, strict=True)]) for cut in cuts])
-    mine = F.struct(*[F.col(c).alias(c) for c in order])
-    return df.withColumn("__range", F.size(F.filter(splitters, lambda s: s < mine)))
+    row = lambda values: F.struct(*[v.alias(c) for v, c in zip(values, order, strict=True)])
+    mine = row([F.col(c) for c in order])
+    after = lambda cut: mine > row([F.lit(v).cast(t) for v, t in zip(cut, types, strict=True)])
+    return df.withColumn("__range", search(mine, cuts, [F.lit(i) for i in range(len(cuts) + 1)], after))
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, str], group: list[str] | None = None, parts: int | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def _counted(df: DataFrame, values: list[Column], spans: list[dict], bins: int)
 
 def order_statistics(df: DataFrame, values: list[Column], ranks: list[list[int]], known: list[tuple] | None = None, few: int = 0) -> tuple[list[dict[int, tuple[float, int, int]]], list[list[float] | None]]:
     """Per column of doubles a dict of rank (from 0, nulls left out) to (value, values below it, values equal to it); and
-    the column's distinct values where they are found to be ``few`` at most.
+    the column's distinct values if there are ``few`` at most, an empty list if there are more, None where that isn't known.
 
     known: the columns' ``extents``, if they have been asked for.
     """
@@ -88,7 +88,9 @@ def order_statistics(df: DataFrame, values: list[Column], ranks: list[list[int]]
         counted, left = _counted(df, values, spans, bins), []
         for s in spans:
             own, below, asked = counted[s["id"]], s["below"], sorted(s["ranks"])
-            if first and len(own) <= few and all(a == b for a, b, _ in own):
+            if first and len(own) > few:
+                levels[s["i"]] = []
+            elif first and all(a == b for a, b, _ in own):
                 levels[s["i"]] = [a for a, _, _ in own]
             for a, b, n in own:
                 here = [r for r in asked if below <= r < below + n]

@@ -72,11 +72,20 @@ def with_totals(df: DataFrame, by: list[str], **sums: Column) -> DataFrame:
     return df.join(F.broadcast(totals), by) if by else df.crossJoin(F.broadcast(totals))
 
 
-def joint_counts(df: DataFrame, pairs: list[tuple[str, str]], nulls: bool = True) -> DataFrame:
-    """Rows (pair, a, b, n, na, nb, total): joint and marginal counts of many pairs of columns from one read of the table."""
-    cells = F.array(*[F.struct(F.lit(f"{a}\x00{b}").alias("pair"), ident(a).cast("string").alias("a"), ident(b).cast("string").alias("b")) for a, b in pairs])
-    rows = df.select(F.inline(cells))
-    n = (rows if nulls else rows.where("a is not null and b is not null")).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+def joint_counts(df: DataFrame, pairs: list[tuple[str, str]], nulls: bool = True, small: bool = False) -> DataFrame:
+    """Rows (pair, a, b, n, na, nb, total): joint and marginal counts of many pairs of columns from one read of the table.
+
+    small: the columns are tinyint without nulls; a pair of them is counted as one number, and a and b are numbers.
+    """
+    names = F.array(*[F.lit(f"{a}\x00{b}") for a, b in pairs])
+    if small:
+        at = lambda c: ident(c).cast("int") + 128
+        counted = df.select(F.explode(F.array(*[F.lit(i * 65_536) + at(a) * 256 + at(b) for i, (a, b) in enumerate(pairs)])).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+        n = counted.select(names[F.shiftright("c", 16)].alias("pair"), F.col("c").bitwiseAND(65_280).alias("a"), F.col("c").bitwiseAND(255).alias("b"), "n")
+    else:
+        cells = F.array(*[F.struct(F.lit(i).alias("p"), ident(a).cast("string").alias("a"), ident(b).cast("string").alias("b")) for i, (a, b) in enumerate(pairs)])
+        rows = df.select(F.inline(cells))
+        n = (rows if nulls else rows.where("a is not null and b is not null")).groupBy("p", "a", "b").agg(F.count(F.lit(1)).alias("n")).select(names[F.col("p")].alias("pair"), "a", "b", "n")
     n = n.select("*", F.sum("n").over(Window.partitionBy("pair", "a")).alias("na"), F.sum("n").over(Window.partitionBy("pair", "b")).alias("nb"))
     return with_totals(n, ["pair"], total=F.sum("n"))
 
