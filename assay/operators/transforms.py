@@ -24,6 +24,8 @@ from assay.plans.storage import cut
 
 #: Neighbours of nearest-neighbour imputation; distinct donors and distinct incomplete rows in a block of its search.
 KNN_K, KNN_DONORS, KNN_ROWS = 5, 5_000, 500
+#: Values of a column that a lookup sends to every task, and numbers that deal rows of frequent values evenly.
+SENT, SALTS = 20_000, 1_024
 #: Levels that one-hot encoding may add as columns.
 MAX_LEVELS = 1_000
 
@@ -253,9 +255,23 @@ def encode_onehot(df, columns=None, target=None):
 
 
 def _lookup(df: DataFrame, c: str, values: DataFrame, out: str) -> DataFrame:
-    """Replace column ``c`` by ``out`` of rows (__v, out); hot values are split by adaptive execution."""
-    joined = df.withColumn("__v", ident(c)).join(values.withColumnRenamed(out, "__out"), "__v", "left")
-    return joined.select(*[F.col("__out").alias(c) if x == c else ident(x) for x in df.columns])
+    """Replace column ``c`` by ``out`` of rows (__v, n, out), n being how many rows have the value.
+
+    Up to ``SENT`` values are sent to every task, and no row of the table moves. Of more, the most frequent ones are; only rows of
+    the others, none of which has many rows, are shuffled by value, and rows that have their value by then are dealt evenly.
+    """
+    values = cut(values.select("__v", "n", F.col(out).alias("__out")), "lookup")
+    some = values.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
+    own, drop = df.withColumn("__v", ident(c)), [F.col("__out").alias(c) if x == c else ident(x) for x in df.columns]
+    if some["k"] <= SENT:
+        return own.join(F.broadcast(values.drop("n")), "__v", "left").select(*drop)
+    hot = F.col("n") > some["n"] / SENT  # fewer than SENT values can be above that share
+    first = own.join(F.broadcast(values.where(hot).select("__v", F.col("__out").alias("__hot"), F.lit(True).alias("__done"))), "__v", "left")
+    done = F.coalesce(F.col("__done"), F.col("__v").isNull())
+    first = first.withColumn("__salt", F.when(done, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long")))
+    rest = values.where(~hot).select("__v", "__out", F.lit(0).cast("long").alias("__salt"))
+    # a row that is done has a salt that no value has, so it meets nothing
+    return first.join(rest, ["__v", "__salt"], "left").withColumn("__out", F.coalesce("__out", "__hot")).select(*drop)
 
 
 def encode_label(df, columns=None, target=None, order_by: str | None = None):
@@ -263,8 +279,9 @@ def encode_label(df, columns=None, target=None, order_by: str | None = None):
     given; null is -1."""
     for c in _pick(df, columns, _strings(df), target):
         first = ident(order_by) if order_by else F.monotonically_increasing_id()
-        values = df.select(ident(c).alias("__v"), first.alias("__f")).where("__v is not null").groupBy("__v").agg(F.min("__f").alias("__f"), F.lit(1).cast("long").alias("__one"))
-        codes = running(values.where("__f is not null"), ["__f", "__v"], {"code": "__one"}).select("__v", (F.col("code") - 1).cast("int").alias("code"))
+        values = df.select(ident(c).alias("__v"), first.alias("__f")).where("__v is not null").groupBy("__v").agg(F.min("__f").alias("__f"), F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("__one"))
+        values = cut(values, "label-values")
+        codes = running(values.where("__f is not null"), ["__f", "__v"], {"code": "__one"}).select("__v", "n", (F.col("code") - 1).cast("int").alias("code"))
         df = _lookup(df, c, codes, "code").withColumn(c, F.coalesce(ident(c), F.lit(-1)))
     return df
 
@@ -273,7 +290,7 @@ def encode_frequency(df, columns=None, target=None):
     """Relative frequency among non-null values; null stays null."""
     for c in _pick(df, columns, _strings(df), target):
         n = df.where(ident(c).isNotNull()).groupBy(ident(c).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-        df = _lookup(df, c, with_totals(n, [], total=F.sum("n")).select("__v", (F.col("n") / F.col("total")).alias("f")), "f")
+        df = _lookup(df, c, with_totals(n, [], total=F.sum("n")).select("__v", "n", (F.col("n") / F.col("total")).alias("f")), "f")
     return df
 
 
@@ -285,7 +302,7 @@ def encode_target(df, columns=None, target=None):
     if target is None or target not in df.columns:
         return encode_frequency(df, columns)
     for c in [c for c in columns if c in df.columns and c != target]:
-        values = df.where(ident(c).isNotNull()).groupBy(ident(c).alias("__v")).agg(F.avg(real(target)).alias("m"))
+        values = df.where(ident(c).isNotNull()).groupBy(ident(c).alias("__v")).agg(F.avg(real(target)).alias("m"), F.count(F.lit(1)).alias("n"))
         df = _lookup(df, c, values, "m")
     return df
 
