@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions.exprs import constant, ident, quantile, real
+from assay.functions.exprs import constant, ident, real
 from assay.operators.profile import fences, numeric_columns
 from assay.plans.kinds import type_family
 from assay.plans.ranks import running
+from assay.plans.select import extents, quantile_values
 from assay.plans.statplan import per_column, with_totals
 from assay.plans.storage import cut
 
@@ -42,6 +43,10 @@ def _fit(df: DataFrame, columns: list[str], make) -> dict[str, object]:
     return {r["column"]: r["v"] for r in per_column(df, columns, lambda c: {"v": make(c)}).collect()} if columns else {}
 
 
+def _medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    return {c: q and q[0] for c, q in quantile_values(df, columns, 0.5).items()}
+
+
 def _put(df: DataFrame, new: dict) -> DataFrame:
     return df.select(*[(new[c].alias(c) if c in new else ident(c)) for c in df.columns])
 
@@ -65,7 +70,7 @@ def impute_mean(df, columns=None, target=None):
 
 
 def impute_median(df, columns=None, target=None):
-    v = _fit(df, cs := _pick(df, columns, numeric_columns(df), target), lambda c: quantile(real(c), 0.5))
+    v = _medians(df, cs := _pick(df, columns, numeric_columns(df), target))
     return _put(df, {c: F.coalesce(real(c), F.lit(v[c]).cast("double")) for c in cs})
 
 
@@ -93,7 +98,7 @@ def impute_knn(df, columns=None, target=None):
     cs = _pick(df, columns, numeric_columns(df), target)
     if not cs:
         return df
-    med, xs = _fit(df, cs, lambda c: quantile(real(c), 0.5)), [f"__x{i}" for i in range(len(cs))]
+    med, xs = _medians(df, cs), [f"__x{i}" for i in range(len(cs))]
     plain = _put(df, {c: real(c) for c in cs})
     counted = cut(plain.select(*[ident(c).alias(x) for c, x in zip(cs, xs, strict=True)]).groupBy(*xs).agg(F.count(F.lit(1)).alias("__n")).where(F.coalesce(*xs).isNotNull()), "knn-rows")
     holes = counted.where(F.greatest(*[F.col(x).isNull().cast("int") for x in xs], F.lit(0)) == 1)
@@ -151,14 +156,14 @@ def _nearest(batches: Iterator, k: int) -> Iterator:
 
 
 def cap_outliers(df, columns=None, target=None):
-    f = fences(df, cs := _pick(df, columns, numeric_columns(df), target)) if _pick(df, columns, numeric_columns(df), target) else {}
+    f = fences(df, cs, moments=False) if (cs := _pick(df, columns, numeric_columns(df), target)) else {}
     return _put(df, {c: F.when(ident(c).isNotNull(), F.least(F.greatest(real(c), F.lit(f[c][2])), F.lit(f[c][3]))) for c in cs if c in f} if f else {})
 
 
 def remove_outliers(df, columns=None, target=None):
     """Rows within all fences stay; rows with a null in a fenced column go."""
     cs = _pick(df, columns, numeric_columns(df), target)
-    f = fences(df, cs) if cs else {}
+    f = fences(df, cs, moments=False) if cs else {}
     for c in cs:
         if c in f:
             df = df.where(real(c).between(f[c][2], f[c][3]))
@@ -179,21 +184,58 @@ def _power(x, lam: float):
     return F.when(x >= 0, up).otherwise(down)
 
 
-def yeo_johnson_lambdas(df: DataFrame, columns: list[str], low: float = -4.0, high: float = 6.0, rounds: int = 5, points: int = 17) -> dict[str, float]:
-    """The exponent of greatest likelihood per column: nested grids, each one aggregate for all columns and points."""
+def _power_cell(x, lam):
+    """``_power`` with the exponent in a column."""
+    far = F.abs(lam - 2) < 1e-9
+    up = F.when(F.abs(lam) < 1e-9, F.log1p(F.greatest(x, F.lit(0.0)))).otherwise((F.pow(1 + F.greatest(x, F.lit(0.0)), lam) - 1) / lam)
+    down = F.when(far, -F.log1p(F.greatest(-x, F.lit(0.0)))).otherwise(-(F.pow(1 + F.greatest(-x, F.lit(0.0)), 2 - lam) - 1) / (2 - lam))
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def _power_value(x: float, lam: float) -> float:
+    try:
+        if x >= 0:
+            return math.log1p(x) if abs(lam) < 1e-9 else ((1 + x) ** lam - 1) / lam
+        return -math.log1p(-x) if abs(lam - 2) < 1e-9 else -((1 - x) ** (2 - lam) - 1) / (2 - lam)
+    except OverflowError:
+        return math.inf
+
+
+def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (i, x, n) of the columns' distinct doubles and how often each occurs, written once for many reads."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), real(c).alias("x")) for i, c in enumerate(columns)])
+    return cut(df.select(F.inline(cells)).where("x is not null").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n")), "values")
+
+
+def _power_moments(counted: DataFrame, middle: list[float], grid: list[list[float]]) -> list[list[tuple[float, float, float]]]:
+    """Per column and exponent: rows, mean and population variance of the transformed values.
+
+    Sums are of distances from the transformed median, which is within a deviation of the mean, so that little cancels out.
+    """
+    points = [(i, j, lam, _power_value(middle[i], lam)) for i, lams in enumerate(grid) for j, lam in enumerate(lams)]
+    table = F.array(*[F.array(*[F.struct(F.lit(j).alias("j"), F.lit(lam).alias("lam"), F.lit(c).alias("c")) for k, j, lam, c in points if k == i]) for i in range(len(grid))])
+    cells = counted.select("i", "x", "n", F.inline(table[F.col("i")])).withColumn("d", _power_cell(F.col("x"), F.col("lam")) - F.col("c"))
+    got = cells.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("a"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("b")).collect()
+    out = [[(0, math.nan, math.nan)] * len(lams) for lams in grid]
+    for r in got:
+        near = r["a"] / r["n"]
+        out[r["i"]][r["j"]] = (r["n"], _power_value(middle[r["i"]], grid[r["i"]][r["j"]]) + near, r["b"] / r["n"] - near * near)
+    return out
+
+
+def yeo_johnson_lambdas(df: DataFrame, columns: list[str], low: float = -4.0, high: float = 6.0, rounds: int = 5, points: int = 17, counted: DataFrame | None = None, middle: dict[str, float] | None = None) -> dict[str, float]:
+    """The exponent of greatest likelihood per column: nested grids, each one aggregate for all columns and points over
+    the distinct values (``counted``; ``middle`` has the medians)."""
+    counted = _distinct_values(df, columns) if counted is None else counted
+    middle = {c: q[0] if q else 0.0 for c, q in quantile_values(df, columns, 0.5).items()} if middle is None else middle
+    bases = dict(counted.groupBy("i").agg(F.sum(F.col("n") * F.signum("x") * F.log1p(F.abs("x")))).collect())
     span = {c: (low, high) for c in columns}
     for _ in range(rounds):
         grid = {c: [a + (b - a) * i / (points - 1) for i in range(points)] for c, (a, b) in span.items()}
-
-        def likelihoods(c: str):
-            x = real(c)
-            base = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-            return F.array(*[F.struct((-F.count(x) / 2 * F.log(F.when(F.var_pop(_power(x, lam)) > 0, F.var_pop(_power(x, lam)))) + (lam - 1) * base).alias("l")) for lam in grid[c]])
-
-        got = _fit(df, columns, likelihoods)
-        for c in columns:
-            values = [r["l"] if r["l"] is not None and not math.isnan(r["l"]) else -math.inf for r in got[c]]
-            i = max(range(points), key=lambda k: values[k])
+        got = _power_moments(counted, [middle[c] for c in columns], [grid[c] for c in columns])
+        for k, c in enumerate(columns):
+            values = [-n / 2 * math.log(v) + (lam - 1) * bases[k] if 0 < v < math.inf else -math.inf for (n, _, v), lam in zip(got[k], grid[c], strict=True)]
+            i = max(range(points), key=lambda k, values=values: values[k])
             span[c] = (grid[c][max(0, i - 1)], grid[c][min(points - 1, i + 1)])
     return {c: (a + b) / 2 for c, (a, b) in span.items()}
 
@@ -201,14 +243,15 @@ def yeo_johnson_lambdas(df: DataFrame, columns: list[str], low: float = -4.0, hi
 def yeo_johnson(df, columns=None, target=None):
     """Nulls become the median; the likeliest power transform, standardised; columns with one value or none stay."""
     cs = _pick(df, columns, numeric_columns(df), target)
-    several = _fit(df, cs, lambda c: F.coalesce((F.min(real(c)) < F.max(real(c))).cast("double"), F.lit(0.0)))
-    cs = [c for c in cs if several.get(c)]
+    cs = [c for c, (_, n, a, b) in zip(cs, extents(df, [real(c) for c in cs]), strict=True) if n and a < b] if cs else []
     if not cs:
         return df
-    full = impute_median(df, cs)
-    lam = yeo_johnson_lambdas(full, cs)
-    moments = {r["column"]: r for r in per_column(full, cs, lambda c: {"m": F.avg(_power(real(c), lam[c])), "s": F.stddev_pop(_power(real(c), lam[c]))}).collect()}
-    return _put(full, {c: (_power(real(c), lam[c]) - moments[c]["m"]) / (moments[c]["s"] or 1.0) for c in cs})
+    middle = {c: q[0] for c, q in quantile_values(df, cs, 0.5).items()}
+    full = _put(df, {c: F.coalesce(real(c), F.lit(middle[c])) for c in cs})
+    counted = _distinct_values(full, cs)
+    lam = yeo_johnson_lambdas(full, cs, counted=counted, middle=middle)
+    moments = dict(zip(cs, _power_moments(counted, [middle[c] for c in cs], [[lam[c]] for c in cs]), strict=True))
+    return _put(full, {c: (_power(real(c), lam[c]) - moments[c][0][1]) / (math.sqrt(max(moments[c][0][2], 0.0)) or 1.0) for c in cs})
 
 
 def scale_standard(df, columns=None, target=None):
@@ -237,8 +280,8 @@ def scale_robust(df, columns=None, target=None):
     if not cs:
         return df
     full = impute_median(df, cs)
-    f = fences(full, cs)
-    mid = _fit(full, cs, lambda c: quantile(real(c), 0.5))
+    f = fences(full, cs, moments=False)
+    mid = _medians(full, cs)
     return _put(full, {c: (real(c) - F.lit(mid[c])) / ((f[c][1] - f[c][0]) or 1.0) for c in cs if c in f})
 
 
