@@ -13,6 +13,7 @@ from assay.plans.kinds import kinds, of_kind, type_family
 from assay.plans.ranks import running
 from assay.plans.select import quantile_values
 from assay.plans.statplan import cardinalities, frequencies, joint_counts, modes, of_column, per_column, per_number, unpivot, with_totals
+from assay.plans.storage import cut
 
 
 def _plain(df: DataFrame) -> list[str]:
@@ -334,11 +335,6 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     Equal rows are counted and the counts laid end to end in the order of the rows' hashes; ``n`` places of that line are
     drawn, so a row with many copies is drawn as often as its share asks for.
     """
-    import random
-
-    import numpy as np
-    import pyarrow as pa
-
     total = df.count()
     if total <= n:
         return df
@@ -346,7 +342,33 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     hashed = [ident(f.name) for f in df.schema if type_family(f.dataType) != "nested"]
     own = [ident(f.name).alias(c) for f, c in zip(df.schema, names, strict=True)]
     counted = df.select(F.xxhash64(F.lit(seed), *hashed).alias("__h"), *own).groupBy("__h", *names).agg(F.count(F.lit(1)).alias("__n"))
-    places = np.array(sorted(random.Random(seed).sample(range(total), n)))
+    return _drawn(cut(counted, "sample"), names, total, n, seed).toDF(*df.columns)
+
+
+#: Bits of a hash by which rows are dealt to the runs of a sample's line.
+RUNS = 16
+
+
+def _drawn(counted: DataFrame, names: list[str], total: int, n: int, seed: int) -> DataFrame:
+    """The rows (``names``) at ``n`` of ``total`` places, each row of ``counted`` (__h, names, __n) filling __n places in order of __h.
+
+    The line is cut into runs of equal leading bits, counted first; only rows of runs with a place are put in order, each run by itself.
+    """
+    import random
+    from bisect import bisect_left
+
+    import numpy as np
+    import pyarrow as pa
+
+    run_of = F.shiftright("__h", 64 - RUNS).cast("int")
+    places, before, used = np.array(sorted(random.Random(seed).sample(range(total), n))), 0, []
+    for r in sorted(counted.groupBy(run_of.alias("run")).agg(F.sum("__n").alias("n")).collect()):
+        if bisect_left(places, before) < bisect_left(places, before + r["n"]):
+            used.append((r["run"], before))
+        before += r["n"]
+    runs = counted.sparkSession.createDataFrame(used, "__run int, __before long")
+    up = F.sum("__n").over(Window.partitionBy("__run").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    line = counted.withColumn("__run", run_of).join(F.broadcast(runs), "__run").withColumn("__up", up)
 
     def run(batches):
         for batch in batches:
@@ -354,7 +376,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
             times = np.searchsorted(places, up) - np.searchsorted(places, up - n_own)
             yield batch.select(names).take(pa.array(np.repeat(np.arange(len(up)), times)))
 
-    return running(counted, ["__h"], {"__up": "__n"}).mapInArrow(run, df.toDF(*names).schema).toDF(*df.columns)
+    return line.mapInArrow(run, counted.select(*names).schema)
 
 
 NORMALITY_SAMPLE, QQ_SAMPLE = 5_000, 1_000
@@ -367,20 +389,26 @@ def normality(df: DataFrame, columns: list[str]) -> DataFrame:
     5,000 values and takes that many at random (fixed seed). A column counts as normal if both Shapiro and K2 have p above 0.05, a
     p of zero included.
     """
-    g = per_column(df, columns, lambda c: {"n": F.count(real(c)), "g1": F.skewness(real(c)), "g2": F.kurtosis(real(c)), "m": F.avg(real(c)), "s": F.when(~constant(real(c)), F.stddev_pop(real(c)))}).collect()
+    x = F.col("x")
+    g = {r["column"]: r for r in per_number(df, columns, {"n": F.count(x), "g1": F.skewness(x), "g2": F.kurtosis(x), "m": F.avg(x), "s": F.when(~constant(x), F.stddev_pop(x))}, zero=("n",)).collect()}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), real(c).alias("v")) for i, c in enumerate(columns)])
+    counted = cut(df.select(F.inline(cells)).where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")), "values")  # one pass for all columns and tests
     out = []
-    for r in g:
+    for i, (c, r) in enumerate((c, g[c]) for c in columns):
         if r["n"] < 8:
             continue
-        c = r["column"]
         if not r["s"]:
             out.append((c, int(r["n"]), None, None, None, None, None, None, False))
             continue
-        values = [x[0] for x in sample_rows(df.select(real(c).alias("v")).where("v is not null"), NORMALITY_SAMPLE).collect()]
+        own, n = counted.where(F.col("i") == i).select("v", "n"), int(r["n"])
+        if n <= NORMALITY_SAMPLE:
+            values = [v for v, times in own.collect() for _ in range(times)]
+        else:
+            values = [v[0] for v in _drawn(own.select(F.xxhash64(F.lit(42), "v").alias("__h"), "v", F.col("n").alias("__n")), ["v"], n, NORMALITY_SAMPLE, 42).collect()]
         w, pw = shapiro_wilk(values)
-        k2, pk = k2_test(r["g1"], r["g2"], int(r["n"]))
-        d = ks_normal(df, c, r["m"], r["s"]).first()["d"]
-        out.append((c, int(r["n"]), w, pw, k2, pk, d, kolmogorov_tail(d, r["n"]), pw > 0.05 and pk > 0.05))
+        k2, pk = k2_test(r["g1"], r["g2"], n)
+        d = _ks_of_counts(own, r["m"], r["s"]).first()["d"]
+        out.append((c, n, w, pw, k2, pk, d, kolmogorov_tail(d, n), pw > 0.05 and pk > 0.05))
     return df.sparkSession.createDataFrame(out, "column string, count long, shapiro double, shapiro_p double, k2 double, k2_p double, ks double, ks_p double, is_normal boolean")
 
 
@@ -394,7 +422,11 @@ def normal_cdf(z: Column) -> Column:
 
 def ks_normal(df: DataFrame, column: str, mean: float, std: float) -> DataFrame:
     """One row: largest distance of the standardised column's empirical distribution from the normal one."""
-    v = df.select(real(column).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return _ks_of_counts(cut(df.select(real(column).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")), "values"), mean, std)
+
+
+def _ks_of_counts(v: DataFrame, mean: float, std: float) -> DataFrame:
+    """``ks_normal`` of distinct values and their numbers (v, n)."""
     total = v.agg(F.sum("n").alias("total"))
     up = running(v, ["v"], {"up": "n"}).crossJoin(F.broadcast(total))  # one row of totals
     step = up.select("v", (F.col("up") / F.col("total")).alias("hi"), ((F.col("up") - F.col("n")) / F.col("total")).alias("lo"))

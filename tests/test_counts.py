@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.operators import transforms
+from assay.operators import profile, transforms
 
 
 def no(*_, **__):
@@ -32,3 +32,25 @@ def test_powers_read_counted_values(spark, monkeypatch):
         a, b = grid[max(0, best - 1)], grid[min(16, best + 1)]
     y = power((a + b) / 2)
     assert got == pytest.approx(sorted((y - y.mean()) / y.std()), abs=1e-9)
+
+
+def test_normality_counts_the_table_once(spark, monkeypatch):
+    df = spark.range(12_000).select((F.col("id") * 7_919 % 5_003).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"), F.lit(None).cast("double").alias("none"))
+    want = {c: sorted(r[0] for r in profile.sample_rows(df.select(c), 5_000).collect()) for c in "ab"}
+    seen, written = [], []
+    monkeypatch.setattr(profile, "sample_rows", no)
+    monkeypatch.setattr(profile, "shapiro_wilk", lambda v: (seen.append(sorted(v)), (0.5, 0.5))[1])
+    monkeypatch.setattr(profile, "cut", lambda d, what, cut=profile.cut: (written.append(what), cut(d, what))[1])
+    got = {r["column"]: r for r in profile.normality(df, ["a", "b", "none"]).collect()}
+    assert set(got) == {"a", "b"} and seen == [want["a"], want["b"]] and written == ["values"]
+
+
+@pytest.mark.parametrize("runs", [1, 3, 16])
+def test_draws_fill_their_places(spark, monkeypatch, runs):
+    import random
+
+    monkeypatch.setattr(profile, "RUNS", runs)
+    df = spark.range(3_000).select((F.col("id") * F.col("id") % 401).alias("v"))
+    line = sorted((h, v) for h, v in df.select(F.xxhash64(F.lit(42), "v"), "v").collect())
+    want = sorted(line[i][1] for i in random.Random(42).sample(range(3_000), 500))
+    assert sorted(r["v"] for r in profile.sample_rows(df, 500).collect()) == want
